@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreflow.llm import byte_bpe, token_store
+from boreflow.llm import byte_bpe, quality, token_store, url_filter
 from boreflow.llm.shared import Scratch, read
 
 #: Id that ends each document in the token store.
@@ -43,5 +43,26 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_byte_bpe": op2_byte_bpe}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    trusted = read(spark, sf_dir, "labels").where("quality = 1")
+    judged = quality.judge(docs.select("doc_id", "text"), quality.ratio_model(docs, trusted))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "score", "kept")
+
+
+#: Host, path and verdict of the production rules.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES, Scratch(spark, "urls"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_byte_bpe": op2_byte_bpe, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter}
 ORACLE_SQL: dict[str, str] = {}
