@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreflow.llm import byte_bpe, quality, token_store, url_filter
+from boreflow.llm import byte_bpe, decontaminate, licenses, quality, token_store, toxicity, url_filter, warc
 from boreflow.llm.shared import Scratch, read
 
 #: Id that ends each document in the token store.
@@ -64,5 +64,99 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_byte_bpe": op2_byte_bpe, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter}
-ORACLE_SQL: dict[str, str] = {}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    found = decontaminate.find(docs, items, Scratch(spark, "leaks"))
+    ids = F.array_sort(F.coalesce(F.col("item_ids").cast("array<string>"), F.array().cast("array<string>")))
+    n_hit = decontaminate.hit_words("spans")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    held_out = (~toxicity.in_training("doc_id")).alias("held_out")
+    scored = toxicity.score(docs, model, keep_text=False)
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the digest and licence of its whole text, and the licences of its lines with how many lines."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    known = licenses.known_licenses(spark)
+    lines = licenses.notices(docs, known).groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses")
+    )
+    whole = licenses.scan(docs, known).select("doc_id", "digest", "license")
+    found = whole.join(lines, "doc_id", "left")
+    return found.withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+
+
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records in two replicas; the second has damage planted by page_id, which the audit must find."""
+    scratch = Scratch(spark, "warc")
+    first = scratch.save(warc.pack(read(spark, sf_dir, "pages")), "replica-1")
+    broken = F.concat(F.expr("substring(record, 1, length - 1)"), F.lit("X").cast("binary"))
+    second = first.where("page_id % 101 <> 3").withColumn(
+        "record", F.when(F.expr("page_id % 50 = 7"), broken).otherwise(F.col("record"))
+    )
+    second = second.union(first.where("page_id % 211 = 5").withColumn("archive", F.lit("spare")))
+    return warc.audit(first, scratch.save(second, "replica-2"), scratch)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_store, op2_byte_bpe, op5_decontaminate, op6_toxicity, op7_licenses, op8_quality, op9_url_filter, op10_warc_fixity,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+        lambda s: w[s : s + least(10, len(w)) - 1])) AS g FROM b WHERE len(w) > 0),
+p AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS s, w FROM d, (SELECT DISTINCT m FROM i) WHERE len(w) >= m),
+h AS (SELECT doc_id, s, p.m, item_id FROM p JOIN i ON p.m = i.m AND w[s : s + p.m - 1] = g),
+k AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT DISTINCT doc_id, unnest(range(s, s + m)) AS q FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ','
+        ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(k.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+    sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(k.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op9_url_filter": r"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+q AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+    ('org', '/fr/', 'allow')) AS t(h, p, v)),
+m AS (SELECT q.*, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS k
+    FROM q LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op10_warc_fixity": r"""
+WITH w AS (SELECT page_id, coalesce(CAST(page_id // 1024 AS VARCHAR), 'none') AS archive,
+    'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e ||
+    'WARC-Date: 2024-01-01T00:00:00Z' || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') ||
+    '>' || e || 'Content-Type: text/html' || e || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || e || e ||
+    coalesce(html, '') || e || e AS record FROM pages, (SELECT chr(13) || chr(10) AS e)),
+a AS (SELECT *, octet_length(encode(record)) AS length, coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY archive
+    ORDER BY page_id, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM w),
+b AS (SELECT archive, pos, length, CASE WHEN page_id % 50 = 7 THEN left(record, length(record) - 1) || 'X' ELSE record END
+    AS record FROM a WHERE page_id % 101 <> 3
+    UNION ALL SELECT 'spare', pos, length, record FROM a WHERE page_id % 211 = 5),
+g AS (SELECT archive, pos, string_agg(h, '' ORDER BY h) AS hs, count(*) AS n, sum(length) AS length
+    FROM (SELECT archive, pos, sha256(record) AS h, length FROM b) GROUP BY ALL),
+y AS (SELECT archive, pos, CASE WHEN n = 1 THEN hs ELSE sha256(hs) END AS hash_b, length AS length_b FROM g),
+x AS (SELECT archive, pos, sha256(record) AS hash_a, length AS length_a FROM a)
+SELECT archive, CAST(pos AS BIGINT) AS "offset",
+    CASE WHEN hash_b IS NULL THEN 'missing' WHEN hash_a IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
+    hash_a, hash_b, CAST(length_a AS BIGINT) AS length_a, CAST(length_b AS BIGINT) AS length_b
+FROM x FULL JOIN y USING (archive, pos) WHERE hash_a IS DISTINCT FROM hash_b""",
+}
