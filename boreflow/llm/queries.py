@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreflow.llm import byte_bpe, decontaminate, licenses, minmax_dedup, quality, token_store, toxicity, url_filter, warc
+from boreflow.llm import byte_bpe, decontaminate, licenses, minmax_dedup, quality, suffix_index, token_store, toxicity, url_filter, warc
 from boreflow.llm.shared import Scratch, read
 
 #: Id that ends each document in the token store.
@@ -68,6 +68,14 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_groups(read(spark, sf_dir, "documents"), Scratch(spark, "near"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_index.remove_repeats(read(spark, sf_dir, "documents"), Scratch(spark, "repeats"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     found = decontaminate.find(docs, items, Scratch(spark, "leaks"))
@@ -114,7 +122,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_store, op2_byte_bpe, op3_near_dedup, op5_decontaminate, op6_toxicity, op7_licenses, op8_quality, op9_url_filter, op10_warc_fixity,
+        op1_token_store, op2_byte_bpe, op3_near_dedup, op4_suffix_dedup, op5_decontaminate, op6_toxicity, op7_licenses, op8_quality, op9_url_filter, op10_warc_fixity,
     )
 }
 

@@ -72,3 +72,54 @@ def test_signature_is_unbiased():
     pool = rng.integers(1, 1 << 63, 3000, dtype=np.uint64)
     sig = minmax_dedup.signatures([np.unique(pool[:2000]), np.unique(pool[400:2400])])
     assert abs((sig[0] == sig[1]).mean() - 1600 / 2400) < 0.12
+
+
+def cut(rows, length):
+    import hashlib
+    from collections import Counter
+
+    raw = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+    out = []
+    for (i, _), t in zip(rows, raw, strict=True):
+        gone = [False] * len(t)
+        for a in range(len(t) - length + 1):
+            if seen[t[a : a + length]] > 1:
+                gone[a : a + length] = [True] * length
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        out.append((i, len(t), len(t) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("batches,part", [(1, 256), (5, 2)])
+def test_repeats_are_removed(spark, monkeypatch, batches, part):
+    from pyspark.sql import functions as F
+
+    from boreflow.llm import suffix_index
+
+    monkeypatch.setattr(suffix_index, "PART", part)
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["été", "ab", "cdefg", "hij", "k", "lmnopq", "rs"]) + str(rng.randint(0, 99)) for _ in range(n))
+    shared = [say(n) for n in (20, 39, 40, 41, 60, 100)]
+    rows = [(i, " ".join(rng.choice([say(rng.randint(1, 60)), rng.choice(shared)]) for _ in range(rng.randint(1, 5)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "x" * 199), (103, "y" * 200), (104, "y" * 200), (105, "z" * 201), (106, "pq" * 300)]
+    rows += [(107, shared[4]), (107, shared[4]), (107, shared[5]), (None, shared[3]), (108, shared[0] * 3)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, version int")
+    got = suffix_index.remove_repeats(docs, Scratch(spark, "t"), batches=batches).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")), F.size("spans"), F.sha2("kept", 256)
+    )
+    assert sorted((tuple(r) for r in got.collect()), key=str) == cut(rows, suffix_index.LENGTH)
+    assert suffix_index.remove_repeats(docs.where("false"), Scratch(spark, "t")).count() == 0
+
+
+def test_levels_merge_geometrically(spark):
+    from boreflow.llm import suffix_index
+
+    family = suffix_index.SuffixFamily(Scratch(spark, "t"))
+    docs = suffix_index.versioned(spark.createDataFrame([(1, "abc" * 100)], "doc_id bigint, text string"))
+    ranks = []
+    for _ in range(5):
+        family.add(docs)
+        ranks.append([r for r, _, _ in family.levels])
+    assert ranks == [[0], [1], [1, 0], [2], [2, 0]]
