@@ -159,9 +159,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]):
             sigs = signatures([sets[i] for i in full])
             for i, s, k in zip(full, sigs, band_keys(sigs).astype(np.int64), strict=True):
                 cls[i], sig[i], keys[i] = _class_of(sets[i]), s.tobytes(), k
-        cols = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary())]
+        cols = [b.column("doc_id"), b.column("version"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary())]
         cols += [pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "cls", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "version", "n_shingles", "cls", "sig", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]):
@@ -209,14 +209,16 @@ def _close(threshold: float):
 def near_groups(
     docs: DataFrame, scratch: Scratch, percent: int = 85, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each document.
+    """Rows (doc_id, n_shingles, component_id, kept, version), one for each document; version is a hash of the text.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
     doc_id of the connected group, and the document of that id is kept.
     """
-    plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text")
+    )
     profiles = scratch.save(
-        plain.mapInArrow(_profiles, "doc_id bigint, n_shingles bigint, cls binary, sig binary, bands array<bigint>"), "profiles"
+        plain.mapInArrow(_profiles, "doc_id bigint, version bigint, n_shingles bigint, cls binary, sig binary, bands array<bigint>"), "profiles"
     )
     full = profiles.where("cls is not null")
     classes = scratch.save(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
@@ -274,6 +276,6 @@ def near_groups(
     grouped = grouped.select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     lowest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = grouped.join(lowest, "component").select("cls", "component_id")
-    out = profiles.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = profiles.select("doc_id", "version", "n_shingles", "cls").join(labels, "cls", "left")
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "version")

@@ -65,7 +65,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax_dedup.near_groups(read(spark, sf_dir, "documents"), Scratch(spark, "near"))
+    found = minmax_dedup.near_groups(read(spark, sf_dir, "documents"), Scratch(spark, "near"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

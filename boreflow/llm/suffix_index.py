@@ -223,12 +223,13 @@ def _cut(batches: Iterator[pa.RecordBatch]):
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             spans.append([{"start": a, "stop": z} for a, z in edge.reshape(-1, 2).tolist()])
             kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
-        out = [b.column("doc_id"), b.column("version"), pa.array(spans, SPANS), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "version", "spans", "kept"])
+        valid = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+        out = [b.column("doc_id"), b.column("version"), pa.array(spans, SPANS), pa.array(kept, pa.binary()), valid]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "version", "spans", "kept", "kept_text"])
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-RESULT = "doc_id bigint, version bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+RESULT = "doc_id bigint, version bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary, kept_text string"
 
 
 def _free(docs: DataFrame) -> None:
@@ -237,13 +238,13 @@ def _free(docs: DataFrame) -> None:
     docs.sparkSession._jvm.System.gc()
 
 
-def remove_repeats(
+def removals(
     docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES
 ) -> DataFrame:
-    """Rows (doc_id, version, n_bytes, spans, kept), one for each document.
+    """Rows (doc_id, version, spans, kept, kept_text) of the documents that lose bytes.
 
-    ``spans`` are the maximal removed runs of bytes (stop excluded), ``kept`` the other bytes; where nothing is removed
-    kept is the whole text.
+    ``spans`` are the maximal removed runs of bytes (stop excluded) and ``kept`` the other bytes; ``kept_text`` is kept
+    without the halves of characters that a cut left.  ``version`` is that of ``versioned``.
     """
     plain = versioned(docs, doc_id, text)
     family = SuffixFamily(scratch)
@@ -271,6 +272,14 @@ def remove_repeats(
     cut = _with_marks(work.select("doc_id", "version", "text", "whole"), some, ["some"])
     cut = scratch.save(cut.where("whole is not null or some is not null").mapInArrow(_cut, RESULT), "cut")
     _free(docs)
+    return cut
+
+
+def remove_repeats(
+    docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES
+) -> DataFrame:
+    """Rows (doc_id, version, n_bytes, spans, kept), one for each document; where nothing is removed kept is the text."""
+    cut, plain = removals(docs, scratch, doc_id, text, batches), versioned(docs, doc_id, text)
     out = _with_marks(plain.withColumn("n_bytes", F.octet_length("text").cast("bigint")), cut, ["spans", "kept"])
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     return out.select(

@@ -55,12 +55,12 @@ def test_near_groups(spark, monkeypatch, block):
     rows = [(len(texts) - i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(*r, b"x") for r in rows], "doc_id bigint, text string, cls binary")
     got = minmax_dedup.near_groups(docs, Scratch(spark, "t")).collect()
-    assert sorted(tuple(r) for r in got) == groups(rows)
+    assert sorted(tuple(r)[:4] for r in got) == groups(rows)
 
 
 def test_repeated_rows_and_nothing(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (9, "A b c d e f"), (4, None)], "doc_id bigint, text string")
-    got = sorted(tuple(r) for r in minmax_dedup.near_groups(docs, Scratch(spark, "t")).collect())
+    got = sorted(tuple(r)[:4] for r in minmax_dedup.near_groups(docs, Scratch(spark, "t")).collect())
     assert got == [(4, 0, 4, True), (5, 2, 5, True), (5, 2, 5, True), (9, 2, 5, False)]
     assert minmax_dedup.near_groups(docs.where("false"), Scratch(spark, "t")).count() == 0
 
