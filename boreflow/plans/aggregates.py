@@ -58,10 +58,10 @@ def a05_batch_step_table(spark, d):
 
 @query(T + f""", x AS (SELECT *, (pos_mm - lag(pos_mm) OVER ({WH})) * (torque_a + lag(torque_a) OVER ({WH})) / 2 AS t FROM trace)
 SELECT hole_id, min(torque_a) AS low, max(torque_a) AS high, round(avg(torque_a), 4) AS mean, round(sum(torque_a * torque_a), 3) AS energy,
-    round(sum(t), 1) AS area, count(*) AS n FROM x GROUP BY 1""")
+    round(sum(t), 6) AS area, count(*) AS n FROM x GROUP BY 1""")
 def a06_hole_features(spark, d):
     f = a.hole_features(trace(spark, d), "torque_a", "pos_mm")
-    return f.select("hole_id", "low", "high", r("mean").alias("mean"), r("energy", 3).alias("energy"), r("area", 1).alias("area"), "n")
+    return f.select("hole_id", "low", "high", r("mean").alias("mean"), r("energy", 3).alias("energy"), r("area", 6).alias("area"), "n")
 
 
 @query(T + """SELECT hole_id, round(sum(torque_a * torque_a), 3) AS torque_energy, round(var_pop(torque_a), 4) AS torque_var,
@@ -75,9 +75,9 @@ def a07_signal_energy(spark, d):
 
 
 @query(T + """, x AS (SELECT hole_id, step, (pos_mm - lag(pos_mm) OVER o) * (torque_a + lag(torque_a) OVER o) / 2 AS t FROM trace
-    WINDOW o AS (PARTITION BY hole_id, step ORDER BY idx)) SELECT hole_id, step, round(coalesce(sum(t), 0), 1) AS area FROM x GROUP BY 1, 2""")
+    WINDOW o AS (PARTITION BY hole_id, step ORDER BY idx)) SELECT hole_id, step, round(coalesce(sum(t), 0), 6) AS area FROM x GROUP BY 1, 2""")
 def a08_trapezoid(spark, d):
-    return a.trapezoid(trace(spark, d), "torque_a", "pos_mm", ["hole_id", "step"]).select("hole_id", "step", r("area", 1).alias("area"))
+    return a.trapezoid(trace(spark, d), "torque_a", "pos_mm", ["hole_id", "step"]).select("hole_id", "step", r("area", 6).alias("area"))
 
 
 @query(T + f""", x AS (SELECT hole_id, 48 * (torque_a + torque_empty_a + thrust_a) AS p, idx FROM trace),
