@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: Payload bytes after which a frame ends.
 FRAME_BYTES = 1 << 20
 #: Bytes of memoised words in one Python worker before the memo starts anew.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 208 << 20
 #: Bounds of the sample that trains the dictionary: documents, bytes of ids, and the dictionary's size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 4 << 20, 64 << 10
 
@@ -50,19 +50,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {"": b""}
+        self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.memo: dict[bytes, bytes] = {b"": b""}
         self.held = 0
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if self.held > MEMO_BYTES:
             memo.clear()
-            memo[""], self.held = b"", 0
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+            memo[b""], self.held = b"", 0
+        parts = [_folded(t).replace(b"\n", b" ").split(b" ") for t in texts]
         new = list(set().union(*parts).difference(memo))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, self.dtype).tobytes()
+        words = [w.decode("utf-8", "surrogatepass") for w in new]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            memo[w] = array(self.code, e.ids).tobytes()
             self.held += 200 + 5 * len(w)
         out = [b"".join(map(memo.__getitem__, p)) for p in parts]
         for w in [w for w in new if len(w) > 64]:
@@ -71,6 +72,12 @@ class WordEncoder:
         return out
 
 
+def _folded(text: str) -> bytes:
+    """UTF-8 with A-Z in lower case, as the tokenizer makes it; not where the name of a special token may stand."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return raw if b"<|" in raw else raw.lower()
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -228,7 +235,3 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     for i in doc_ids:
         near = near | ((F.col("first_doc") <= i) & (F.col("last_doc") >= i))
     return _unpack(frames.where(near), *_dictionary(spark, path), frozenset(doc_ids))
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
