@@ -10,7 +10,7 @@ Only connections matter, so pairs within a bucket are not all formed:
 2. in every bucket all classes are compared with one pivot, the class that shares buckets with most others: copies of one
    original meet the original there.  Confirmed links give first components;
 3. in buckets that still hold several components, classes of different components are compared by their signatures, in
-   blocks of bounded size and without emitting pairs; the close ones are confirmed on full sets as well.
+   blocks of bounded size and without emitting pairs; the close ones are confirmed on full sets there.
 
 Null and empty texts have no shingles and are linked with nothing. A text of fewer than 5 words has one shingle, all its
 words. Rows that share an id but not a text are separate members. Repeated rows are one class. Further columns are ignored.
@@ -182,15 +182,21 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("met") >= percent * F.col("all")).select("src", "dst")
 
 
-def _close(threshold: float):
-    """Compares the classes of one block pair by signature; returns those pairs that may reach the threshold."""
-    values = 2 * PERMUTATIONS
+def _linked(percent: int):
+    """Links between classes of different components in one block pair, confirmed on full sets.
+
+    Signatures rule out most pairs; a pair is looked at in the first band it shares, and not where earlier links already
+    connect it, so a block gives fewer links than it has classes.
+    """
+    values, threshold = 2 * PERMUTATIONS, percent / 100
     least = (threshold - SLACK * (threshold * (1 - threshold) / values) ** 0.5) * values
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), values)
-        comp, part = group["comp"].to_numpy(), group["part"].to_numpy()
-        cls = group["cls"].to_numpy()
+        keys = band_keys(sig).astype(np.int64)
+        here = int(np.flatnonzero(keys[0] == group["band"].iloc[0])[0])
+        part, cls, sets = group["part"].to_numpy(), group["cls"].to_numpy(), group["members"].to_numpy()
+        _, comp = np.unique(group["comp"].to_numpy(), return_inverse=True)
         single = len(set(part)) == 1
         rows = np.arange(len(group)) if single else np.flatnonzero(part == part.min())
         others = rows if single else np.flatnonzero(part != part.min())
@@ -198,9 +204,14 @@ def _close(threshold: float):
         for i in rows.tolist():
             js = others[others > i] if single else others
             js = js[comp[js] != comp[i]]
-            if len(js):
-                same = (sig[js] == sig[i]).sum(axis=1)
-                out += [(cls[i], cls[j]) for j in js[same >= least]]
+            js = js[(sig[js] == sig[i]).sum(axis=1) >= least]
+            js = js[~(keys[js, :here] == keys[i, :here]).any(axis=1)]
+            for j in js.tolist():
+                if comp[j] != comp[i]:
+                    met = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * met >= percent * (len(sets[i]) + len(sets[j]) - met):
+                        out.append((cls[i], cls[j]))
+                        comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(out, columns=["src", "dst"])
 
     return compare
@@ -250,14 +261,11 @@ def near_groups(
     rest = scratch.save(placed.join(mixed, "band"), "rest")
     sig = full.select("cls", "sig").dropDuplicates(["cls"])
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.join(sig, "cls").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    rest = rest.join(sig, "cls").join(sets, "cls").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    found = spread.select("band", "i", "j", "cls", "comp", "sig", "part").groupBy("band", "i", "j")
-    close = found.applyInPandas(_close(percent / 100), "src binary, dst binary")
-    close = close.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    close = scratch.save(close.join(pairs, ["src", "dst"], "left_anti"), "close-pairs")
-    more = scratch.save(_confirm(close, sets, percent), "more-links")
+    found = spread.select("band", "i", "j", "cls", "comp", "sig", "part", "members").groupBy("band", "i", "j")
+    more = scratch.save(found.applyInPandas(_linked(percent), "src binary, dst binary"), "more-links")
     scratch.drop("sets")
 
     # components of both kinds of links
