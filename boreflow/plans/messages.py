@@ -1 +1,216 @@
-"""Queries."""
+"""Message, alert and streaming queries; streams run over the events table to its end."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from boreflow.functions import columns as c
+from boreflow.plans.bindings import MSG, TRACE, messages, table, trace
+from boreflow.plans.joins import GREEDY, PAIRS, WINDOW_S, _greedy
+from boreflow.plans.scalars import scratch_path
+from boreflow.queries import query
+from boreflow.sources import logs
+from boreflow.streaming import live
+
+M = f"WITH {MSG} "
+
+
+def _stream(spark, d, late=live.LATE):
+    """The message view of the events as a stream with a watermark."""
+    ev = live.with_late_limit(live.read_events(spark, d), late=late)
+    kind = F.when(F.col("event_type") == "purchase", "result").when(F.col("event_type") == "click", "trace").when(F.col("event_type") == "view", "heads")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return ev.select("event_id", "ts", (F.col("user_id") % 20).alias("tool"), kind.alias("kind"), "value", k.alias("k")).where("kind is not null")
+
+
+@query("""WITH e AS (SELECT o_custkey % 5 AS tool, o_orderkey AS result, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT 'plant/box1/tool' || tool || '/Estimation/' || kind AS topic, result, n FROM e, (VALUES ('Keypoints', 3), ('DepthEstimation', 2)) AS t(kind, n)""")
+def s17_result_records(spark, d):
+    """Two JSON records of each successful result."""
+    o = table(spark, d, "orders").where("o_orderkey % 3 <> 0")
+    points = F.array(F.lit(0.0), F.col("o_totalprice") / 2, F.col("o_totalprice"))
+    r = o.select(
+        F.lit("box1").alias("toolbox"), F.concat(F.lit("tool"), F.col("o_custkey") % 5).alias("tool"), points.alias("keypoints"), c.depths_of(points).alias("depths"),
+        F.lit("m").alias("machine_id"), F.col("o_orderkey").alias("result_id"), F.lit("t").alias("ts"),
+    )
+    x = logs.result_records(r)
+    n = F.size(F.from_json(F.get_json_object("value", "$.Value"), "array<double>"))
+    return x.select("topic", F.get_json_object("value", "$.ResultId").cast("bigint").alias("result"), n.alias("n"))
+
+
+@query("SELECT s_suppkey, s_acctbal AS value, s_name AS extra FROM supplier")
+def s18_custom_record(spark, d):
+    rec = F.to_json(F.struct("s_suppkey", F.col("s_acctbal").alias("Value"), F.create_map(F.lit("name"), "s_name").alias("Extra")))
+    x = table(spark, d, "supplier").select(rec.alias("r"))
+    return x.select(*(F.get_json_object("r", p).cast(t).alias(n) for p, t, n in (("$.s_suppkey", "bigint", "s_suppkey"), ("$.Value", "double", "value"), ("$.Extra.name", "string", "extra"))))
+
+
+MATCHED = GREEDY.removeprefix("RECURSIVE ").replace("SELECT tool, unnest(ls)", ", m AS (SELECT tool, unnest(ls)").strip() + ")"
+
+
+@query(f"""WITH RECURSIVE {MSG}, {PAIRS}, {MATCHED} SELECT m.tool, m.result, m.trace, round(a.value, 4) AS entry, round(a.value + b.value, 4) AS exit,
+    CASE WHEN b.value < 20 THEN 'suppressed' ELSE 'success' END AS route FROM m JOIN msg a ON a.event_id = m.result JOIN msg b ON b.event_id = m.trace""")
+def d24_message_to_result(spark, d):
+    """Matched messages to key points, depths and where they go."""
+    m = messages(spark, d).select("event_id", "value")
+    x = _greedy(spark, d)
+    x = x.join(m.toDF("result", "a"), "result").join(m.toDF("trace", "b"), "trace")
+    points = F.array(F.col("a"), F.col("a") + F.col("b"))
+    x = x.withColumns({"p": points, "depth": F.transform(c.depths_of(points), lambda v: F.round(v, 9) - 20)})
+    route = c.route(F.lit(True), F.lit(None).cast("string"), F.col("p"), F.col("depth"))
+    return x.select("tool", "result", "trace", F.round(F.col("p")[0], 4).alias("entry"), F.round(F.col("p")[1], 4).alias("exit"), route.alias("route"))
+
+
+@query(M + "SELECT CAST(floor(epoch_us(ts) / 3.6e9) AS BIGINT) AS hour, kind, count(*) AS n FROM msg GROUP BY 1, 2")
+def r01_event_time_counts(spark, d):
+    """Hourly counts of the stream in event time."""
+    x = live.windowed_counts(_stream(spark, d), "ts", "1 hour", ["kind"])
+    x = live.run_once(x, scratch_path(spark, "r01"), "complete")
+    return x.select((F.unix_seconds("w.start") / 3600).cast("bigint").alias("hour"), "kind", "n")
+
+
+@query(M + "SELECT tool, k, min(event_id) AS event_id FROM msg WHERE k IS NOT NULL GROUP BY 1, 2")
+def r02_duplicate_drop(spark, d):
+    """First message of each tool and content; the watermark spans the table."""
+    x = live.drop_repeats(_stream(spark, d, "40 days").where("k is not null"), ["tool", "k"])
+    return live.run_once(x, scratch_path(spark, "r02")).select("tool", "k", "event_id")
+
+
+def _sides(spark, d, kind, name):
+    return _stream(spark, d, "1 hour").where(F.col("kind") == kind).select("tool", F.col("event_id").alias(name), F.col("ts").alias(f"ts_{name}"))
+
+
+@query(M + f", {PAIRS} SELECT tool, result, trace FROM p")
+def r03_stream_join(spark, d):
+    x = live.match_streams(_sides(spark, d, "result", "result"), _sides(spark, d, "trace", "trace"), "tool", "ts_result", "ts_trace", WINDOW_S)
+    return live.run_once(x.select("tool", "result", "trace"), scratch_path(spark, "r03"))
+
+
+@query()
+def r04_optional_heads(spark, d):
+    """Outer rows come out once the watermark has passed them."""
+    x = live.match_streams(_sides(spark, d, "result", "result"), _sides(spark, d, "heads", "heads"), "tool", "ts_result", "ts_heads", WINDOW_S, "left")
+    return live.run_once(x.select("tool", "result", "heads"), scratch_path(spark, "r04"))
+
+
+@query()
+def r05_greedy_matcher(spark, d):
+    x = live.match_greedily(_stream(spark, d), WINDOW_S, keep=2 * WINDOW_S)
+    return live.run_once(x, scratch_path(spark, "r05"))
+
+
+@query()
+def r06_complete_sets(spark, d):
+    x = live.complete_sets(_stream(spark, d), ["result", "trace"])
+    return live.run_once(x, scratch_path(spark, "r06"))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id % 20 ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events WHERE value < 10""")
+def r07_negative_alert(spark, d):
+    """Low values of a tool within the day before each; alerts are those of five and more."""
+    e = table(spark, d, "events").where("value < 10").select("event_id", (F.col("user_id") % 20).alias("tool"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    o = Window.partitionBy("tool").orderBy("us").rangeBetween(-86_400_000_000, 0)
+    return e.select("event_id", F.count("*").over(o).alias("n"))
+
+
+@query("""WITH x AS (SELECT event_id, user_id % 20 AS tool, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER
+    (PARTITION BY user_id % 20 ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM events)
+SELECT event_id, tool, CAST(sum(bad::INTEGER) OVER (PARTITION BY tool, i ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM x""")
+def r08_failure_runs(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("tool"), (F.col("event_type") == "error").alias("bad"))
+    return live.failure_runs(e, "tool", "event_id", "bad").select("event_id", "tool", "streak")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id % 20 AS tool, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts) AS n FROM events WHERE event_type = 'error'),
+g(tool, n, us, kept, yes) AS (SELECT tool, n, us, us, true FROM e WHERE n = 1 UNION ALL
+    SELECT e.tool, e.n, e.us, CASE WHEN e.us - kept < 21600000000 THEN kept ELSE e.us END, e.us - kept >= 21600000000 FROM g JOIN e ON e.tool = g.tool AND e.n = g.n + 1)
+SELECT tool, us FROM g WHERE yes""")
+def r09_rate_limited(spark, d):
+    """Errors of a tool at least six hours after the last one that was reported."""
+    e = table(spark, d, "events").where("event_type = 'error'").select((F.col("user_id") % 20).alias("tool"), "ts")
+    return live.rate_limited(e, "tool", "ts", 6 * 3600)
+
+
+@query("""SELECT CAST(floor(epoch_us(ts) / 8.64e10) AS BIGINT) AS day, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END), 5) AS drop_rate,
+    CASE WHEN count(*) >= 360 THEN 'critical' WHEN count(*) >= 340 THEN 'high' WHEN count(*) >= 320 THEN 'warn' ELSE 'ok' END AS level FROM events GROUP BY 1""")
+def r10_backlog_levels(spark, d):
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("day")
+    n = F.count("*")
+    level = F.when(n >= 360, "critical").when(n >= 340, "high").when(n >= 320, "warn").otherwise("ok")
+    return table(spark, d, "events").groupBy(day).agg(n.alias("n"), F.round(F.avg((F.col("event_type") == "error").cast("double")), 5).alias("drop_rate"), level.alias("level"))
+
+
+@query("""SELECT CAST(floor(epoch_us(ts) / 3e8) AS BIGINT) AS slot, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2""")
+def r11_failures_per_window(spark, d):
+    """Counts by category in windows of five minutes, as a stream."""
+    ev = live.with_late_limit(live.read_events(spark, d)).select("ts", F.col("event_type").alias("category"))
+    x = live.run_once(live.windowed_counts(ev, "ts", "5 minutes", ["category"]), scratch_path(spark, "r11"), "complete")
+    return x.select((F.unix_seconds("w.start") / 300).cast("bigint").alias("slot"), "category", "n")
+
+
+@query()
+def r12_live_pipeline(spark, d):
+    """Stream of messages to matches; each micro-batch of matches becomes result records."""
+    m = live.run_once(live.match_greedily(_stream(spark, d), WINDOW_S, keep=2 * WINDOW_S), scratch_path(spark, "r12"))
+    v = messages(spark, d).select("event_id", "value")
+    x = m.join(v.toDF("result", "a"), "result").join(v.toDF("trace", "b"), "trace")
+    points = F.array(F.col("a"), F.col("a") + F.col("b"))
+    r = x.select(
+        F.lit("box").alias("toolbox"), F.concat(F.lit("tool"), "tool").alias("tool"), points.alias("keypoints"), c.depths_of(points).alias("depths"),
+        F.lit("m").alias("machine_id"), F.col("result").alias("result_id"), F.lit("t").alias("ts"),
+    )
+    return logs.result_records(r)
+
+
+@query("""WITH e AS (SELECT user_id % 20 AS tool, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id % 20 ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS b FROM events),
+s AS (SELECT *, sum(b) OVER (PARTITION BY tool ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+SELECT tool, CAST(min(epoch_us(ts)) AS BIGINT) AS start_us, count(*) AS n FROM s GROUP BY tool, s""")
+def r13_sessions(spark, d):
+    """Bursts of a tool with gaps under two hours."""
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 20).alias("tool"))
+    x = live.sessions(e, "ts", "2 hours", ["tool"])
+    return x.select("tool", F.unix_micros("w.start").alias("start_us"), "n")
+
+
+def score_windows(windows, score, schema):
+    """Model hook: any function from a pandas frame of windows (hole_id, win, torque) to scores, in Arrow batches."""
+
+    def run(frames):
+        for f in frames:
+            yield score(f)
+
+    return windows.mapInPandas(run, schema)
+
+
+def default_score(frame):
+    """Steepest rise of each window."""
+    import numpy as np
+    import pandas as pd
+
+    rise = [float(np.max(np.diff(t))) if len(t) > 1 else 0.0 for t in frame["torque"]]
+    return pd.DataFrame({"hole_id": frame["hole_id"], "win": frame["win"], "score": np.round(rise, 4)})
+
+
+@query(f"""WITH {TRACE}, x AS (SELECT hole_id, CAST(idx // 64 AS BIGINT) AS win, torque_a - lag(torque_a) OVER (PARTITION BY hole_id, idx // 64 ORDER BY idx) AS d FROM trace)
+SELECT hole_id, win, round(coalesce(max(d), 0), 4) AS score FROM x GROUP BY 1, 2""")
+def x01_model_hook(spark, d):
+    g = trace(spark, d).groupBy("hole_id", F.floor(F.col("idx") / 64).alias("win")).agg(F.sort_array(F.collect_list(F.struct("idx", "torque_a"))).alias("x"))
+    g = g.select("hole_id", "win", F.transform("x", lambda s: s["torque_a"]).alias("torque"))
+    return score_windows(g, default_score, "hole_id bigint, win bigint, score double")
+
+
+def reduce_by(df, key, c_, how):
+    """Any Column to Column reducer."""
+    return df.groupBy(key).agg(how(F.col(c_)).alias("value"))
+
+
+@query(f"WITH {TRACE} SELECT hole_id, round(max(torque_a) - min(torque_a), 4) AS value FROM trace GROUP BY 1")
+def x02_custom_reducer(spark, d):
+    return reduce_by(trace(spark, d), "hole_id", "torque_a", lambda x: F.round(F.max(x) - F.min(x), 4))
+
+
+@query(M + "SELECT event_id, CASE kind WHEN 'heads' THEN 'unknown' ELSE kind END AS type, coalesce(k::VARCHAR, 'unknown') AS key FROM msg")
+def x03_message_processor(spark, d):
+    """(type, key) of a topic and payload; what is not known is 'unknown'."""
+    kind = c.topic_kind(F.col("topic"))
+    key = F.nullif(c.lookup_containing(c.payload_map(F.col("payload")), "Count"), F.lit(""))
+    return messages(spark, d).select("event_id", F.when(kind == "heads", "unknown").otherwise(kind).alias("type"), F.coalesce(key, F.lit("unknown")).alias("key"))
