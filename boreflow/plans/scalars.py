@@ -373,7 +373,7 @@ def f21_category_bits(spark, d):
     return p.join(kinds, "p_type").select("p_partkey", F.expr("shiftleft(1L, r - 1)").alias("code"))
 
 
-@query("SELECT p_partkey, round(p_partkey * 0.034 - 1.7, 4) AS local, CASE p_size % 2 WHEN 0 THEN -1.45 ELSE 0.69 END AS predrilled, least(p_size, 60 - p_size, p_size * 2, 120 - p_size * 2) AS edge FROM part")
+@query("SELECT p_partkey, round(p_partkey * 0.034::DOUBLE - 1.7, 4) AS local, CASE p_size % 2 WHEN 0 THEN -1.45::DOUBLE ELSE 0.69::DOUBLE END AS predrilled, least(p_size, 60 - p_size, p_size * 2, 120 - p_size * 2) AS edge FROM part")
 def f22_affine_maps(spark, d):
     """Affine feature maps, and the distance to a plate's edge (F23)."""
     p, s = table(spark, d, "part"), F.col("p_size")

@@ -243,7 +243,7 @@ def w24_merge_breakpoints(spark, d):
 c AS (SELECT hole_id, step, min(idx) AS c FROM trace WHERE step > 0 GROUP BY 1, 2),
 m AS (SELECT c.hole_id, c.step, arg_max(g.idx, struct_pack(a := round(g.g, 9), b := -g.idx)) AS i, any_value(c.c) AS c
     FROM c JOIN g ON g.hole_id = c.hole_id AND g.idx BETWEEN c.c - 20 AND c.c + 20 GROUP BY 1, 2)
-SELECT hole_id, step, round(abs(i - c) * 0.05, 4) AS distance FROM m""")
+SELECT hole_id, step, round(abs(i - c) * 0.05::DOUBLE, 4) AS distance FROM m""")
 def w25_peak_correction(spark, d):
     """Distance from each step change to the steepest rise within a millimetre."""
     g = trace(spark, d).withColumn("g", w.slope_ends(F.col("torque_a"), 10))
