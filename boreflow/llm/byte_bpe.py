@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 #: White space of the piece pattern (Unicode White_Space), fixed values.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of memoised segments and prefixes in one Python worker before the memo starts anew.
-MEMO_BYTES = 192 << 20
+MEMO_BYTES = 112 << 20
 #: Segments longer than this many characters are encoded without being memoised.
 MEMO_CHARS = 48
 
@@ -320,7 +320,7 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def chunks(texts: list[str], chars: int = 4 << 20) -> Iterator[list[str]]:
+def chunks(texts: list[str], chars: int = 2 << 20) -> Iterator[list[str]]:
     """The texts in order, about so many characters at a time."""
     part, size = [], 0
     for t in texts:
