@@ -8,8 +8,8 @@ little.  Trusted text scores slightly above zero, junk far below.
 
 Null and empty texts have no words and score 0. Without any trusted document every score is 0, so only the base rules
 decide. Repeated rows are judged alike; further columns are kept, and a column that has the name of a result gives way.
-Only built-in functions run here.  The raw counts cover all documents; the trusted side is a sample by a hash of the
-id, of ``TRUSTED`` documents in the mean, so that its ids may be broadcast.
+Only built-in functions run here.  Both counts cover all their documents; the trusted ids are joined by shuffle at every
+size, so that the plan does not turn over where they outgrow a broadcast.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from boreflow.llm.shared import fresh
 BUCKETS = 1 << 14
 THRESHOLD = -0.06
 PRIOR = 20
-#: Trusted documents used, in the mean: 20,000 ids are 160 kB.
-TRUSTED = 20_000
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -89,15 +87,12 @@ def _counted(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
     return counted.withColumn("base_failed", failed), w
 
 
-def ratio_model(
-    docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = TRUSTED
-) -> list[float]:
+def ratio_model(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[float]:
     """log p_trusted - log p_raw for each bucket; ``trusted`` has the ids of trusted documents. A fixed-size table."""
     ids = trusted.select(F.col(doc_id).alias("id")).where("id is not null").distinct()
-    share = min(1.0, most / max(1, ids.count()))
-    ids = ids.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select(F.col(doc_id).alias("id"), words_of(F.col(text)).alias("w"))
-    rows = rows.join(F.broadcast(ids.withColumn("t", F.lit(1))), "id", "left")
+    # texts are shorter than their words, so the words are made after the join
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
+    rows = rows.join(ids.withColumn("t", F.lit(1)).hint("merge"), "id", "left").select("t", words_of(F.col("body")).alias("w"))
     grams = rows.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(_ngrams("w")).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect()
     raw, good = [0] * BUCKETS, [0] * BUCKETS

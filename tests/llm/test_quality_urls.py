@@ -66,6 +66,20 @@ def test_score_is_the_ratio(spark):
         assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
 
 
+def test_every_trusted_document_counts(spark):
+    import math
+
+    n, rare = 30_000, 50
+    rows = [(i, f"rare{i % 7}" if i < rare else "plain") for i in range(n)] + [(n + i, "junk") for i in range(n)]
+    docs = spark.createDataFrame([*rows, (None, "junk")], "doc_id bigint, text string")
+    trusted = spark.range(n).toDF("doc_id")
+    model = quality.ratio_model(docs, trusted.union(trusted))
+    share = n / (2 * n + 1)
+    for w, good, raw in [("plain", n - rare, n - rare), ("junk", 0, n + 1), ("rare0", 8, 8), ("rare6", 7, 7)]:
+        want = math.log((good + quality.PRIOR) / (raw * share + quality.PRIOR))
+        assert model[bucket(w)] == pytest.approx(want, abs=1e-12), w
+
+
 def test_no_trusted_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     none = docs.where("false")
