@@ -26,9 +26,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.judge(docs, model).where("kept").select(docs.columns)
 
 
+#: Percent of shared shingles from which documents are near copies.
+NEAR = 80
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group."""
-    found = minmax_dedup.near_groups(docs, Scratch(spark, "near"))
+    found = minmax_dedup.near_groups(docs, Scratch(spark, "near"), percent=NEAR)
     gone = found.where("not kept").select("doc_id", "version").distinct()
     return docs.join(gone, _same(docs, gone), "left_anti")
 

@@ -46,3 +46,30 @@ def test_pipeline(spark):
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {i: library.encode_ordinary(t) for i, t in rows}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "suffix_dedup", "decontaminate", "byte_bpe"]
+
+
+def test_near_copies_from_four_fifths(spark):
+    w = [f"w{i}" for i in range(100)]
+    edits = ["new" if i in (20, 60) else x for i, x in enumerate(w)], [f"n{i}" if i in (20, 50, 80) else x for i, x in enumerate(w)]
+    rows = [(3, " ".join(w)), *((i, " ".join(x)) for i, x in zip((5, 7), edits, strict=True))]
+    assert [g[3] for g in groups(rows, 85)] == [True, True, True]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()}
+    assert got == {g[0] for g in groups(rows, 80) if g[3]} == {3, 7}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_pipeline_at_four_fifths(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    model = quality.ratio_model(docs, spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"))
+    rows = [(r.doc_id, r.text) for r in quality.judge(docs, model).where("score >= %r" % quality.THRESHOLD).collect()]
+    rows = [(i, t) for i, t in rows if not base(t)[-1]]
+    kept = {g[0] for g in groups(rows, 80) if g[3]}
+    assert kept < {g[0] for g in groups(rows, 85) if g[3]}
+    rows = without_repeats([r for r in rows if r[0] in kept])
+    rows = [(i, t) for i, t in rows if not leaks(t, items)[1]]
+    bpe = byte_bpe.bpe_of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in rows}
