@@ -220,10 +220,11 @@ def _linked(percent: int):
 def near_groups(
     docs: DataFrame, scratch: Scratch, percent: int = 85, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept, version), one for each document; version is a hash of the text.
+    """Rows (doc_id, n_shingles, component_id, kept, version, first), one for each document; version is a hash of the text.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
-    doc_id of the connected group, and the document of that id is kept.
+    doc_id of the connected group, and the document of that id is kept.  ``first`` holds for one (doc_id, version) of each
+    group, the smallest (null ids come last), and for rows without shingles.
     """
     plain = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text")
@@ -232,7 +233,8 @@ def near_groups(
         plain.mapInArrow(_profiles, "doc_id bigint, version bigint, n_shingles bigint, cls binary, sig binary, bands array<bigint>"), "profiles"
     )
     full = profiles.where("cls is not null")
-    classes = scratch.save(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("least")
+    classes = scratch.save(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), least, F.first("bands").alias("bands")), "classes")
 
     # buckets of two or more classes
     banded = classes.select("cls", F.explode("bands").alias("band"))
@@ -280,10 +282,12 @@ def near_groups(
         up = second.toDF("component", "top")
         nodes = first.union(second.select("node", "node").toDF("node", "component").join(first.select("node"), "node", "left_anti"))
         final = nodes.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    grouped = classes.select("cls", "rep").join(final.toDF("cls", "component"), "cls", "left")
-    grouped = grouped.select("cls", "rep", F.coalesce("component", "cls").alias("component"))
-    lowest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = grouped.join(lowest, "component").select("cls", "component_id")
+    grouped = classes.select("cls", "rep", "least").join(final.toDF("cls", "component"), "cls", "left")
+    grouped = grouped.select("cls", "rep", "least", F.coalesce("component", "cls").alias("component"))
+    lowest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("least").alias("lead"))
+    labels = grouped.join(lowest, "component").select("cls", "component_id", "lead")
     out = profiles.select("doc_id", "version", "n_shingles", "cls").join(labels, "cls", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "version")
+    kept = (F.col("doc_id") == F.col("component_id")).alias("kept")
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("version") == F.col("lead.version"))
+    return out.select("doc_id", "n_shingles", "component_id", kept, "version", (F.col("cls").isNull() | leads).alias("first"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from boreflow.llm import byte_bpe, decontaminate, minmax_dedup, quality, suffix_index
 from boreflow.llm.queries import piece_pattern, tokenizer_path
-from boreflow.llm.shared import Scratch, read
+from boreflow.llm.shared import Scratch, fresh, read
 
 
 def _same(docs: DataFrame, marks: DataFrame, version=None):
@@ -31,10 +31,16 @@ NEAR = 80
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group."""
-    found = minmax_dedup.near_groups(docs, Scratch(spark, "near"), percent=NEAR)
-    gone = found.where("not kept").select("doc_id", "version").distinct()
-    return docs.join(gone, _same(docs, gone), "left_anti")
+    """One row of each near-duplicate group, of the smallest id and then version, and all rows without words."""
+    scratch = Scratch(spark, "near")
+    found = minmax_dedup.near_groups(docs, scratch, percent=NEAR).where("n_shingles > 0")
+    marks = found.groupBy("doc_id", "version").agg(F.max("first").alias("first"), F.count("*").alias("n"))
+    marks = scratch.save(marks.where("not first or n > 1"), "marks")
+    twice = marks.where("first")
+    version = fresh(docs, "version")[0]
+    one = docs.join(twice, _same(docs, twice), "left_semi").withColumn(version, F.xxhash64("text"))
+    one = one.dropDuplicates(["doc_id", version]).drop(version)
+    return docs.join(marks, _same(docs, marks), "left_anti").union(one)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

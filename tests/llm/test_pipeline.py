@@ -73,3 +73,19 @@ def test_pipeline_at_four_fifths(spark):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {i: library.encode_ordinary(t) for i, t in rows}
+
+
+def test_one_row_of_each_group_stays(spark):
+    say = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    near = say("b") + " end"
+    rows = [(1, say("a")), (1, say("a")), (2, say("a")), (5, say("b")), (5, near), (5, say("c")), (None, say("b"))]
+    rows += [(None, say("d")), (None, say("e")), (None, say("e")), (5, None), (5, None), (5, " "), (8, say("f"))]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "v") for r in rows], "doc_id bigint, text string, n_chars bigint, version string")
+    one = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert one.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in one.collect()), key=str)
+    want = [(1, say("a")), (5, say("c")), (None, say("d")), (None, say("e")), (5, None), (5, None), (5, " "), (8, say("f"))]
+    b = [r for r in got if r in ((5, say("b")), (5, near))]
+    assert len(b) == 1 and got == sorted(want + b, key=str)
+    whole = corpus_pipeline.cut_repeats(spark, one.where("text <> ' '"), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in whole), key=str) == sorted((r for r in got if r[1] and r[1] != " "), key=str)
