@@ -1,5 +1,6 @@
 """Decontamination, toxicity, licences and WARC audits on small tables."""
 
+import os
 import random
 import re
 
@@ -133,3 +134,43 @@ def test_files_round_trip(spark, pages):
     got = warc.read(spark, path + "/*.txt")
     want = pages.select(warc.record_of(F.col("page_id"), F.col("url"), F.col("html")).cast("binary").alias("r"))
     assert sorted(bytes(r.record) for r in got.collect()) == sorted(bytes(r.r) for r in want.collect())
+
+
+TITLES = {"MIT": ["MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "ISC License (ISC)"]}
+TITLES |= {f"BSD-{n}-Clause": [f"BSD {n}-Clause License", f'BSD {n}-Clause "{w}" License'] for n, w in ((2, "Simplified"), (3, "New"))}
+SHARED = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+def wrapped(text, width):
+    """Other line breaks within paragraphs, but not in those of a copyright line."""
+    import textwrap
+
+    parts = re.split(r"\n[ \t]*\n", text)
+    keep = lambda p: re.search(r"(?im)copyright \(c\)|^\W*copyright[^\n]*(©|\d{4}|\[yyyy\])|^\W*-{5,}", p)
+    return "\n\n".join(p if keep(p) else textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in parts)
+
+
+def test_licenses_with_titles_and_wrapping(spark):
+    rows = []
+    for name, titles in TITLES.items():
+        for head in (t + "\n\n" + c for t in titles for c in ("Copyright (c) 2020 Some One\n\n", "Copyright Some One\n(c) Other\nAll rights reserved.\n\n", "")):
+            rows += [(name, head + wrapped(licenses.KNOWN[name][0], w)) for w in (23, 50, 79, 10000)]
+    for name, file in SHARED.items():
+        path = f"/usr/share/common-licenses/{file}"
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                text = f.read()
+            rows += [(name, text), (name, "Copyright 2020 Some One\n\n" + text)]
+            first, rest = re.split(r"\n[ \t]*\n", text.strip("\n"), maxsplit=1)
+            rows += [(name, first + "\n\n" + wrapped(rest, w)) for w in (37, 60, 100)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, want string, text string")
+    got = licenses.scan(docs, licenses.known_licenses(spark)).collect()
+    assert [(r.doc_id, r.want, r.text[:200]) for r in got if r.license != r.want] == []
+    none = [(1, "MIT License"), (2, "MIT License\n"), (3, "Apache License\n\nother words")]
+    frame = spark.createDataFrame(none, "doc_id bigint, text string")
+    assert licenses.scan(frame, licenses.known_licenses(spark)).where("license is not null").count() == 0
+
+
+def test_every_licence_line_of_the_documents_is_known(spark):
+    docs = spark.createDataFrame([(1, "text\nLicensed under CC BY-NC 4.0.\nmore")], "doc_id bigint, text string")
+    assert [tuple(r) for r in licenses.notices(docs, licenses.known_licenses(spark)).collect()] == [(1, 1, "CC-BY-NC-4.0-notice")]
