@@ -4,26 +4,45 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder from ``spark.checkpoint.dir``; where that is unset (tests, local runs) one is made and set."""
+    """Folder from ``spark.checkpoint.dir``; a local session without one (tests) gets its own, a cluster is refused."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="boreflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_held: list[list[Scratch]] = []
+
+
+@contextmanager
+def cleaned():
+    """Drops the scratch tables made inside, once what was computed from them is written."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for scratch in _held.pop():
+            scratch.drop()
+
+
 class Scratch:
     """Tables of one operator run, written as Parquet to the shared folder so that lineage ends at replicated files."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        if _held:
+            _held[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"

@@ -1,7 +1,12 @@
 """From raw documents to token ids: quality rules, near-dedup, repeated strings, leaks, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; all but the last return the columns
-of documents.  Between stages the rows are written as Parquet to the shared folder and read again.
+of documents, further ones of the caller untouched.  Between stages the rows are written as Parquet to the shared folder and
+read again; what a stage wrote for itself goes once its result is written.
+
+Null and empty texts have under 50 words, so the quality stage drops them; any that a later stage is given stay, without ids.
+Of rows that repeat an id and a text one stays; rows with a null id are documents like others, and the last of their group to
+lead it. An empty table gives an empty result. Texts of any length are read whole. Ties go to the smallest id, then version.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from boreflow.llm import byte_bpe, decontaminate, minmax_dedup, quality, suffix_index
 from boreflow.llm.queries import piece_pattern, tokenizer_path
-from boreflow.llm.shared import Scratch, fresh, read
+from boreflow.llm.shared import Scratch, cleaned, fresh, read
 
 
 def _same(docs: DataFrame, marks: DataFrame, version=None):
@@ -21,9 +26,15 @@ def _same(docs: DataFrame, marks: DataFrame, version=None):
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
+    """Documents that pass the base rules and the likelihood ratio.
+
+    The verdicts are written beside the rows and the filter reads them: a filter on the expressions themselves would be
+    pushed below them, and each use would count all n-grams anew.
+    """
     model = quality.ratio_model(docs, read(spark, sf_dir, "labels").where("quality = 1"))
-    return quality.judge(docs, model).where("kept").select(docs.columns)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
+    judged = Scratch(spark, "quality").save(quality.judge(rows, model).select("row", "kept"), "judged")
+    return judged.where("kept").select("row.*")
 
 
 #: Percent of shared shingles from which documents are near copies.
@@ -45,12 +56,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that start elsewhere too; n_chars follows."""
-    cut = suffix_index.removals(docs, Scratch(spark, "repeats")).select("doc_id", "version", "kept_text")
-    same = _same(docs, cut, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    joined = docs.join(cut.withColumn("cut", F.lit(True)), same, "left")
-    text = F.when(F.col("cut"), F.col("kept_text")).otherwise(docs["text"])
-    chars = F.when(F.col("cut"), F.char_length("kept_text").cast("bigint")).otherwise(docs["n_chars"])
-    new = {"text": text.alias("text"), "n_chars": chars.alias("n_chars")}
+    found = suffix_index.removals(docs, Scratch(spark, "repeats")).select("doc_id", "version", "kept_text")
+    cut, kept = fresh(docs, "cut", "kept_text")
+    found = found.withColumnRenamed("kept_text", kept).withColumn(cut, F.lit(True))
+    joined = docs.join(found, _same(docs, found, F.xxhash64(F.coalesce(docs["text"], F.lit("")))), "left")
+    text = F.when(F.col(cut), F.col(kept)).otherwise(docs["text"])
+    new = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        chars = F.char_length(kept).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(cut), chars).otherwise(docs["n_chars"]).alias("n_chars")
     return joined.select(*(new.get(c, docs[c]) for c in docs.columns))
 
 
@@ -83,6 +97,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    for n, (name, stage) in enumerate(STAGES):
+        with cleaned():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if n:
+            scratch.drop(STAGES[n - 1][0])
     return docs
