@@ -65,6 +65,39 @@ def test_repeated_rows_and_nothing(spark):
     assert minmax_dedup.near_groups(docs.where("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_rows_without_an_id_are_linked(spark):
+    say = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, say), (5, say + " end"), (9, say + " stop"), (None, "a b c d e f g"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r)[:4] for r in minmax_dedup.near_groups(docs, Scratch(spark, "t")).collect()]
+    assert sorted(got, key=str) == sorted(
+        [(None, 56, 5, False), (5, 57, 5, True), (9, 57, 5, False), (None, 3, None, True), (None, 0, None, True), (None, 0, None, True)], key=str
+    )
+
+
+def test_recall_at_the_threshold():
+    """Pairs at the least similarity that links: share of them that meet in a band and pass the signature test."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for percent in (85, 80):
+        n, met = 2000, 0
+        for at in range(0, n, 250):
+            sets = []
+            for _ in range(250):
+                total = int(rng.integers(60, 400)) * 20
+                both = -(-total * percent // 100)
+                pool = rng.integers(1, 1 << 63, total, dtype=np.uint64)
+                half = both + (total - both) // 2
+                sets += [np.sort(pool[:half]), np.sort(np.concatenate([pool[:both], pool[half:]]))]
+            sig = minmax_dedup.signatures(sets)
+            keys = minmax_dedup.band_keys(sig)
+            s, values = percent / 100, sig.shape[1]
+            least = (s - minmax_dedup.SLACK * (s * (1 - s) / values) ** 0.5) * values
+            met += int(((keys[::2] == keys[1::2]).any(axis=1) & ((sig[::2] == sig[1::2]).sum(axis=1) >= least)).sum())
+        assert met / n >= 0.999, (percent, met)
+
+
 def test_signature_is_unbiased():
     import numpy as np
 
