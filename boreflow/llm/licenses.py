@@ -5,7 +5,8 @@ sha256 is looked up among the digests of known licences.  A unit of lookup is a
 finds notices that stand in a text of another kind.
 
 A null text is an empty one. A text without any word has a digest but never a licence. Texts that share a digest, and
-repeated rows, get the same answer; where two known licences share a digest, all their names are given, sorted. Further
+repeated rows, get the same answer, whatever their ids; texts of any length are read whole; an empty table gives an empty
+result. Where two known licences share a digest, all their names are given, sorted. Further
 columns are kept; those with the name of a result give way. An empty list of licences finds none.
 """
 

@@ -90,7 +90,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
     held_out = (~toxicity.in_training("doc_id")).alias("held_out")
     scored = toxicity.score(docs, model, keep_text=False)
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -98,14 +98,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the digest and licence of its whole text, and the licences of its lines with how many lines."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("version"))
     known = licenses.known_licenses(spark)
-    lines = licenses.notices(docs, known).groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses")
-    )
-    whole = licenses.scan(docs, known).select("doc_id", "digest", "license")
-    found = whole.join(lines, "doc_id", "left")
-    return found.withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+    rows = docs.select(F.struct("doc_id", "version").alias("row"), "text")
+    lines = licenses.notices(rows, known, doc_id="row").groupBy(F.col("doc_id").alias("row")).agg(
+        F.count_distinct("line").alias("n_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses")
+    )  # rows that repeat an id and a text have the same lines
+    whole = licenses.scan(docs, known)
+    same = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("version") == F.col("row.version"))
+    found = whole.join(lines, same, "left")
+    return found.select("doc_id", "digest", "license", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "line_licenses")
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

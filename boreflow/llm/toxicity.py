@@ -1,7 +1,8 @@
 """Toxicity scores learned from confirmed toxic examples and unlabelled text (non-negative PU learning).
 
 A document's features are marked character n-grams of its words (``<word>`` cut to 4 to 6 characters) and the words
-themselves, each present or not.  Features that confirmed toxic documents have far more often than unlabelled ones are
+of up to ``WHOLE`` letters themselves, each present or not. Words of any length have all their n-grams; long ones are cut
+in overlapping slices, so that memory stays bounded.  Features that confirmed toxic documents have far more often than unlabelled ones are
 selected by a z score; a linear classifier over them is trained in numpy on the risk
 
     prior * E_toxic[loss(+g)]  +  max(0, E_unlabelled[loss(-g)] - prior * E_toxic[loss(-g)])
@@ -10,9 +11,11 @@ with the sigmoid loss (bounded, so that a prior slightly off does little harm):
 and that estimate may not fall below zero (Kiryo et al., 2017).
 
 Training uses samples by a hash of the id, in the mean of at most ``POSITIVES`` confirmed and ``UNLABELLED`` other
-documents; near copies count once in the selection.  Scoring reads every whole text.  A null or empty text has no
+documents; near copies count once in the selection, and so do equal texts under three words.  Scoring reads every whole text.  A null or empty text has no
 features and gets the score of the bare intercept; so does every text where there are no toxic examples. Repeated rows
-are scored alike; further columns are kept, those with the name of a result give way.
+are scored alike; further columns are kept, those with the name of a result give way. An empty table of documents or of
+labels gives a model without features. Where labels contradict each other the toxic one holds. The sample is written to the
+shared folder before it is used, so that all passes over it, and retries of lost tasks, see the same rows.
 """
 
 from __future__ import annotations
@@ -29,17 +32,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boreflow.llm.shared import Scratch
+
 POSITIVES, UNLABELLED = 4000, 8000
 #: Features kept, and the least z score and count of toxic documents of each.
 FEATURES, LEAST_Z, LEAST_DOCS = 4096, 6.0, 5
 MEMO_WORDS = 400_000
+#: Letters up to which a word is a feature as a whole and its features are remembered; letters of a slice of a longer one.
+WHOLE, SLICE = 60, 4096
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(word: str) -> set[str]:
+def features_of(word: str) -> Iterator[set[str]]:
+    """The features of a word, a set for each slice; slices overlap so that no n-gram is lost."""
     marked = f"<{word}>"
-    return {marked} | {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
+    for at in range(0, max(1, len(marked) - 5), SLICE):
+        part = marked[at : at + SLICE + 5]
+        found = {part[i : i + n] for n in (4, 5, 6) for i in range(len(part) - n + 1)}
+        yield found | {marked} if len(word) <= WHOLE else found
 
 
 def words_of(text: str | None) -> set[str]:
@@ -59,9 +70,11 @@ class Model:
         for w in words_of(text):
             found = memo.get(w)
             if found is None:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                found = memo[w] = tuple(f for f in features_of(w) if f in self.weights) if len(w) < 500 else ()
+                found = tuple({f for part in features_of(w) for f in part if f in self.weights})
+                if len(w) <= WHOLE:
+                    if len(memo) > MEMO_WORDS:
+                        memo.clear()
+                    memo[w] = found
             if found:
                 hit.update(found)
         g = self.intercept + sum(self.weights[f] for f in sorted(hit))
@@ -109,7 +122,9 @@ def _some(column: str, share: float, salt: int):
     return F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic"
+) -> Model:
     """Train on rows with ``in_training``; of other rows no label is read."""
     known = labels.where(F.col(toxic).isNotNull()).select(F.col(doc_id).alias("id"), F.col(toxic).alias("y"))
     known = known.where(in_training("id")).groupBy("id").agg(F.max("y").alias("y"))
@@ -122,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(in_training("id"))
     rows = rows.join(F.broadcast(positive), "id", "left")  # a sample of bounded size
     rows = rows.where(F.col("pos") | _some("id", _share(docs, UNLABELLED), 2))
-    rows = rows.select(F.coalesce("pos", F.lit(False)).alias("pos"), "text")
+    rows = scratch.save(rows.select(F.coalesce("pos", F.lit(False)).alias("pos"), "text"), "sample")
 
     def keyed(batches: Iterator[pa.RecordBatch]):
         """Each text with the least hash of its word triples: near copies mostly share it."""
@@ -130,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             keys = []
             for t in b.column(1).to_pylist():
                 w = WORD.findall((t or "").lower())
-                keys.append(min((zlib.crc32(" ".join(x).encode()) for x in zip(w, w[1:], w[2:])), default=-1))
+                runs = zip(w, w[1:], w[2:], strict=False) if len(w) > 2 else [w]
+                keys.append(min(zlib.crc32(" ".join(x).encode()) for x in runs))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["pos", "text", "k"])
 
     def counted(batches: Iterator[pa.RecordBatch]):
@@ -141,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                 for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     fs: set[str] = set()
                     for w in words_of(t):
-                        fs |= features_of(w) if len(w) < 500 else set()
+                        fs.update(*features_of(w))
                     seen[p].update(fs)
                 for p, c in seen.items():
                     if c:
@@ -149,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                         cols = [pa.array(list(c), pa.string()), pa.array([p] * n), pa.array(list(c.values()), pa.int64())]
                         yield pa.RecordBatch.from_arrays(cols, ["f", "pos", "n"])
 
-    sample = rows.mapInArrow(keyed, "pos boolean, text string, k bigint").dropDuplicates(["pos", "k"]).drop("k")
+    keyed_rows = rows.mapInArrow(keyed, "pos boolean, text string, k bigint")
+    sample = keyed_rows.groupBy("pos", "k").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    sample = scratch.save(sample.select("pos", F.col("one.text").alias("text")), "distinct")
     sizes = {r.pos: r["count"] for r in sample.groupBy("pos").count().collect()}
     n_pos, n_unl = sizes.get(True, 0), max(1, sizes.get(False, 0))
     df = sample.mapInArrow(counted, "f string, pos boolean, n bigint").groupBy("f").agg(
@@ -166,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():
-                got = {index[f] for w in words_of(t) if len(w) < 500 for f in features_of(w) if f in index}
+                got = {index[f] for w in words_of(t) for part in features_of(w) for f in part if f in index}
                 rows.append(sorted(got))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["pos", "x"])
 

@@ -72,17 +72,29 @@ def test_toxicity(spark):
     lab = spark.createDataFrame([*labels, (9999, 1), (7, None)], "doc_id bigint, toxic int")
     # labels of held-out rows are turned round: they must not be read
     turned = lab.withColumn("toxic", F.when(toxicity.in_training("doc_id"), F.col("toxic")).otherwise(1 - F.col("toxic")))
-    model = toxicity.fit(docs, turned)
+    model = toxicity.fit(docs, turned, Scratch(spark, "t"))
     got = toxicity.score(docs, model).withColumn("held_out", ~toxicity.in_training("doc_id")).collect()
     assert len(got) == 1503
     truth = dict(labels)
     held = [(r.score >= 0.5) == bool(truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
     assert np.mean(held) > 0.97
     assert all(0 <= r.score < 0.5 for r in got if not r.text)
-    assert toxicity.fit(docs, lab.where("false")).weights == {}
+    assert toxicity.fit(docs, lab.where("false"), Scratch(spark, "t")).weights == {}
+    assert toxicity.fit(docs.where("false"), lab, Scratch(spark, "t")).weights == {}
+    long = model.score("grobnikel"), *(model.score("a" * n + "grobnikel" + "a" * n) for n in (20, 245, 246, 4090, 50_000))
+    assert min(long) >= 0.5 and len(set(long[1:])) == 1
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def test_no_ngram_of_a_long_word_is_lost(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    for n in (1, 2, 4, 5, 6, 7, 12, 13, 61, 100):
+        word = "".join(chr(97 + i * i % 26) for i in range(n))
+        marked = f"<{word}>"
+        want = {marked[i : i + k] for k in (4, 5, 6) for i in range(len(marked) - k + 1)} | ({marked} if n <= toxicity.WHOLE else set())
+        assert set().union(*toxicity.features_of(word)) == want
+
+
 def test_nnpu_separates_with_a_rough_prior():
     rows = [np.array([0]) for _ in range(50)] + [np.array([0] if i % 10 == 0 else [1]) for i in range(500)]
     w, b = toxicity.train_nnpu(rows, np.arange(550) < 50, 2, 0.12)
@@ -171,6 +183,19 @@ def test_licenses_with_titles_and_wrapping(spark):
     assert licenses.scan(frame, licenses.known_licenses(spark)).where("license is not null").count() == 0
 
 
+def test_licence_query_counts_lines_of_each_row(spark, tmp_path):
+    from boreflow.llm import queries
+
+    two = "Licensed under the MIT License.\ntext\nReleased under the MIT License."
+    rows = [(1, two), (1, two), (1, "Licensed under CC BY-NC 4.0."), (None, two), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.n_lines, r.line_licenses) for r in queries.op7_licenses(spark, str(tmp_path)).collect()), key=str)
+    mit = "MIT-notice"
+    assert got == sorted([(1, 2, mit), (1, 2, mit), (1, 1, "CC-BY-NC-4.0-notice"), (None, 2, mit), (2, 0, None), (3, 0, None)], key=str)
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op7_licenses(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_every_licence_line_of_the_documents_is_known(spark):
     docs = spark.createDataFrame([(1, "text\nLicensed under CC BY-NC 4.0.\nmore")], "doc_id bigint, text string")
     assert [tuple(r) for r in licenses.notices(docs, licenses.known_licenses(spark)).collect()] == [(1, 1, "CC-BY-NC-4.0-notice")]
