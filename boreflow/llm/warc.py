@@ -7,12 +7,13 @@ An audit compares roots and descends only from nodes that differ, down to the re
 
 A null url or html is empty; a null page_id belongs to archive ``none``. Records that share archive and offset are hashed
 together in the order of their bytes. Empty replicas have no roots: against one, all records of the other are missing or extra.
-Further columns of the pages are not written.
+Further columns of the pages are not written. Pages of any length are one record; equal pages stand one after the other.
 """
 
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,26 +57,53 @@ def write(pages: DataFrame, path: str) -> None:
     bare.write.option("lineSep", "\r\n").text(path)  # the separator is the last line end of each record
 
 
+def _records(data: bytes) -> Iterator[tuple[int, int, str | None]]:
+    """(begin, end, uri) of each record; what is no whole record up to the next one that begins has a null uri."""
+    at = 0
+    while at < len(data):
+        head = data.find(b"\r\n\r\n", at)
+        lines = data[at : max(head, at)].decode("utf-8", "replace").split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        size = fields.get("content-length", "")
+        end = head + 8 + int(size) if size.isascii() and size.isdigit() and lines[0].startswith("WARC/") else 0
+        if end > at and data[end - 4 : end] == b"\r\n\r\n" and (end == len(data) or data.startswith(b"WARC/", end)):
+            yield at, end, fields.get("warc-target-uri", "")
+        else:
+            end = data.find(b"\r\n\r\nWARC/", at) + 4
+            end = end if end > at + 4 else len(data)
+            yield at, end, None
+        at = end
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (archive, offset, uri, record) of all WARC files under a path, plain or gzipped; a file is read by one task."""
+    """Rows (archive, offset, uri, record, damaged) of all WARC files under a path, plain or gzipped; a file is read by one task.
+
+    Bytes that are no whole record (no length, a wrong one, a cut end) come as a ``damaged`` row of their own, up to the next
+    record that begins, and reading goes on there; a gzip file that cannot be unpacked is one damaged row.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data, at, rows = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw, 0, []
-                while (head := data.find(b"\r\n\r\n", at)) >= 0:
-                    lines = data[at:head].decode("utf-8", "replace").split("\r\n")
-                    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-                    end = head + 8 + int(fields["content-length"])
-                    rows.append({"archive": name, "offset": at, "uri": fields.get("warc-target-uri"), "record": data[at:end]})
-                    at = end
+                data, found = raw, None
+                if raw[:2] == b"\x1f\x8b":
+                    try:
+                        data = gzip.decompress(raw)
+                    except (OSError, EOFError, zlib.error):
+                        found = [(0, len(raw), None)]
+                rows = [
+                    {"archive": name, "offset": at, "uri": uri, "record": data[at:end], "damaged": uri is None}
+                    for at, end, uri in found or _records(data)
+                ]
                 yield pa.RecordBatch.from_pylist(rows, OUT)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(parse, "archive string, offset bigint, uri string, record binary")
+    return files.mapInArrow(parse, "archive string, offset bigint, uri string, record binary, damaged boolean")
 
 
-OUT = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("uri", pa.string()), ("record", pa.binary())])
+OUT = pa.schema(
+    [("archive", pa.string()), ("offset", pa.int64()), ("uri", pa.string()), ("record", pa.binary()), ("damaged", pa.bool_())]
+)
 
 
 def leaves(replica: DataFrame) -> DataFrame:

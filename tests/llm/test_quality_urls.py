@@ -138,6 +138,31 @@ def test_aliases(spark):
     assert {r.page_id: r.verdict for r in got.collect()}[7] == "block"
 
 
+def test_one_form_of_an_alias(spark):
+    link = '<base href="{}"><link rel="canonical" href="{}">'
+    jump = '<meta http-equiv="refresh" content="0; url={}">'
+    pages = [
+        (1, "http://a.com/x//y?p=1&q=2", None), (2, "http://b.com/", jump.format("http://a.com/x//y?p=1&amp;q=2")),
+        (3, "http://c.com/d/e", link.format("../f/", "./g/../h")), (4, "https://c.com/f/h#z", jump.format("http://bad.net/;v=1")),
+        (5, "http://a.com/x/y?p=1&q=2", None), (6, "http://e.com/k?m", jump.format("?n")), (7, "http://e.com/k?n", jump.format("//bad.net")),
+    ]
+    more = spark.createDataFrame([("http://a.com/x//y?p=1&q=2", "http://bad.net/")], "from_url string, to_url string")
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string"), RULES, Scratch(spark, "t"), more_edges=more)
+    assert {r.page_id for r in got.collect() if r.verdict == "block"} == {1, 2, 3, 4, 6, 7}
+    none = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert url_filter.judge(none, RULES, Scratch(spark, "t"), more_edges=more).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 200])
+def test_allow_goes_before_block_in_one_rule(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "INLINE_RULES", most)
+    pages = spark.createDataFrame([(1, "http://a.com/x", None)], "page_id bigint, url string, html string")
+    both = [("a.com", "/", "allow"), ("a.com", "/", "block"), (None, "/", "block"), ("a.com", None, "block")]
+    for rules in (both, both[::-1]):
+        known = spark.createDataFrame(rules, "host string, path string, verdict string")
+        assert [r.verdict for r in url_filter.judge(pages, known, Scratch(spark, "t")).collect()] == ["allow"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(3, 3), (None, 4), (50, 49), (49, 50)]
     got = connected_components(spark.createDataFrame(edges, "src bigint, dst bigint"), Scratch(spark, "t")).collect()

@@ -148,6 +148,27 @@ def test_files_round_trip(spark, pages):
     assert sorted(bytes(r.record) for r in got.collect()) == sorted(bytes(r.r) for r in want.collect())
 
 
+def test_damaged_files_are_read_on(spark, tmp_path):
+    import gzip
+
+    one = lambda i, n="3": f"WARC/1.1\r\nWARC-Target-URI: u{i}\r\nContent-Length: {n}\r\n\r\nabc\r\n\r\n".encode()
+    files = {
+        "a": one(1) + one(2, "x") + one(3), "b": one(1) + one(2)[:-3], "c": b"", "d": b"rubbish", "e": one(1, "9") + one(2),
+        "f": gzip.compress(one(1)) + gzip.compress(one(2)), "g": gzip.compress(one(1))[:-9], "h": one(1, "-3") + one(4),
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    got = {}
+    for r in warc.read(spark, f"file://{tmp_path}").orderBy("archive", "offset").collect():
+        got.setdefault(r.archive[-6], []).append((r.uri, r.damaged, len(r.record)))
+    n = len(one(1))
+    assert got == {
+        "a": [("u1", False, n), (None, True, n), ("u3", False, n)], "b": [("u1", False, n), (None, True, n - 3)], "d": [(None, True, 7)],
+        "e": [(None, True, n), ("u2", False, n)], "f": [("u1", False, n), ("u2", False, n)], "g": [(None, True, len(files["g"]))],
+        "h": [(None, True, n + 1), ("u4", False, n)],
+    }
+
+
 TITLES = {"MIT": ["MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "ISC License (ISC)"]}
 TITLES |= {f"BSD-{n}-Clause": [f"BSD {n}-Clause License", f'BSD {n}-Clause "{w}" License'] for n, w in ((2, "Simplified"), (3, "New"))}
 SHARED = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
