@@ -5,16 +5,19 @@ corpus is not needed for that: of each such string one position is chosen, the l
 ``GRAM``-byte grams.  The choice depends on the string alone, so equal strings choose equal positions, and consecutive
 strings mostly choose the same one: there is about one chosen suffix in 77 bytes.
 
-A batch's suffix array holds its chosen suffixes in the order of their first gram (as a hash), with a digest of the whole
-stretch of strings that chose it.  The family keeps arrays in levels; a new batch becomes the lowest one, and levels of
-equal rank are merged into one of the next, so each suffix is rewritten a logarithmic number of times.  A merge-scan meets
-equal grams: stretches that are equal as a whole are duplicated throughout; other stretches that share a gram are
-compared string by string, one of each kind.  All strings of a comparison share the gram, so the work is dealt by grams,
-and a gram of many stretches is dealt further by the strings' own hashes.
+A batch's suffix array holds its chosen suffixes, each with a digest of the whole stretch of strings that chose it.  Suffixes
+are ordered by their first eight bytes (as a number), then by the hash of their gram, in parts dealt by that hash; that hashed
+grams stand in for the bytes beyond is what makes an entry small.  The family keeps arrays in levels.  A new batch is
+merge-scanned against each level there is, and against itself, for suffixes that begin with the same gram; those grams are
+noted.  Then it becomes the lowest level, and levels of equal rank are merged into one of the next, so each suffix is
+rewritten a logarithmic number of times.  Only kinds of stretches with a noted gram are looked at further: stretches that are
+equal as a whole are duplicated throughout; other stretches that share a gram are compared string by string, one of each
+kind.  All strings of a comparison share the gram, so the work is dealt by grams, and a gram of many stretches is dealt
+further by the strings' own hashes.  A family is a set of tables: ``state`` and ``resume`` carry it to a later corpus.
 
 Texts are UTF-8 bytes; a null text is empty; nothing crosses documents. Texts of fewer than ``LENGTH`` bytes lose nothing.
-Repeated rows are duplicates of each other. Strings are compared by 64-bit hashes. Further columns are ignored. An empty
-table gives an empty result. A text may have up to 256 MB.
+Long texts are read in overlapping pieces, so their length is bounded by Spark's rows only. Repeated rows are duplicates of
+each other. Strings are compared by 64-bit hashes. Further columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,23 +35,41 @@ from boreflow.llm.shared import Scratch
 
 LENGTH, GRAM = 200, 48
 POSITION_BITS = np.uint64(28)
-#: Batches that one call feeds to the family.
-BATCHES = 2
+#: Batches that one call feeds to the family: the last one meets two levels. Each scan reads all levels once.
+BATCHES = 4
 #: Stretches of one gram up to which it is not dealt further.
 PART = 256
+#: Bytes of text that are worked on at once, and of a piece of a longer text.
+CHUNK, PIECE = 4 << 20, 16 << 20
+
+
+def _pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[Stretches]:
+    """Stretches of all texts; a text longer than ``PIECE`` comes in pieces whose starts do not overlap."""
+    group, size = [], 0
+    for d, t in enumerate(texts):
+        for base in range(0, max(1, len(t) - length + 1), PIECE):
+            part = t[base : base + PIECE + length - 1]
+            if group and size + len(part) > 2 * PIECE:
+                yield Stretches(group, length)
+                group, size = [], 0
+            group.append((d, base, part))
+            size += len(part)
+    if group:
+        yield Stretches(group, length)
 
 
 class Stretches:
-    """Chosen suffixes of some texts: ``h`` gram hash, ``s`` stretch digest, ``doc``, ``at`` first start, ``n`` starts."""
+    """Chosen suffixes of (doc, base, bytes): ``k`` first bytes, ``h`` gram hash, ``s`` stretch digest, ``doc``, ``start``, ``n``.
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    ``start`` is the first start of the stretch in its document and ``n`` how many starts it has.
+    """
+
+    def __init__(self, parts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM):
         self.length = length
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        if len(raw) >= 1 << int(POSITION_BITS):
-            raise ValueError("a text has 256 MB or more")
-        self.begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        raw = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        begins = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])]).astype(np.int64)
         self.h = self.s = np.empty(0, np.uint64)
-        self.doc = self.at = self.n = np.empty(0, np.int64)
+        self.k = self.doc = self.at = self.n = self.start = np.empty(0, np.int64)
         size = len(raw)
         if size < length:
             return
@@ -67,14 +88,19 @@ class Stretches:
         chosen = (m & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64)
         # maximal runs of starts in one document that chose one position
         starts = np.flatnonzero(np.diff(chosen, prepend=-1))
-        cuts = np.unique(np.concatenate([starts, self.begins[(self.begins < len(chosen))]]))
+        cuts = np.unique(np.concatenate([starts, begins[begins < len(chosen)]]))
         ends = np.append(cuts[1:], len(chosen))
-        doc = np.searchsorted(self.begins, cuts, side="right") - 1
-        ends = np.minimum(ends, self.begins[doc + 1] - length + 1)
+        part = np.searchsorted(begins, cuts, side="right") - 1
+        ends = np.minimum(ends, begins[part + 1] - length + 1)
         good = ends > cuts
-        self.at, self.n, self.doc = cuts[good], (ends - cuts)[good], doc[good]
-        self.h = g[chosen[self.at]]
+        self.at, self.n, part = cuts[good], (ends - cuts)[good], part[good]
+        self.doc = np.array([p[0] for p in parts])[part]
+        self.start = self.at - begins[part] + np.array([p[1] for p in parts])[part]
+        first = chosen[self.at]
+        self.h = g[first]
         self.s = self.hashes(self.at, self.n + length - 1)
+        self.k = np.ascontiguousarray(raw[first[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
+        self.k = (self.k ^ np.uint64(1 << 63)).astype(np.int64)  # signed numbers in the order of the bytes
 
     def hashes(self, at: np.ndarray, length) -> np.ndarray:
         """Hashes of the strings that start at the given positions."""
@@ -83,11 +109,12 @@ class Stretches:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]):
-    for b, texts in _chunks(batches, 4 << 20):
-        x = Stretches(texts)
-        rows = pa.array(x.doc)
-        cols = [pa.array(x.h.astype(np.int64)), pa.array(x.s.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([*cols, b.column("doc_id").take(rows), b.column("version").take(rows)], ["h", "s", "doc_id", "version"])
+    for b, texts in _chunks(batches, CHUNK):
+        for x in _pieces(texts):
+            rows = pa.array(x.doc)
+            cols = [pa.array(x.k), pa.array(x.h.astype(np.int64)), pa.array(x.s.astype(np.int64))]
+            cols += [b.column("doc_id").take(rows), b.column("version").take(rows)]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "h", "s", "doc_id", "version"])
 
 
 def versioned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,46 +124,68 @@ def versioned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 class SuffixFamily:
-    """Levels of suffix arrays: rows (h, s, n, rep) in the order of h, n stretches of that kind, rep one document of it."""
+    """Levels of suffix arrays: rows (k, h, s, n, rep) in the order of k and h; n stretches of that kind, rep a document of it."""
 
     def __init__(self, scratch: Scratch):
-        self.scratch, self.levels, self.members, self.made = scratch, [], [], 0
-
-    def _level(self, kinds: DataFrame) -> DataFrame:
+        self.scratch, self.levels, self.members, self.noted, self.made = scratch, [], [], [], 0
+
+    def state(self) -> dict:
+        """Names and ranks of the family's tables, from which ``resume`` goes on."""
+        return {
+            "base": self.scratch.base, "made": self.made, "levels": [(r, n) for r, n, _ in self.levels],
+            "members": [n for n, _ in self.members], "noted": [n for n, _ in self.noted],
+        }
+
+    @classmethod
+    def resume(cls, scratch: Scratch, state: dict) -> SuffixFamily:
+        """A family whose tables ``scratch`` holds from now on; those of the state are read where they are."""
+        family, at = cls(scratch), lambda n: scratch.spark.read.parquet(f"{state['base']}/{n}")
+        family.made = state["made"]
+        family.levels = [(r, n, at(n)) for r, n in state["levels"]]
+        family.members = [(n, at(n)) for n in state["members"]]
+        family.noted = [(n, at(n)) for n in state["noted"]]
+        return family
+
+    def _save(self, df: DataFrame, kind: str) -> tuple[str, DataFrame]:
         self.made += 1
-        return self.scratch.save(kinds.sortWithinPartitions("h", "s"), f"level-{self.made}")
+        return f"{kind}-{self.made}", self.scratch.save(df, f"{kind}-{self.made}")
 
     def add(self, docs: DataFrame) -> None:
-        """A new batch (rows of ``versioned``) becomes the lowest level; equal ranks merge."""
-        self.made += 1
-        kind = "h bigint, s bigint, doc_id bigint, version bigint"
-        own = self.scratch.save(docs.mapInArrow(_suffixes, kind), f"suffixes-{self.made}")
-        self.members.append(own)
+        """A new batch (rows of ``versioned``): scanned against each level, then the lowest level; equal ranks merge."""
+        self.members.append(self._save(docs.mapInArrow(_suffixes, "k bigint, h bigint, s bigint, doc_id bigint, version bigint"), "suffixes"))
         rep = F.struct("doc_id", "version").alias("rep")
-        kinds = own.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(rep).alias("rep"))
-        self.levels.append((0, f"level-{self.made + 1}", self._level(kinds)))
+        kinds = self.members[-1][1].groupBy("k", "h", "s").agg(F.count("*").alias("n"), F.min(rep).alias("rep"))
+        level = self._save(kinds.sortWithinPartitions("k", "h"), "level")
+        grams = level[1].groupBy("k", "h").agg(F.sum("n").alias("n"))
+        met = grams.where("n > 1").select("k", "h")
+        for _, _, old in self.levels:
+            met = met.union(grams.join(old.select("k", "h"), ["k", "h"], "left_semi").select("k", "h"))
+        self.noted.append(self._save(met.distinct(), "noted"))
+        self.levels.append((0, *level))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, old_a, a), (_, old_b, b) = self.levels.pop(), self.levels.pop()
-            both = a.union(b).groupBy("h", "s").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
-            name = f"level-{self.made + 1}"
-            self.levels.append((rank + 1, name, self._level(both)))
+            both = a.union(b).groupBy("k", "h", "s").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+            self.levels.append((rank + 1, *self._save(both.sortWithinPartitions("k", "h"), "level")))
             self.scratch.drop(old_a, old_b)
 
     def scan(self) -> DataFrame:
-        """Merge-scan of all levels: kinds whose gram starts more than one stretch (h, s, n, rep, kinds)."""
-        merged = self.levels[0][2]
-        if len(self.levels) > 1:
-            for _, _, x in self.levels[1:]:
-                merged = merged.union(x)
-            merged = merged.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
-        grams = merged.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
-        return merged.join(grams.select("h", "kinds"), "h")
+        """Kinds whose gram starts more than one stretch (h, s, n, rep, kinds), from the grams that the scans noted."""
+        noted = _all([t for _, t in self.noted]).distinct()
+        found = _all([x for _, _, x in self.levels]).join(noted, ["k", "h"], "left_semi")
+        merged = found.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+        merged = self._save(merged, "met")[1]
+        grams = merged.groupBy("h").agg(F.count("*").alias("kinds"))
+        return merged.join(grams, "h")
 
     def occurrences(self) -> DataFrame:
-        out = self.members[0]
-        for x in self.members[1:]:
-            out = out.union(x)
-        return out
+        return _all([t for _, t in self.members])
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 STRINGS = "h bigint, part int, s bigint, n bigint, offsets binary, hashes binary"
@@ -144,18 +193,14 @@ STRINGS = "h bigint, part int, s bigint, n bigint, offsets binary, hashes binary
 
 def _strings(batches: Iterator[pa.RecordBatch]):
     """String hashes of the stretches that need comparison, dealt by gram and part."""
-    for b, texts in _chunks(batches, 4 << 20):
-        wanted = b.column("compare").to_pylist()
-        x, rows = Stretches(texts), []
-        begin = np.searchsorted(x.doc, np.arange(len(texts) + 1))
-        for d, want in enumerate(wanted):
-            if not want:
-                continue
-            own = slice(begin[d], begin[d + 1])
-            s = x.s[own].astype(np.int64)
-            first = {v: i for i, v in reversed(list(enumerate(s.tolist())))}
-            for w in want:
-                i = begin[d] + first[w["s"]]
+    for b, texts in _chunks(batches, CHUNK):
+        wanted = [{w["s"]: w for w in ws or []} for ws in b.column("compare").to_pylist()]
+        for x in _pieces(texts):
+            rows = []
+            for i, (d, s) in enumerate(zip(x.doc.tolist(), x.s.astype(np.int64).tolist(), strict=True)):
+                w = wanted[d].pop(s, None)  # the first stretch of its kind in the document
+                if w is None:
+                    continue
                 starts = np.arange(x.n[i])
                 hs = x.hashes(x.at[i] + starts, x.length)
                 parts = -(-w["kinds"] // PART)
@@ -163,10 +208,10 @@ def _strings(batches: Iterator[pa.RecordBatch]):
                     mine = np.flatnonzero(hs % np.uint64(parts) == p) if parts > 1 else starts
                     if len(mine):
                         rows.append((w["h"], p, w["s"], w["n"], mine.astype("<i4").tobytes(), hs[mine].tobytes()))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        names = ["h", "part", "s", "n", "offsets", "hashes"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            names = ["h", "part", "s", "n", "offsets", "hashes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], most: int = 1 << 20):
@@ -199,32 +244,41 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int = 1 << 20):
         yield settle(rows)
 
 
+def _merged(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Maximal runs (start, stop) of the union of some spans."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(stop[order])
+    new = np.concatenate([[True], first[1:] > reach[:-1]]) if len(first) else np.empty(0, bool)
+    return np.stack([first[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)] if len(first) else first], axis=1)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]):
     """Removes the strings of wholly duplicated stretches and those found by comparison."""
-    for b, texts in _chunks(batches, 4 << 20):
-        whole, some = b.column("whole").to_pylist(), b.column("some").to_pylist()
-        x = Stretches(texts)
-        begin = np.searchsorted(x.doc, np.arange(len(texts) + 1))
-        spans, kept = [], []
-        for d, t in enumerate(texts):
-            mask = np.zeros(len(t) + 1, np.int32)
-            own, base = slice(begin[d], begin[d + 1]), x.begins[d]
-            s, at, n = x.s[own].astype(np.int64), x.at[own] - base, x.n[own]
-            full = np.isin(s, np.array(whole[d] or [], np.int64))
-            np.add.at(mask, at[full], 1)
-            np.add.at(mask, at[full] + n[full] + x.length - 1, -1)
-            if some[d]:
-                first = {v: i for i, v in reversed(list(enumerate(s.tolist())))}
-                for piece in some[d]:
-                    starts = at[first[piece["s"]]] + np.frombuffer(piece["offsets"], "<i4")
-                    np.add.at(mask, starts, 1)
-                    np.add.at(mask, starts + x.length, -1)
-            gone = np.cumsum(mask[:-1]) > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            spans.append([{"start": a, "stop": z} for a, z in edge.reshape(-1, 2).tolist()])
-            kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
+    for b, texts in _chunks(batches, CHUNK):
+        whole = [set(w or []) for w in b.column("whole").to_pylist()]
+        some: list[dict] = [{} for _ in texts]
+        for d, pieces in enumerate(b.column("some").to_pylist()):
+            for piece in pieces or []:
+                some[d].setdefault(piece["s"], []).append(np.frombuffer(piece["offsets"], "<i4"))
+        spans: list[list] = [[] for _ in texts]
+        for x in _pieces(texts):
+            for d, s, at, n in zip(x.doc.tolist(), x.s.astype(np.int64).tolist(), x.start.tolist(), x.n.tolist(), strict=True):
+                if s in whole[d]:
+                    spans[d].append(np.array([[at, at + n - 1 + x.length]]))
+                for offsets in some[d].pop(s, ()):
+                    spans[d].append(np.stack([at + offsets, at + offsets + x.length], axis=1).astype(np.int64))
+        runs, kept = [], []
+        for t, found in zip(texts, spans, strict=True):
+            gone = np.concatenate([np.empty((0, 2), np.int64), *found])
+            gone = _merged(gone[:, 0], gone[:, 1]).tolist()
+            at, left = 0, []
+            for start, stop in gone:
+                left.append(t[at:start])
+                at = stop
+            kept.append(b"".join([*left, t[at:]]))
+            runs.append([{"start": start, "stop": stop} for start, stop in gone])
         valid = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
-        out = [b.column("doc_id"), b.column("version"), pa.array(spans, SPANS), pa.array(kept, pa.binary()), valid]
+        out = [b.column("doc_id"), b.column("version"), pa.array(runs, SPANS), pa.array(kept, pa.binary()), valid]
         yield pa.RecordBatch.from_arrays(out, ["doc_id", "version", "spans", "kept", "kept_text"])
 
 
@@ -258,6 +312,7 @@ def removals(
     compare = kinds.where("kinds > 1").groupBy("rep").agg(F.collect_list(F.struct("h", "s", "n", "kinds")).alias("compare"))
     compare = compare.select("rep.doc_id", "rep.version", "compare")
     marks = scratch.save(_by_doc(whole, compare), "marks")
+    scratch.drop(*(n for n, _ in family.members + family.noted))
     touched = plain.withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     touched = _with_marks(touched, marks, ["whole", "compare"])
     hit = F.col("whole").isNotNull() | F.col("compare").isNotNull()

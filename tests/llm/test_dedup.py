@@ -125,13 +125,14 @@ def cut(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("batches,part", [(1, 256), (5, 2)])
-def test_repeats_are_removed(spark, monkeypatch, batches, part):
+@pytest.mark.parametrize("batches,part,piece", [(1, 256, 1 << 24), (4, 256, 1 << 24), (5, 2, 70)])
+def test_repeats_are_removed(spark, monkeypatch, batches, part, piece):
     from pyspark.sql import functions as F
 
     from boreflow.llm import suffix_index
 
     monkeypatch.setattr(suffix_index, "PART", part)
+    monkeypatch.setattr(suffix_index, "PIECE", piece)
     rng = random.Random(8)
     say = lambda n: " ".join(rng.choice(["été", "ab", "cdefg", "hij", "k", "lmnopq", "rs"]) + str(rng.randint(0, 99)) for _ in range(n))
     shared = [say(n) for n in (20, 39, 40, 41, 60, 100)]
@@ -146,6 +147,39 @@ def test_repeats_are_removed(spark, monkeypatch, batches, part):
     assert suffix_index.remove_repeats(docs.where("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_a_new_batch_is_scanned_against_every_level(spark):
+    from boreflow.llm import suffix_index
+
+    rng = random.Random(4)
+    say = lambda: "".join(rng.choice("abcdefghijkl ") for _ in range(300))
+    old = [say() for _ in range(3)]
+    family, noted = suffix_index.SuffixFamily(Scratch(spark, "t")), []
+    for texts in ([old[0]], [old[1]], [old[2]], [old[0], say()], [old[2] + say()]):
+        if len(noted) == 3:  # goes on from its tables
+            family = suffix_index.SuffixFamily.resume(Scratch(spark, "t"), family.state())
+        rows = spark.createDataFrame([(i + 10 * len(noted), t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+        family.add(suffix_index.versioned(rows))
+        noted.append(family.noted[-1][1].count() > 0)
+    assert noted == [False, False, False, True, True]
+    reps = {r.rep.doc_id for r in family.scan().collect()}
+    assert reps <= {0, 20, 30, 40} and {0, 20} <= reps
+
+
+def test_suffixes_are_in_the_order_of_their_bytes():
+    import numpy as np
+
+    from boreflow.llm import suffix_index
+
+    text = "é".encode() * 150 + b"".join(bytes([97 + i * i % 26]) for i in range(400))
+    (x,) = suffix_index._pieces([text])
+    heads = [text[i : i + 8] for i in range(len(text) - 7)]
+    by_k = {int(k): None for k in x.k}
+    known = {int((int.from_bytes(h, "big") ^ (1 << 63)) - (1 << 64 if int.from_bytes(h, "big") ^ (1 << 63) >= 1 << 63 else 0)): h for h in heads}
+    assert set(by_k) <= set(known)
+    ordered = [known[int(k)] for k in np.sort(x.k)]
+    assert ordered == sorted(ordered)
+
+
 def test_levels_merge_geometrically(spark):
     from boreflow.llm import suffix_index
 
