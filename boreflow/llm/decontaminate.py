@@ -1,15 +1,19 @@
 """Benchmark decontamination with a positional inverted index.
 
 A test item is cut to windows of ``WINDOW`` consecutive words (a shorter item is one window).  Term counts over all
-training text tell the rarest and the second rarest term of each window.  The index holds training postings of those
-terms: where the list of the rarest term and the list of the second rarest, shifted by their distance in the window,
-intersect.  Each posting keeps the words around it, so a phrase is confirmed on the index, word by word, and the matched
-run of words is known without reading the text again.
-
-Null texts and items have no words: such documents have no hits, such items no windows. Repeated document rows are all
-returned; rows that share an id but not a text are judged apart. Items that share an id count once. Further columns are
-ignored. Empty tables give empty results, or documents without hits.  Only built-in functions run here.  Test terms are
-broadcast in blocks of ``BLOCK`` rows, each against all documents, so any number of items works.
+training text tell the rarest and the second rarest term of each window.  The index holds the training postings of those
+terms, (term, doc_id, version, pos); those of rarest terms keep the words around them.  An exact phrase is found by
+intersecting the stored list of the rarest term, shifted by the distance of both in the window, with the stored list of the
+second rarest; what is left is confirmed word by word on the words kept in the posting, so that the matched run of words is
+known without reading the text again.  A proximity match is an item one of whose windows has its two rarest terms within a
+given distance, at any offset: the same two lists, joined by cells of positions.
+
+Null texts and items have no words: such documents have no hits, such items no windows. Items without an id are found like
+others, but have no name to give. Repeated document rows are all returned; rows that share an id but not a text are judged
+apart. Items that share an id count once. Texts of any length are read whole. Further columns are ignored, whatever their
+names. Empty tables give empty results, or documents without hits.  Only built-in functions run here.  Test terms are broadcast
+in blocks of ``BLOCK`` rows, each against all documents, so any number of items works; all intersections are semi joins, so
+repeated rows multiply nothing.
 """
 
 from __future__ import annotations
@@ -43,10 +47,9 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, version, words); version tells apart texts that share an id."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), words_of(F.col(text)).alias("words")
-    )
+    """Rows (doc_id, version, words, n_words); version tells apart texts that share an id."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), words_of(F.col(text)).alias("words"))
+    return rows.withColumn("n_words", F.size("words").cast("bigint"))
 
 
 def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -89,26 +92,58 @@ def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
 
 
 def build_index(docs: DataFrame, picked: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """Stored postings (term, doc_id, version, pos, before, after) where the two rarest terms of a window meet."""
-    pairs = picked.select("term", "delta", "second").distinct()
-    other = F.col("pos") + F.col("delta")
-    meets = F.col("second").isNull() | (
-        (other >= 0) & (F.get("words", F.greatest(other, F.lit(0))) == F.col("second"))
-    )
+    """Stored postings (term, doc_id, version, pos, before, after) of the rarest and second rarest terms.
+
+    ``before`` and ``after`` are the words around those that are a rarest term, else null.
+    """
+    roles = picked.select("term", F.lit(True).alias("rarest")).union(picked.select("second", F.lit(False)).where("second is not null"))
+    roles = roles.groupBy("term").agg(F.max("rarest").alias("rarest"))
     tokens = docs.select("doc_id", "version", "words", F.posexplode("words").alias("pos", "term"))
     near = F.lit(window - 1)
     low = F.greatest(F.lit(0), F.col("pos") - near)
+    before = F.reverse(F.slice("words", low + 1, F.col("pos") - low))
     found = [
-        tokens.join(F.broadcast(p), "term").where(meets).select(
-            "term", "doc_id", "version", "pos",
-            F.reverse(F.slice("words", low + 1, F.col("pos") - low)).alias("before"),
-            F.slice("words", F.col("pos") + 2, near).alias("after"),
+        tokens.join(F.broadcast(r), "term").select(
+            "term", "doc_id", "version", "pos", F.when(F.col("rarest"), before).alias("before"),
+            F.when(F.col("rarest"), F.slice("words", F.col("pos") + 2, near)).alias("after"),
         )
-        for p in _blocks(pairs, "term")
+        for r in _blocks(roles, "term")
     ]
     return scratch.save(_all(found), "postings")
 
 
+def _second(index: DataFrame, at: Column) -> DataFrame:
+    """The lists of second rarest terms, named so that they join the others."""
+    return index.select(F.col("term").alias("t2"), F.col("doc_id").alias("d2"), F.col("version").alias("v2"), at.alias("p2"), F.col("pos").alias("q2"))
+
+
+def _in_one_text(at: Column) -> Column:
+    return (F.col("second") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("version") == F.col("v2")) & (at == F.col("p2"))
+
+
+def intersect(index: DataFrame, picked: DataFrame) -> DataFrame:
+    """Postings of rarest terms with the second rarest at its place: the lists meet after a shift by their distance."""
+    pairs = picked.select("term", "delta", "second").distinct()
+    rarest = index.where("before is not null")
+    shifted = _all([rarest.join(F.broadcast(p), "term") for p in _blocks(pairs, "term")])
+    there = (F.col("pos") + F.col("delta")).cast("int")
+    both = shifted.where("second is not null").withColumn("there", there)
+    met = both.join(_second(index, F.col("pos")), _in_one_text(F.col("there")), "left_semi").drop("there")
+    return met.union(shifted.where("second is null")).drop("delta", "second")
+
+
+def proximity(index: DataFrame, picked: DataFrame, distance: int) -> DataFrame:
+    """Rows (doc_id, version, item_id): the two rarest terms of a window of the item at most ``distance`` words apart."""
+    pairs = picked.where("second is not null").select("item_id", "term", "second").distinct()
+    rarest = index.where("before is not null").select("term", "doc_id", "version", "pos")
+    cell = F.floor(F.col("pos") / distance)
+    shifted = _all([rarest.join(F.broadcast(p), "term") for p in _blocks(pairs, "term")])
+    around = shifted.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    apart = F.abs(F.col("pos") - F.col("q2"))
+    close = _in_one_text(F.col("cell")) & (apart <= distance) & (apart > 0)
+    return around.join(_second(index, cell), close, "left_semi").select("doc_id", "version", "item_id").distinct()
+
+
 def _same(x: str, y: str) -> Column:
     """How many leading words two lists share."""
     equal = F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -143,15 +178,20 @@ def near(docs: DataFrame, pairs: DataFrame, scratch: Scratch, distance: int) ->
 
 
 def find(
-    docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Per document: doc_id, version, n_words, ``spans`` (maximal runs of hit words, ends included) and ``item_ids``."""
-    tokens = tokenized(docs, doc_id, text)
+    docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
+    distance: int | None = None,
+) -> DataFrame:
+    """Per document: doc_id, version, n_words, ``spans`` (maximal runs of hit words, ends included) and ``item_ids``.
+
+    With a ``distance`` also ``near_ids``, the items with a proximity match.
+    """
+    tokens = scratch.save(tokenized(docs, doc_id, text), "tokens")
     items = scratch.save(items_of(benchmark), "items")
     terms = items.select(F.explode("w").alias("term")).distinct()
     counts = scratch.save(term_counts(tokens, terms), "counts")
     picked = scratch.save(anchors(items, counts, window), "anchors")
-    runs = phrases(build_index(tokens, picked, scratch, window), picked)
+    index = build_index(tokens, picked, scratch, window)
+    runs = phrases(intersect(index, picked), picked)
     # merge the runs of a document: they are sorted, and each adds to the last span or opens the next
     per_doc = runs.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"), F.collect_set("item_id").alias("item_ids")
@@ -166,7 +206,17 @@ def find(
         lambda s: F.concat(s["done"], F.array(s["open"])),
     )
     per_doc = per_doc.select("doc_id", "version", merged.alias("spans"), "item_ids")
-    sizes = tokens.select("doc_id", "version", F.size("words").cast("bigint").alias("n_words"))
+    per_doc = per_doc.withColumn("near_ids", F.lit(None).cast(per_doc.schema["item_ids"].dataType))
+    if distance is not None:
+        close = proximity(index, picked, distance).groupBy("doc_id", "version").agg(F.collect_set("item_id").alias("near_ids"))
+        empty = F.lit(None).cast(per_doc.schema["spans"].dataType)
+        close = close.select("doc_id", "version", empty.alias("spans"), F.lit(None).cast(close.schema["near_ids"].dataType).alias("item_ids"), "near_ids")
+        per_doc = per_doc.unionByName(close).groupBy("doc_id", "version").agg(
+            *(F.first(c, ignorenulls=True).alias(c) for c in ("spans", "item_ids", "near_ids"))
+        )
+    per_doc = scratch.save(per_doc if distance is not None else per_doc.drop("near_ids"), "found")
+    scratch.drop("postings")
+    sizes = tokens.select("doc_id", "version", "n_words")
     keyed = per_doc.withColumnsRenamed({"doc_id": "hit_id", "version": "hit_version"})
     same = sizes["doc_id"].eqNullSafe(keyed["hit_id"]) & (sizes["version"] == keyed["hit_version"])
     return sizes.join(keyed, same, "left").drop("hit_id", "hit_version")

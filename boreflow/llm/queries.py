@@ -79,12 +79,13 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    found = decontaminate.find(docs, items, Scratch(spark, "leaks"))
+    found = decontaminate.find(docs, items, Scratch(spark, "leaks"), distance=decontaminate.WINDOW)
     ids = F.array_sort(F.coalesce(F.col("item_ids").cast("array<string>"), F.array().cast("array<string>")))
     n_hit = decontaminate.hit_words("spans")
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce(F.size("near_ids"), F.lit(0)).cast("bigint").alias("n_near_items"),
     )
 
 
@@ -140,11 +141,21 @@ i AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, unnest(list_transform(ran
 p AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS s, w FROM d, (SELECT DISTINCT m FROM i) WHERE len(w) >= m),
 h AS (SELECT doc_id, s, p.m, item_id FROM p JOIN i ON p.m = i.m AND w[s : s + p.m - 1] = g),
 k AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT DISTINCT doc_id, unnest(range(s, s + m)) AS q FROM h) GROUP BY 1),
+c AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) WHERE term IN (SELECT unnest(w) FROM b) GROUP BY 1),
+x AS (SELECT DISTINCT item_id, m, s, j, w[j] AS term, coalesce(c.n, 0) AS n FROM (SELECT item_id, w, m, s, unnest(range(s, s + m)) AS j
+    FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM (SELECT DISTINCT * FROM b)
+    WHERE len(w) > 1)) LEFT JOIN c ON c.term = w[j]),
+y AS (SELECT *, row_number() OVER (PARTITION BY item_id, s ORDER BY n, term, j) AS k FROM x),
+a AS (SELECT DISTINCT e.item_id, e.term AS t1, f.term AS t2 FROM y e JOIN y f ON e.item_id = f.item_id AND e.s = f.s
+    WHERE e.k = 1 AND f.k = 2 AND e.n > 0),
+o AS (SELECT doc_id, j, w[j] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d) WHERE w[j] IN (SELECT t1 FROM a UNION SELECT t2 FROM a)),
+u AS (SELECT e.doc_id, count(DISTINCT a.item_id) AS n FROM a JOIN o e ON e.term = a.t1 JOIN o f ON f.doc_id = e.doc_id AND f.term = a.t2
+    AND abs(f.j - e.j) BETWEEN 1 AND 10 GROUP BY 1),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ','
         ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(k.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
-    sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(k.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(k.n, 0) > 0 AS contaminated, coalesce(u.n, 0) AS n_near_items
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN u USING (doc_id)""",
     "op9_url_filter": r"""
 WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 q AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''),

@@ -50,6 +50,40 @@ def test_leaks(spark, monkeypatch):
     assert decontaminate.find(a.where("false"), b, Scratch(spark, "t")).count() == 0
 
 
+def test_proximity_on_stored_lists(spark):
+    """Two rarest terms of a window by hand: counts over all words of the documents, then any two places close enough."""
+    from collections import Counter
+
+    rng = random.Random(9)
+    say = lambda n: [rng.choice("abcdefghijkl") + str(rng.randint(0, 3)) for _ in range(n)]
+    items = [(i, say(n)) for i, n in enumerate((1, 2, 5, 10, 14, 30))]
+    docs = [(i, say(rng.randint(0, 50))) for i in range(40)]
+    docs.append((40, ["x"] * 5000 + items[3][1]))
+    total, want = Counter(w for _, ws in docs for w in ws), {}
+    a = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    for i, ws in items:
+        m = min(10, len(ws))
+        for s in range(len(ws) - m + 1):
+            best = sorted((total[w], w, j) for j, w in enumerate(ws[s : s + m]))
+            for d, dw in docs if len(best) > 1 and best[0][0] else []:
+                at = [[p for p, w in enumerate(dw) if w == x[1]] for x in best[:2]]
+                if any(0 < abs(p - q) <= 4 for p in at[0] for q in at[1]):
+                    want.setdefault(d, set()).add(i)
+    got = decontaminate.find(a, b, Scratch(spark, "t"), distance=4).collect()
+    assert {r.doc_id: set(r.near_ids) for r in got if r.near_ids} == want and len(got) == len(docs)
+
+
+def test_leaks_in_long_and_repeated_rows(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    docs = [(1, "w " * 200_000 + item), (2, item), (2, item), (2, "W"), (None, item), (3, None)]
+    a = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id bigint, text string, n_words int, item_ids int")
+    b = spark.createDataFrame([(None, item), (7, None), (8, item)], "item_id bigint, text string")
+    got = decontaminate.find(a, b, Scratch(spark, "t"), distance=10).withColumn("n", decontaminate.hit_words("spans")).collect()
+    want = [(1, 200_012, 12), (2, 1, 0), (2, 12, 12), (2, 12, 12), (3, 0, 0), (None, 12, 12)]
+    assert sorted(((r.doc_id, r.n_words, r.n) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_near(spark):
     docs = decontaminate.tokenized(spark.createDataFrame([(1, "a x b x x x x a"), (2, "b a")], "doc_id bigint, text string"))
     pairs = spark.createDataFrame([("a", "b")], "a string, b string")
