@@ -61,9 +61,23 @@ def json_path(c: Column, dotted: str) -> Column:
     return F.get_json_object(c, "$" + steps)
 
 
-def find_values(json: Column, key: str) -> Column:
-    """All scalar values under a key at any depth of a JSON text."""
-    return F.regexp_extract_all(json, F.lit(rf'"{key}"\s*:\s*"?([^",}}\]]+)'), 1)
+def find_values(json: Column, key: str, depth: int = 12) -> Column:
+    """All values under a key at any depth of a JSON text, as text; what is no JSON has none.
+
+    Objects and arrays are walked level by level, up to so many levels, on the parsed value; in a level the keys of an object
+    are taken in their order by name. A list or object that is found comes as JSON.
+    """
+    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    none = F.array().cast("array<variant>")
+    below = lambda v: F.coalesce(F.map_values(as_map(v)), as_list(v), none)
+    hit = lambda v: F.coalesce(F.map_values(F.map_filter(as_map(v), lambda k, x: k == key)), none)
+    start = F.coalesce(F.array(F.try_parse_json(json)), none)
+    step = lambda s, i: F.struct(
+        F.flatten(F.transform(s["at"], below)).alias("at"), F.concat(s["found"], F.flatten(F.transform(s["at"], hit))).alias("found")
+    )
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.struct(start.alias("at"), none.alias("found")), step, lambda s: s["found"])
+    return F.transform(walked, lambda v: F.try_variant_get(v, "$", "string"))
 
 
 def clean_key(key: Column) -> Column:
@@ -161,3 +175,43 @@ def depths_of(keypoints: Column) -> Column:
     return F.zip_with(
         F.slice(keypoints, 2, F.greatest(n - 1, F.lit(0))), F.slice(keypoints, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a
     )
+
+
+def flatten_result(payload: Column, keys: dict[str, str]) -> dict[str, Column]:
+    """Columns of a result message: arrays of step and empty signals as ``rows``, and the ids.
+
+    ``keys`` gives a part of the dotted key for step, torque_empty, thrust_empty, machine_id and result_id. A step that is no
+    list counts as a list of one.
+    """
+    m = payload_map(payload)
+    numbers = lambda k: F.from_json(lookup_containing(m, keys[k]), "array<double>")
+    step = lookup_containing(m, keys["step"])
+    steps = F.coalesce(F.when(F.startswith(step, F.lit("[")), F.from_json(step, "array<int>")), F.array(step.try_cast("int")))
+    rows = F.arrays_zip(steps.alias("step"), numbers("torque_empty").alias("torque_empty"), numbers("thrust_empty").alias("thrust_empty"))
+    return {
+        "rows": rows, "hole_id": lookup_containing(m, keys["machine_id"]),
+        "local": lookup_containing(m, keys["result_id"]).try_cast("int"), "predrilled": F.lit(1),
+    }
+
+
+def flatten_raw(payload: Column, keys: dict[str, str]) -> dict[str, Column]:
+    """Columns of a raw message by exact keys: samples as ``rows``, positions negated, and ids with their defaults.
+
+    Missing: hole 'UNKNOWN', local 0, predrilled 1, an array without values. A message that is no JSON is one without keys.
+    """
+    m = F.coalesce(payload_map(payload), F.create_map().cast("map<string,string>"))
+    text = lambda k: F.try_element_at(m, F.lit(keys[k]))
+    numbers = lambda k: F.coalesce(F.from_json(text(k), "array<double>"), F.array().cast("array<double>"))
+    names = ("position", "torque", "torque_empty", "step")
+    arrays = {k: numbers(k) for k in names}
+    arrays["position"] = F.transform(arrays["position"], lambda x: -x)
+    return {
+        "rows": F.arrays_zip(*(arrays[k].alias(k) for k in names)), "hole_id": F.coalesce(text("hole_id"), F.lit("UNKNOWN")),
+        "local": F.coalesce(text("local").try_cast("int"), F.lit(0)), "predrilled": F.coalesce(text("predrilled").try_cast("int"), F.lit(1)),
+    }
+
+
+def heads_value(value: Column, n: Column, idx: Column) -> Column:
+    """Value of a heads field for one row: an array as long as the frame gives its element, all else is repeated as text."""
+    items = F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>"))
+    return F.when(F.size(items) == n, F.get(items, idx.cast("int"))).otherwise(value)

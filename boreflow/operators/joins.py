@@ -76,19 +76,28 @@ def label_periods(samples: DataFrame, periods: DataFrame, ts: str, start: str, e
     return x.join(p, inside, "left").drop("_s", "_e", "_b", "_c")
 
 
-def duplicates(df: DataFrame, key: str, ts: str, content: str, seconds: float = 1.0) -> DataFrame:
+def duplicates(df: DataFrame, key: str, ts: str, content: str, seconds: float = 1.0, row: str | None = None) -> DataFrame:
     """Marks repeats: same key and content less than so long after the last one kept (``is_duplicate``).
 
-    A message repeats the one kept before it, so chains are cut where a kept one is that far away: a fold over the
-    times of equal contents.
+    A message repeats the one kept before it, so chains are cut where a message follows its predecessor by that long: only the
+    messages of a chain are folded together. Null keys and contents equal each other; of messages at one time the first by
+    ``row`` (any column that orders them) is kept.
     """
-    t = F.unix_micros(F.col(ts))
-    lists = df.groupBy(key, content).agg(F.sort_array(F.collect_list(t)).alias("ts"))
+    from pyspark.sql import Window
+
+    step, order = int(seconds * 1_000_000), ["_t", *([row] if row else [])]
+    w = Window.partitionBy(key, content).orderBy(*order)
+    x = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_n", F.row_number().over(w))
+    opens = F.coalesce(F.col("_t") - F.lag("_t").over(w) >= step, F.lit(True)).cast("int")
+    x = x.withColumn("_open", opens)
+    x = x.withColumn("_chain", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = x.groupBy(key, content, "_chain").agg(F.sort_array(F.collect_list(F.struct("_t", "_n"))).alias("_ts"))
     kept = F.aggregate(
-        "ts",
-        F.array().cast("array<bigint>"),
-        lambda s, x: F.when((F.size(s) > 0) & (x - F.element_at(s, -1) < int(seconds * 1_000_000)), s).otherwise(F.concat(s, F.array(x))),
+        "_ts",
+        F.array().cast("array<struct<_t:bigint,_n:int>>"),
+        lambda s, m: F.when((F.size(s) > 0) & (m["_t"] - F.element_at(s, -1)["_t"] < step), s).otherwise(F.concat(s, F.array(m))),
     )
-    marks = lists.select(key, content, F.explode(kept).alias("_t"), F.lit(False).alias("_d"))
-    same = df.withColumn("_t", t).join(marks, [key, content, "_t"], "left")
-    return same.withColumn("is_duplicate", F.coalesce("_d", F.lit(True))).drop("_t", "_d")
+    marks = lists.select(F.col(key).alias("_key"), F.col(content).alias("_content"), F.explode(F.transform(kept, lambda m: m["_n"])).alias("_kept"))
+    same = x[key].eqNullSafe(marks["_key"]) & x[content].eqNullSafe(marks["_content"]) & (x["_n"] == marks["_kept"])
+    out = x.join(marks, same, "left").withColumn("is_duplicate", F.col("_kept").isNull())
+    return out.drop("_t", "_n", "_open", "_chain", "_key", "_content", "_kept")

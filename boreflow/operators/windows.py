@@ -73,9 +73,10 @@ def smooth_centred(df: DataFrame, c: str, n: int, out: str, *extra: str) -> Data
     """Centred mean, ends filled with the nearest full value."""
     w = centred(n, *extra)
     raw = df.withColumn("_m", F.when(F.count(c).over(w) == n, F.avg(c).over(w)))
-    ahead = by_hole(*extra).rowsBetween(0, Window.unboundedFollowing)
     back = by_hole(*extra).rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.coalesce("_m", F.first("_m", True).over(ahead), F.last("_m", True).over(back))
+    # the next full value is the last one in the turned order, a running value; a frame to the end is read anew for each row
+    turned = Window.partitionBy(HOLE, *extra).orderBy(F.desc(IDX)).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce("_m", F.last("_m", True).over(turned), F.last("_m", True).over(back))
     return raw.withColumn(out, filled).drop("_m")
 
 

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boreflow.functions.columns import decimal_comma
+from boreflow.functions.columns import decimal_comma, find_values
+from boreflow.operators.places import places
 
 #: Column names of the sample block and their short names (fixed values of the file format).
 SAMPLE_COLUMNS = {
     "Position (mm)": "pos_mm", "I Torque (A)": "torque_a", "I Thrust (A)": "thrust_a", "I Torque Empty (A)": "torque_empty_a",
     "I Thrust Empty (A)": "thrust_empty_a", "Step (nb)": "step",
 }
-#: Names given to blocks without a header, by the number of columns.
+#: Columns of blocks without a header (fixed values of the file format): what all have, and what follows by number of columns.
+_FIRST = ["Position (mm)", "I Torque (A)", "I Thrust (A)", "I Torque Empty (A)"]
+_MEMORY = ["Step (nb)", "Stop code", "Mem Torque min (A)", "Mem Thrust min (A)"]
 HEADERLESS = {
-    8: ["Position (mm)", "I Torque (A)", "I Thrust (A)", "I Torque Empty (A)", "I Thrust Empty (A)", "Step (nb)", "Stop code", "Torque Power (W)"],
-    6: list(SAMPLE_COLUMNS),
+    "8": _FIRST + _MEMORY,
+    "11 with a step": [*_FIRST, *_MEMORY, "Rotation Speed (rpm)", "Feed Speed (mm/s)", "Drive Temperature (deg C)"],
+    "11": [*_FIRST, "I Thrust Empty (A)", *_MEMORY, "Torque Power (W)", "Gap Length (mm)"],
+    "6": list(SAMPLE_COLUMNS),
 }
 
 
@@ -46,20 +51,131 @@ def lookup(cells: DataFrame, name: str) -> DataFrame:
     return cells.where((F.col("name") == name) & (F.col("row") == 1)).select("file", F.col("value").alias(name))
 
 
+def headerless_names(cells: Column, fifth_is_whole: Column) -> Column:
+    """Column names by the number of cells; of eleven, the fifth is the step where it is a whole number throughout."""
+    kind = F.when((F.size(cells) == 11) & fifth_is_whole, "11 with a step").otherwise(F.size(cells).cast("string"))
+    names = F.lit(None).cast("array<string>")
+    for k, n in HEADERLESS.items():
+        names = F.when(kind == k, F.array(*map(F.lit, n))).otherwise(names)
+    more = F.array_repeat(F.lit("Unknown"), F.greatest(F.size(cells) - len(_FIRST), F.lit(0)))
+    return F.coalesce(names, F.slice(F.concat(F.array(*map(F.lit, _FIRST)), more), F.lit(1), F.size(cells)))
+
+
 def samples(lines: DataFrame, columns: dict[str, str] = SAMPLE_COLUMNS, separator: str = r"[\t;]") -> DataFrame:
-    """The sample block of each log as numbers: (file, idx, ...). Without a header line the column count decides."""
-    at = lines.where(F.startswith("text", F.lit("Position (mm)"))).groupBy("file").agg(F.min(F.struct("line", "text")).alias("h"))
-    x = lines.join(at, "file", "left")
+    """The sample block of each log as numbers: (file, idx, ...). Without a header line the column count decides.
+
+    Header, column kinds and sample numbers come from windows over the file's lines, which share one shuffle.
+    """
+    whole, order = Window.partitionBy("file"), Window.partitionBy("file").orderBy("line")
+    head = F.when(F.startswith("text", F.lit("Position (mm)")), F.struct("line", "text"))
+    x = lines.withColumn("h", F.min(head).over(whole))
     x = x.where(F.col("h").isNull() | (F.col("line") > F.col("h.line"))).where(~F.startswith("text", F.lit("***")))
     x = x.withColumn("cells", F.split("text", separator))
-    guess = F.create_map(*(v for n, names in HEADERLESS.items() for v in (F.lit(n), F.array(*map(F.lit, names)))))
-    names = F.coalesce(F.split("h.text", separator), F.try_element_at(guess, F.size("cells")))
-    w = Window.partitionBy("file").orderBy("line")
-    x = x.withColumns({"names": names, "idx": (F.row_number().over(w) - 1).cast("bigint")}).where("names is not null")
+    fifth = decimal_comma(F.get("cells", F.lit(4)))
+    x = x.withColumn("w", F.min(F.coalesce(fifth == F.floor(fifth), F.lit(False))).over(whole))
+    names = F.coalesce(F.split("h.text", separator), headerless_names(F.col("cells"), F.col("w")))
+    x = x.withColumns({"names": names, "idx": (F.row_number().over(order) - 1).cast("bigint")})
     value = lambda n: decimal_comma(F.get("cells", (F.array_position("names", n) - 1).cast("int")))
     return x.select("file", "idx", *(value(n).alias(s) for n, s in columns.items()))
 
 
+def combine(lines: DataFrame, path: str) -> DataFrame:
+    """Samples of many files with ``hole_num`` over all files and ``dir_num`` inside the folder above, in path order from 0.
+
+    ``path`` is a new scratch folder.
+    """
+    files = places(lines.select("file").distinct(), ["file"], path, "hole_num")
+    folder = F.regexp_extract("file", r"^(.*)/[^/]+$", 1)
+    files = files.withColumn("dir_num", F.row_number().over(Window.partitionBy(folder).orderBy("file")) - 1)
+    return samples(lines).join(files.withColumn("hole_num", F.col("hole_num") - 1), "file")
+
+
+#: Forms of the date in the head of a log: pattern and how it reads (fixed values of the file format).
+WRITE_DATES = (
+    (r"\d{4}-\d{1,2}-\d{1,2}:(?:2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d", "yyyy-M-d:H:m:s"),
+    (r"\d{2}/\d{2}/\d{2}\s+:\s+\d{2}:\d{2}\s+[AP]M", "dd/MM/yy : hh:mm a"),
+)
+
+
+def write_dates(lines: DataFrame) -> DataFrame:
+    """Rows (file, written): the first date in each file, of either form; files without one are left out."""
+    found = F.lit(None).cast("timestamp")
+    for pattern, form in reversed(WRITE_DATES):
+        text = F.regexp_replace(F.regexp_extract("text", pattern, 0), r"\s+", " ")
+        found = F.coalesce(F.try_to_timestamp(text, F.lit(form)), found)
+    x = lines.withColumn("written", found).where("written is not null")
+    return x.groupBy("file").agg(F.min_by("written", "line").alias("written"))
+
+
+def fastener_curves(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """Tab-separated curves behind four lines and a header: (file, idx, label, ...); rows may lack the label."""
+    x = lines.withColumn("cells", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), "\t"))
+    x = x.withColumn("names", F.min(F.when(F.col("line") == 4, F.col("cells"))).over(Window.partitionBy("file"))).where("line > 4")
+    labelled = F.size("cells") > F.size("names")
+    x = x.withColumns({"label": F.when(labelled, F.col("cells")[0]), "shift": labelled.cast("int")})
+    idx = (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).cast("bigint")
+    value = lambda n: F.get("cells", (F.array_position("names", n) - 1 + F.col("shift")).cast("int")).try_cast("double")
+    return x.select("file", idx.alias("idx"), "label", *(value(n).alias(n) for n in columns))
+
+
+def fastener_facts(lines: DataFrame) -> DataFrame:
+    """Rows (file, created, ok, trigger_nm) from the first four lines of fastener curves."""
+    at = lambda n, c: F.max(F.when(F.col("line") == n, c))
+    text = F.trim("text")
+    created = F.try_to_timestamp(F.regexp_extract(text, r"(\S+ \S+)$", 1), F.lit("dd/MM/yy HH:mm:ss"))
+    trigger = F.regexp_extract(text, r"Trigger torque: ([^\t]*?)(?: Nm.*)?(?:\t.*)?$", 1).try_cast("double")
+    ok = F.element_at(F.split(text, " "), -1) == "OK"
+    return lines.where("line < 4").groupBy("file").agg(at(0, created).alias("created"), at(2, ok).alias("ok"), at(3, trigger).alias("trigger_nm"))
+
+
+def program_values(cells: DataFrame, key: str | None = None, switch: str = "Step On/Off") -> DataFrame:
+    """Cells of ``sections`` whose column name contains the key (case does not matter; none takes all), of steps in use."""
+    rows = cells.where((F.col("name") == switch) & (F.col("value").try_cast("double") != 0)).select("file", "section", "row")
+    found = cells if key is None else cells.where(F.contains(F.lower("name"), F.lit(key.lower())))
+    return found.join(rows, ["file", "section", "row"], "left_semi")
+
+
+def message_triples(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (folder, result, trace, heads, ts, error): the three message files of each folder and the time they share.
+
+    An error says which message is missing, or has source times that are not all the same.
+    """
+    name = r"/([^/]+)/(?:kind=)?(ResultManagement|Trace|Heads)(?:\.json|/[^/]*)$"
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
+    raw = raw.select(F.regexp_extract("file", name, 1).alias("folder"), F.regexp_extract("file", name, 2).alias("kind"), "value")
+    raw = raw.where("kind <> ''").withColumn("times", F.array_distinct(find_values(F.col("value"), "SourceTimestamp")))
+    kinds = {"result": "ResultManagement", "trace": "Trace", "heads": "Heads"}
+    of = lambda c: [F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{n}") for n, k in kinds.items()]
+    x = raw.groupBy("folder").agg(*of("value"), *of("times"))
+    error = F.lit(None).cast("string")
+    for n in reversed(kinds):
+        bad = F.size(f"times_{n}") != 1
+        error = F.when(F.col(f"value_{n}").isNull(), f"no {n} message").when(bad, f"{n} times differ").otherwise(error)
+    ts = F.when(error.isNull(), F.col("times_result")[0])
+    return x.select("folder", *(F.col(f"value_{n}").alias(n) for n in kinds), ts.alias("ts"), error.alias("error"))
+
+
+#: Columns that hold torque and position, by maker of the file (fixed values of the file formats).
+SIGNAL_COLUMNS = (("I Torque (A)", "Position (mm)"), ("unfiltered", "distance"), ("filtered", "distance"))
+
+
+def torque_and_position(df: DataFrame, filtered: bool = False) -> tuple[str, str]:
+    """Names of the torque and position columns, whichever maker's they are."""
+    fit = [p for p in SIGNAL_COLUMNS if set(p) <= set(df.columns)]
+    fit = [p for p in fit if p[0] not in ("filtered", "unfiltered") or p[0] == ("filtered" if filtered else "unfiltered")]
+    if not fit:
+        raise ValueError(f"no torque and position among {df.columns}")
+    return fit[0]
+
+
+def required_columns(df: DataFrame, names: dict[str, str], required: list[str]) -> DataFrame:
+    """The required columns under their short names; those that are missing are named in the error."""
+    short = df.withColumnsRenamed(names)
+    if missing := [c for c in required if c not in short.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return short.select(*required)
+
+
 def write_logs(trace: DataFrame, path: str) -> None:
     """One sectioned log for each hole: counters, then samples with decimal commas."""
     number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
@@ -109,9 +225,9 @@ def cycle_csv(spark: SparkSession, path: str, **constants) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in constants.items()})
 
 
-def nested_program(spark: SparkSession, path: str) -> DataFrame:
+def nested_program(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """JSON cycle files whose ``program`` is JSON text inside JSON: a row for each step, in step order."""
-    raw = spark.read.schema("hole string, program string").option("multiLine", True).json(path)
+    raw = spark.read.schema("hole string, program string").option("multiLine", multi_line).json(path)
     steps = F.from_json("program", "array<struct<step:int,feed:double,rpm:double>>")
     return raw.select("hole", F.explode(F.sort_array(steps)).alias("s")).select("hole", "s.*")
 

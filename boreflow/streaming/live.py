@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,30 +36,33 @@ def match_streams(results: DataFrame, traces: DataFrame, key: str, ts_a: str, ts
 PENDING = "results array<struct<id:bigint,ts:bigint>>, traces array<struct<id:bigint,ts:bigint>>"
 
 
-def greedy_matcher(seconds: float, keep: float = 300.0, most: int = 10_000) -> Callable:
-    """State function of one tool: results and traces wait; each result takes the first trace in its window.
+def greedy_matcher(seconds: float, keep: float = 300.0, most: int | None = None) -> Callable:
+    """State function of one tool: results and traces wait; each takes the first of the other kind in its window.
 
-    Pending items older than ``keep`` seconds of event time go, then the oldest beyond ``most``.  Rows of a micro-batch
-    are taken in the order of their time.
+    Pending items older than ``keep`` seconds of event time go; a bound ``most`` on their number, which drops the oldest, is
+    set by the caller only. Rows of a micro-batch are taken in the order of their time, and what waits is searched by time.
     """
     window, age = int(seconds * 1e6), int(keep * 1e6)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        results, traces = ([tuple(x) for x in part] for part in (state.get if state.exists else ([], [])))
-        new = pd.concat(list(batches)).sort_values(["us", "event_id"]) if not state.hasTimedOut else None
+        held = state.get if state.exists else ([], [])
+        waiting = {k: sorted((int(t), int(i)) for i, t in part) for k, part in zip(("result", "trace"), held, strict=True)}
+        new = pd.concat(list(batches)).sort_values(["us", "event_id"])
         out = []
-        for kind, i, t in zip(new["kind"], new["event_id"], new["us"], strict=True) if new is not None else []:
-            own, other = (results, traces) if kind == "result" else (traces, results)
-            hit = next((x for x in other if abs(x[1] - t) <= window), None)
-            if hit is None:
-                own.append((int(i), int(t)))
+        for kind, i, t in zip(new["kind"], new["event_id"].tolist(), new["us"].tolist(), strict=True):
+            other = waiting["trace" if kind == "result" else "result"]
+            at = bisect_left(other, (t - window,))
+            if at < len(other) and other[at][0] <= t + window:
+                mate = other.pop(at)[1]
+                out.append((key[0], i, mate) if kind == "result" else (key[0], mate, i))
             else:
-                other.remove(hit)
-                out.append((key[0], i, hit[0]) if kind == "result" else (key[0], hit[0], i))
-        if new is not None and len(new):
+                insort(waiting[kind], (t, i))
+        if len(new):
             limit = int(new["us"].max()) - age
-            results, traces = ([x for x in part if x[1] >= limit][-most:] for part in (results, traces))
-        state.update((results, traces))
+            for k, part in waiting.items():
+                part = part[bisect_left(part, (limit,)) :]
+                waiting[k] = part if most is None else part[-most:]
+        state.update(tuple([(i, t) for t, i in waiting[k]] for k in ("result", "trace")))
         yield pd.DataFrame(out, columns=["tool", "result", "trace"])
 
     return run
@@ -150,7 +154,27 @@ def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return batches.drop("batch")
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may match a file or a folder
+def topic_messages(stream: DataFrame, root: str, topic: str = "topic") -> DataFrame:
+    """Messages under ``root/+/+/`` whose topic is that of a result, a trace or heads; adds ``kind``."""
+    kinds = {"ResultManagement": "result", "ResultManagement/Trace": "trace", "AssetManagement/Head": "heads", "AssetManagement/Heads": "heads"}
+    parts = F.split(topic, "/")
+    tail = F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), "/")
+    kind = F.lit(None).cast("string")
+    for suffix, k in kinds.items():
+        kind = F.when(tail == suffix, k).otherwise(kind)
+    return stream.withColumn("kind", kind).where((F.get(parts, F.lit(0)) == root) & F.col("kind").isNotNull())
+
+
+def read_events(spark: SparkSession, sf_dir: str, closing: str | None = None) -> DataFrame:
+    """The events table as a stream; with a ``closing`` scratch folder, and an event long after all others.
+
+    That event moves the watermark past them, so that a join or window that ends with the table gives its last rows too.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may match a file or a folder
+    if closing is None:
+        return stream
+    far = events.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"))
+    row = far.select(*(F.col("ts").cast(f.dataType).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
+    row.write.parquet(closing)
+    return stream.union(spark.readStream.schema(events.schema).parquet(closing))
