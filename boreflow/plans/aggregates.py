@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from boreflow.operators import aggregates as a
 from boreflow.operators import windows as w
+from boreflow.operators.places import places
 from boreflow.plans.bindings import MSG, PROGRAM, TRACE, messages, program, table, trace
+from boreflow.plans.paths import scratch_path
 from boreflow.queries import query
 
 T = f"WITH {TRACE} "
@@ -282,12 +284,11 @@ def a35_scores(spark, d):
 # sorts, limits, top-k
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS place FROM lineitem WHERE l_orderkey < 200")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS place FROM lineitem")
 def t01_sort_by_counters(spark, d):
-    """Global then local counter, as numbers; the place in the sorted list."""
-    o = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    few = table(spark, d, "lineitem").where("l_orderkey < 200")  # one directory's files
-    return few.select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(o).cast("bigint").alias("place"))
+    """Global then local counter, as numbers; the place in the sorted list of all files."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+    return places(table(spark, d, "lineitem").select(order), order, scratch_path(spark, "t01")).select("l_orderkey", "l_linenumber", "l_partkey", "place")
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS hole, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1")
@@ -351,6 +352,8 @@ def u03_distinct(spark, d):
     return table(spark, d, "part").select("p_type", "p_size").distinct()
 
 
-@query("SELECT s_suppkey AS id FROM supplier EXCEPT ALL SELECT o_custkey FROM orders")
+@query("SELECT tool, k FROM msg WHERE kind = 'result' EXCEPT ALL SELECT tool, k FROM msg WHERE kind = 'trace'".replace("SELECT tool, k FROM msg WHERE kind = 'result'", f"WITH {MSG} SELECT tool, k FROM msg WHERE kind = 'result'", 1))
 def u04_difference(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).exceptAll(table(spark, d, "orders").select("o_custkey"))
+    """Results of a tool and count that no trace of the same tool and count takes, as often as they are left over."""
+    m = messages(spark, d)
+    return m.where("kind = 'result'").select("tool", "k").exceptAll(m.where("kind = 'trace'").select("tool", "k"))

@@ -136,16 +136,21 @@ def d12_template_match(spark, d):
     return dp.best_match(dp.distance_profile(trace(spark, d), "torque_a", TEMPLATE))
 
 
+@query(T + f""", {PROFILE}, y AS (SELECT hole_id, idx, round(-distance, 9) AS y FROM pr),
+c AS (SELECT *, CASE WHEN y IS NOT DISTINCT FROM lag(y) OVER ({WH}) AND idx > 0 THEN 0 ELSE 1 END AS n FROM y), q AS (SELECT *, sum(n) OVER ({WH} ROWS UNBOUNDED PRECEDING) AS run FROM c),
+f AS (SELECT hole_id, run, min(idx) AS lo, max(idx) AS hi, any_value(y) AS y FROM q GROUP BY 1, 2), m AS (SELECT *, lag(y) OVER o AS a, lead(y) OVER o AS b FROM f WINDOW o AS (PARTITION BY hole_id ORDER BY run)),
+v AS (SELECT hole_id, y, row_number() OVER (PARTITION BY hole_id ORDER BY y DESC, (lo + hi) // 2) AS k FROM m WHERE y > a AND y > b),
+z AS (SELECT hole_id, max(CASE WHEN k = 1 THEN -y END) AS best, avg(CASE WHEN k > 1 THEN -y END) AS m, stddev_pop(CASE WHEN k > 1 THEN -y END) AS s FROM v WHERE k <= 6 GROUP BY 1)
+SELECT hole_id, round(best, 5) AS best, round(CASE WHEN s > 0 THEN (m - best) / s END, 4) AS z,
+    CASE WHEN 1 / round(CASE WHEN s > 0 THEN (m - best) / s END, 4) < 1.4 THEN 2 WHEN 1 / round(CASE WHEN s > 0 THEN (m - best) / s END, 4) < 1.75 THEN 1 ELSE 0 END AS rag FROM z""")
 def d13_match_quality(spark, d):
     """z of the best valley against the next five, and its colour (F20)."""
     q = dp.match_quality(dp.distance_profile(trace(spark, d), "torque_a", TEMPLATE))
-    return q.select("hole_id", F.round("best", 5).alias("best"), F.round("z", 4).alias("z"), c.rag(1 / F.col("z")).alias("rag"))
+    z = F.round("z", 4)
+    return q.select("hole_id", F.round("best", 5).alias("best"), z.alias("z"), c.rag(1 / z).alias("rag"))
 
 
-query()(d13_match_quality)
-
-
-@query(T + f""", {PROFILE}, b AS (SELECT hole_id, min(struct_pack(d := round(distance, 6), i := idx)) AS b FROM pr GROUP BY 1)
+@query(T + f""", {PROFILE.replace("pr AS (", "pr AS MATERIALIZED (")}, b AS MATERIALIZED (SELECT hole_id, min(struct_pack(d := round(distance, 6), i := idx)) AS b FROM pr GROUP BY 1)
 SELECT hole_id, idx, CASE WHEN idx BETWEEN b.b.i AND b.b.i + 7 THEN NULL ELSE torque_a END AS torque_a FROM trace JOIN b USING (hole_id)""")
 def d14_cleanup(spark, d):
     t = trace(spark, d)
@@ -248,6 +253,16 @@ def d23_breakpoints(spark, d):
     return trace(spark, d).where("torque_a > 4.9").withColumn("k", k).where("k > 2").select("hole_id", F.col("idx").alias("breakpoint"))
 
 
+_CHOSEN = ", ".join(
+    f"""t_{m} AS (SELECT hole_id, max(g) AS top FROM g WHERE p <= 10 GROUP BY 1), a_{m} AS (SELECT hole_id, {f}(p) AS xa FROM g JOIN t_{m} USING (hole_id) WHERE p <= 10 AND g >= round(0.8 * top, 9) GROUP BY 1),
+u_{m} AS (SELECT hole_id, max(-g) AS top FROM g JOIN a_{m} USING (hole_id) WHERE p >= xa + 11 AND p <= xa + 19 GROUP BY 1),
+b_{m} AS (SELECT hole_id, any_value(xa) AS xa, {f}(p) FILTER (p >= xa + 11 AND p <= xa + 19 AND -g >= round(0.8 * top, 9)) AS xb FROM g JOIN a_{m} USING (hole_id) LEFT JOIN u_{m} USING (hole_id) GROUP BY 1)"""
+    for m, f in (("first", "min"), ("last", "max"))
+)
+
+
+@query(T + f""", {DEPTH}, {_CHOSEN} SELECT b.hole_id, {", ".join(f"round({t}.xa, 3) AS xa_{m}, round({t}.xb - {t}.xa, 3) AS depth_{m}" for m, t in (("max", "b"), ("first", "b_first"), ("last", "b_last")))}
+FROM b JOIN b_first ON b_first.hole_id = b.hole_id JOIN b_last ON b_last.hole_id = b.hole_id""")
 def d25_depth_by_choice(spark, d):
     """Entry by the largest, the first and the last strong slope, side by side."""
     out = None
@@ -255,6 +270,3 @@ def d25_depth_by_choice(spark, d):
         x = _depth(spark, d, mode=mode).select("hole_id", F.round("xa", 3).alias(f"xa_{mode}"), F.round("depth", 3).alias(f"depth_{mode}"))
         out = x if out is None else out.join(x, "hole_id")
     return out
-
-
-query()(d25_depth_by_choice)

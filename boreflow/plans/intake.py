@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from boreflow.functions import columns as c
 from boreflow.operators.places import places
 from boreflow.plans.bindings import MSG, PROGRAM, TRACE, messages, program, table, trace
-from boreflow.plans.scalars import scratch_path
+from boreflow.plans.paths import scratch_path
 from boreflow.queries import query
 from boreflow.sources import logs
 from boreflow.streaming import live

@@ -4,7 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boreflow.operators import joins as j
+from boreflow.operators.places import places
 from boreflow.plans.bindings import MSG, PROGRAM, TRACE, messages, program, table, trace
+from boreflow.plans.paths import scratch_path
 from boreflow.queries import query
 
 M = f"WITH {MSG} "
@@ -106,10 +108,10 @@ def j10_grip_code(spark, d):
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, s_name FROM supplier), b AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_name FROM nation)
 SELECT i, s_name, n_name FROM a JOIN b USING (i)""")
 def j11_positional(spark, d):
-    """Two small frames side by side by position; the shorter one decides."""
-    a = table(spark, d, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).cast("bigint").alias("i"), "s_name")
-    b = table(spark, d, "nation").select(F.row_number().over(Window.orderBy("n_nationkey")).cast("bigint").alias("i"), "n_name")
-    return a.join(b, "i")
+    """Two frames side by side by position; the shorter one decides."""
+    a = places(table(spark, d, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"], scratch_path(spark, "left"), "i")
+    b = places(table(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], scratch_path(spark, "right"), "i")
+    return a.join(b, "i").select("i", "s_name", "n_name")
 
 
 @query(T + """SELECT hole_id // 3 AS part, idx, coalesce(max(torque_a) FILTER (hole_id % 3 = 0), 0) AS c0, coalesce(max(torque_a) FILTER (hole_id % 3 = 1), 0) AS c1,
@@ -169,11 +171,12 @@ def j17_label_periods(spark, d):
     return j.label_periods(m, p, "t", "s", "e", "label").select("event_id", "label")
 
 
-@query(f"""WITH RECURSIVE {MSG}, q AS (SELECT event_id, tool, k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY tool, k ORDER BY ts, event_id) AS n FROM msg WHERE k IS NOT NULL),
+@query(f"""WITH RECURSIVE {MSG}, q AS (SELECT event_id, tool, k, epoch_us(ts) // 3600000000 * 3600000000 AS t,
+    row_number() OVER (PARTITION BY tool, k ORDER BY epoch_us(ts) // 3600000000, event_id) AS n FROM msg),
 g(tool, k, n, event_id, kept_at, dup) AS (SELECT tool, k, 1::BIGINT, event_id, t, false FROM q WHERE n = 1 UNION ALL
-    SELECT q.tool, q.k, q.n, q.event_id, CASE WHEN q.t - kept_at < 86400000000 THEN kept_at ELSE q.t END, q.t - kept_at < 86400000000 FROM g JOIN q ON q.tool = g.tool AND q.k = g.k AND q.n = g.n + 1)
+    SELECT q.tool, q.k, q.n, q.event_id, CASE WHEN q.t - kept_at < 86400000000 THEN kept_at ELSE q.t END, q.t - kept_at < 86400000000 FROM g JOIN q ON q.tool = g.tool AND q.k IS NOT DISTINCT FROM g.k AND q.n = g.n + 1)
 SELECT event_id, dup AS is_duplicate FROM g""")
 def u05_duplicates(spark, d):
-    """Same tool and content within a day of the last one kept."""
-    m = messages(spark, d).where("k is not null")
-    return j.duplicates(m, "tool", "ts", "k", 86400).select("event_id", "is_duplicate")
+    """Same tool and content (or none) within a day of the last one kept; times are whole hours, so that many are equal."""
+    m = messages(spark, d).withColumn("ts", F.date_trunc("hour", "ts"))
+    return j.duplicates(m, "tool", "ts", "k", 86400, "event_id").select("event_id", "is_duplicate")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from boreflow.functions import columns as c
 from boreflow.plans.bindings import MSG, TRACE, messages, table, trace
 from boreflow.plans.joins import GREEDY, PAIRS, WINDOW_S, _greedy
-from boreflow.plans.scalars import scratch_path
+from boreflow.plans.paths import scratch_path
 from boreflow.queries import query
 from boreflow.sources import logs
 from boreflow.streaming import live
@@ -14,19 +14,19 @@ from boreflow.streaming import live
 M = f"WITH {MSG} "
 
 
-def _stream(spark, d, late=live.LATE):
+def _stream(spark, d, late=live.LATE, closing=None):
     """The message view of the events as a stream with a watermark."""
-    ev = live.with_late_limit(live.read_events(spark, d), late=late)
+    ev = live.with_late_limit(live.read_events(spark, d, closing), late=late)
     kind = F.when(F.col("event_type") == "purchase", "result").when(F.col("event_type") == "click", "trace").when(F.col("event_type") == "view", "heads")
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select("event_id", "ts", (F.col("user_id") % 20).alias("tool"), kind.alias("kind"), "value", k.alias("k")).where("kind is not null")
 
 
-@query("""WITH e AS (SELECT o_custkey % 5 AS tool, o_orderkey AS result, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0)
+@query("""WITH e AS (SELECT o_custkey % 5 AS tool, o_orderkey AS result, o_totalprice FROM orders WHERE o_orderstatus = 'F')
 SELECT 'plant/box1/tool' || tool || '/Estimation/' || kind AS topic, result, n FROM e, (VALUES ('Keypoints', 3), ('DepthEstimation', 2)) AS t(kind, n)""")
 def s17_result_records(spark, d):
-    """Two JSON records of each successful result."""
-    o = table(spark, d, "orders").where("o_orderkey % 3 <> 0")
+    """Two JSON records of each successful (finished) result."""
+    o = table(spark, d, "orders").where("o_orderstatus = 'F'")
     points = F.array(F.lit(0.0), F.col("o_totalprice") / 2, F.col("o_totalprice"))
     r = o.select(
         F.lit("box1").alias("toolbox"), F.concat(F.lit("tool"), F.col("o_custkey") % 5).alias("tool"), points.alias("keypoints"), c.depths_of(points).alias("depths"),
@@ -75,8 +75,10 @@ def r02_duplicate_drop(spark, d):
     return live.run_once(x, scratch_path(spark, "r02")).select("tool", "k", "event_id")
 
 
-def _sides(spark, d, kind, name):
-    return _stream(spark, d, "1 hour").where(F.col("kind") == kind).select("tool", F.col("event_id").alias(name), F.col("ts").alias(f"ts_{name}"))
+def _sides(spark, d, kind, name, closing=None):
+    """One kind of message; events that close the stream have tool -1."""
+    x = _stream(spark, d, "1 hour", closing)
+    return x.where(F.col("kind") == kind).select("tool", F.col("event_id").alias(name), F.col("ts").alias(f"ts_{name}"))
 
 
 @query(M + f", {PAIRS} SELECT tool, result, trace FROM p")
@@ -85,22 +87,42 @@ def r03_stream_join(spark, d):
     return live.run_once(x.select("tool", "result", "trace"), scratch_path(spark, "r03"))
 
 
-@query()
+@query(M + f""", r AS (SELECT tool, event_id AS result, ts AS a FROM msg WHERE kind = 'result'), h AS (SELECT tool, event_id AS heads, ts AS b FROM msg WHERE kind = 'heads')
+SELECT r.tool, result, heads FROM r LEFT JOIN h ON r.tool = h.tool AND abs(epoch_us(a) - epoch_us(b)) <= {WINDOW_S} * 1000000""")
 def r04_optional_heads(spark, d):
-    """Outer rows come out once the watermark has passed them."""
-    x = live.match_streams(_sides(spark, d, "result", "result"), _sides(spark, d, "heads", "heads"), "tool", "ts_result", "ts_heads", WINDOW_S, "left")
-    return live.run_once(x.select("tool", "result", "heads"), scratch_path(spark, "r04"))
+    """Outer rows come out once the watermark has passed them; a closing event moves it past the last ones."""
+    closing = scratch_path(spark, "closing")
+    sides = _sides(spark, d, "result", "result", closing), _sides(spark, d, "heads", "heads", closing + "-heads")
+    x = live.match_streams(*sides, "tool", "ts_result", "ts_heads", WINDOW_S, "left")
+    return live.run_once(x.select("tool", "result", "heads"), scratch_path(spark, "r04")).where("tool >= 0")
 
 
-@query()
+ARRIVALS = """e AS (SELECT tool, kind, event_id, value, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tool ORDER BY ts, event_id) AS n FROM msg WHERE kind IN ('result', 'trace'))"""
+STREAMED = f"""{ARRIVALS}, g(tool, n, rs, ts, mr, mt) AS (
+SELECT tool, 1::BIGINT, CASE WHEN kind = 'result' THEN [{{'t': us, 'i': event_id}}] ELSE [] END, CASE WHEN kind = 'trace' THEN [{{'t': us, 'i': event_id}}] ELSE [] END, NULL::BIGINT, NULL::BIGINT FROM e WHERE n = 1
+UNION ALL SELECT tool, n, CASE WHEN kind = 'result' AND hit IS NULL THEN list_append(rs, {{'t': us, 'i': event_id}}) WHEN kind = 'trace' AND hit IS NOT NULL THEN list_filter(rs, lambda x: x.i <> hit) ELSE rs END,
+    CASE WHEN kind = 'trace' AND hit IS NULL THEN list_append(ts, {{'t': us, 'i': event_id}}) WHEN kind = 'result' AND hit IS NOT NULL THEN list_filter(ts, lambda x: x.i <> hit) ELSE ts END,
+    CASE WHEN hit IS NOT NULL THEN CASE kind WHEN 'result' THEN event_id ELSE hit END END, CASE WHEN hit IS NOT NULL THEN CASE kind WHEN 'result' THEN hit ELSE event_id END END
+FROM (SELECT e.tool, e.n, rs, ts, kind, us, event_id, list_filter(CASE kind WHEN 'result' THEN ts ELSE rs END, lambda x: us - x.t <= {WINDOW_S} * 1000000)[1].i AS hit FROM g JOIN e ON e.tool = g.tool AND e.n = g.n + 1)),
+m AS (SELECT tool, mr AS result, mt AS trace FROM g WHERE mr IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {MSG}, {STREAMED} SELECT tool, result, trace FROM m")
 def r05_greedy_matcher(spark, d):
+    """In the order of arrival each message takes the first of the other kind that waits within its window."""
     x = live.match_greedily(_stream(spark, d), WINDOW_S, keep=2 * WINDOW_S)
-    return live.run_once(x, scratch_path(spark, "r05"))
+    return live.run_once(x.select("tool", "result", "trace"), scratch_path(spark, "r05"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MSG}, {ARRIVALS}, g(tool, n, r, t, s, us, vr, vt) AS (
+SELECT tool, 1::BIGINT, CASE kind WHEN 'result' THEN value END, CASE kind WHEN 'trace' THEN value END, us, us, NULL::DOUBLE, NULL::DOUBLE FROM e WHERE n = 1
+UNION ALL SELECT tool, n, CASE WHEN full_ THEN NULL ELSE r END, CASE WHEN full_ THEN NULL ELSE t END, CASE WHEN NOT full_ THEN s END, us, CASE WHEN full_ THEN r END, CASE WHEN full_ THEN t END
+FROM (SELECT *, r IS NOT NULL AND t IS NOT NULL AS full_ FROM (SELECT e.tool, e.n, e.us, CASE WHEN kind = 'result' THEN value WHEN e.us - s <= {WINDOW_S} * 1000000 THEN r END AS r,
+    CASE WHEN kind = 'trace' THEN value WHEN e.us - s <= {WINDOW_S} * 1000000 THEN t END AS t, CASE WHEN e.us - s <= {WINDOW_S} * 1000000 THEN s ELSE e.us END AS s FROM g JOIN e ON e.tool = g.tool AND e.n = g.n + 1)))
+SELECT tool, us, vr AS result, vt AS trace FROM g WHERE vr IS NOT NULL""")
 def r06_complete_sets(spark, d):
-    x = live.complete_sets(_stream(spark, d), ["result", "trace"])
+    """Latest result and trace of a tool as soon as both came; a set that waits longer than the window is given up."""
+    x = live.complete_sets(_stream(spark, d), ["result", "trace"], WINDOW_S * 1000)
     return live.run_once(x, scratch_path(spark, "r06"))
 
 
@@ -147,27 +169,69 @@ def r11_failures_per_window(spark, d):
     return x.select((F.unix_seconds("w.start") / 300).cast("bigint").alias("slot"), "category", "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MSG}, {STREAMED} SELECT 'plant/box/tool' || m.tool || '/Estimation/' || k.kind AS topic, result, round(CASE k.kind WHEN 'Keypoints' THEN a.value ELSE b.value END, 4) AS first
+FROM m JOIN msg a ON a.event_id = result JOIN msg b ON b.event_id = trace, (VALUES ('Keypoints'), ('DepthEstimation')) AS k(kind)""")
 def r12_live_pipeline(spark, d):
-    """Stream of messages to matches; each micro-batch of matches becomes result records."""
-    m = live.run_once(live.match_greedily(_stream(spark, d), WINDOW_S, keep=2 * WINDOW_S), scratch_path(spark, "r12"))
-    v = messages(spark, d).select("event_id", "value")
-    x = m.join(v.toDF("result", "a"), "result").join(v.toDF("trace", "b"), "trace")
-    points = F.array(F.col("a"), F.col("a") + F.col("b"))
+    """One stream from messages to matches, key points, depths and the two records of each result."""
+    x = live.match_greedily(_stream(spark, d), WINDOW_S, keep=2 * WINDOW_S)
+    points = F.array(F.col("result_value"), F.col("result_value") + F.col("trace_value"))
     r = x.select(
         F.lit("box").alias("toolbox"), F.concat(F.lit("tool"), "tool").alias("tool"), points.alias("keypoints"), c.depths_of(points).alias("depths"),
         F.lit("m").alias("machine_id"), F.col("result").alias("result_id"), F.lit("t").alias("ts"),
     )
-    return logs.result_records(r)
+    records = live.run_once(logs.result_records(r), scratch_path(spark, "r12"))
+    first = F.from_json(F.get_json_object("value", "$.Value"), "array<double>")[0]
+    return records.select("topic", F.get_json_object("value", "$.ResultId").cast("bigint").alias("result"), F.round(first, 4).alias("first"))
+
+
+def _tools(spark, d):
+    """All events as a stream of (event_id, ts, tool, bad, value)."""
+    ev = live.with_late_limit(live.read_events(spark, d))
+    return ev.select("event_id", "ts", (F.col("user_id") % 20).alias("tool"), (F.col("event_type") == "error").alias("bad"), "value")
+
+
+@query("""WITH e AS (SELECT user_id % 20 AS tool, epoch_us(ts) // 21600000000 - unnest(range(4)) AS w FROM events WHERE value < 10)
+SELECT tool, w * 6 AS start_hour, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) >= 5""")
+def r07_negative_stream(spark, d):
+    """Sliding windows of a day, every six hours, in which a tool gave five low values or more, as a stream."""
+    x = live.windowed_counts(_tools(spark, d).where("value < 10"), "ts", "1 day", ["tool"], "6 hours").where("n >= 5")
+    x = live.run_once(x, scratch_path(spark, "r07"), "complete")
+    return x.select("tool", (F.unix_seconds("w.start") / 3600).cast("bigint").alias("start_hour"), "n")
+
+
+@query("""WITH x AS (SELECT event_id, user_id % 20 AS tool, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER
+    (PARTITION BY user_id % 20 ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM events)
+SELECT * FROM (SELECT tool, event_id, CAST(sum(bad::INTEGER) OVER (PARTITION BY tool, i ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM x) WHERE streak >= 2""")
+def r08_failure_stream(spark, d):
+    """The second and further failures of a tool in a row, as a stream with state."""
+    return live.run_once(live.failure_alerts(_tools(spark, d), 2), scratch_path(spark, "r08"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id % 20 AS tool, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts) AS n FROM events WHERE event_type = 'error'),
+g(tool, n, us, kept, yes) AS (SELECT tool, n, us, us, true FROM e WHERE n = 1 UNION ALL
+    SELECT e.tool, e.n, e.us, CASE WHEN e.us - kept < 21600000000 THEN kept ELSE e.us END, e.us - kept >= 21600000000 FROM g JOIN e ON e.tool = g.tool AND e.n = g.n + 1)
+SELECT tool, us FROM g WHERE yes""")
+def r09_rate_stream(spark, d):
+    return live.run_once(live.limited_alerts(_tools(spark, d).where("bad"), 6 * 3600), scratch_path(spark, "r09"))
+
+
+@query("""SELECT epoch_us(ts) // 3600000000 AS hour, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END), 5) AS drop_rate,
+    CASE WHEN avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) > 0.05 THEN 'warn' ELSE 'ok' END AS level FROM events GROUP BY 1""")
+def r10_backlog_stream(spark, d):
+    """Messages and drop rate of each hour, with a warning over five percent, as a stream."""
+    rate = F.avg(F.col("bad").cast("double"))
+    x = _tools(spark, d).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), rate.alias("rate"))
+    x = live.run_once(x, scratch_path(spark, "r10"), "complete")
+    level = F.when(F.col("rate") > 0.05, "warn").otherwise("ok")
+    return x.select((F.unix_seconds("w.start") / 3600).cast("bigint").alias("hour"), "n", F.round("rate", 5).alias("drop_rate"), level.alias("level"))
 
 
 @query("""WITH e AS (SELECT user_id % 20 AS tool, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id % 20 ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS b FROM events),
 s AS (SELECT *, sum(b) OVER (PARTITION BY tool ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
 SELECT tool, CAST(min(epoch_us(ts)) AS BIGINT) AS start_us, count(*) AS n FROM s GROUP BY tool, s""")
 def r13_sessions(spark, d):
-    """Bursts of a tool with gaps under two hours."""
-    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 20).alias("tool"))
-    x = live.sessions(e, "ts", "2 hours", ["tool"])
+    """Bursts of a tool with gaps under two hours, as a stream."""
+    x = live.run_once(live.sessions(_tools(spark, d), "ts", "2 hours", ["tool"]), scratch_path(spark, "r13"), "complete")
     return x.select("tool", F.unix_micros("w.start").alias("start_us"), "n")
 
 

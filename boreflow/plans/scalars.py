@@ -4,22 +4,11 @@ from pyspark.sql import functions as F
 
 from boreflow.functions import columns as c
 from boreflow.plans.bindings import MSG, PROGRAM, TRACE, messages, program, table, trace
+from boreflow.plans.paths import scratch_path
 from boreflow.queries import query
 from boreflow.sources import logs
 
 
-def scratch_path(spark, name):
-    """A new folder in the checkpoint folder, which all executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="boreflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 M, T, P = f"WITH {MSG} ", f"WITH {TRACE} ", f"WITH {PROGRAM} "
 
 
@@ -74,20 +63,18 @@ def s08_explode_files(spark, d):
     return x.select("hole_id", F.posexplode("x").alias("idx", "s")).select("hole_id", F.col("idx").cast("bigint").alias("idx"), "s.torque_a", "s.thrust_a")
 
 
-@query(P + "SELECT program_id::VARCHAR AS hole, step, feed, rpm FROM program WHERE program_id < 50")
+@query(P + "SELECT program_id::VARCHAR AS hole, step, feed, rpm FROM program")
 def s09_nested_json(spark, d):
-    """Programs written as JSON inside JSON, one file for some, read back in step order."""
-    p = program(spark, d).where("program_id < 50").groupBy("program_id").agg(F.collect_list(F.struct("step", "feed", "rpm")).alias("x"))
+    """Programs written as JSON inside JSON, a line for each, read back in step order."""
+    p = program(spark, d).groupBy("program_id").agg(F.collect_list(F.struct("step", "feed", "rpm")).alias("x"))
     path = scratch_path(spark, "programs")
-    p.select(F.to_json(F.struct(F.col("program_id").cast("string").alias("hole"), F.to_json("x").alias("program"))).alias("value")).repartition(
-        50, "value"
-    ).write.option("maxRecordsPerFile", 1).text(path)
-    return logs.nested_program(spark, path)
+    p.select(F.to_json(F.struct(F.col("program_id").cast("string").alias("hole"), F.to_json("x").alias("program"))).alias("value")).write.text(path)
+    return logs.nested_program(spark, path, multi_line=False)
 
 
-@query(T + "SELECT 'torque' || hole_id AS name, idx::INTEGER AS idx, torque_a AS value FROM trace WHERE hole_id < 20")
+@query(T + "SELECT 'torque' || hole_id AS name, idx::INTEGER AS idx, torque_a AS value FROM trace")
 def s10_force_plate(spark, d):
-    t = trace(spark, d).where("hole_id < 20").groupBy("hole_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("torque_a").cast("string").alias("v")))).alias("x"))
+    t = trace(spark, d).groupBy("hole_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("torque_a").cast("string").alias("v")))).alias("x"))
     path = scratch_path(spark, "plate")
     t.select(F.concat(F.lit("torque"), F.col("hole_id"), F.lit("\t100\t"), F.array_join(F.transform("x", lambda x: x["v"]), "\t"))).write.text(path)
     return logs.variables(logs.log_lines(spark, path)).select("name", "idx", "value")
@@ -303,12 +290,14 @@ def f05_payload_lookup(spark, d):
     return m.select("event_id", c.lookup_containing(F.col("m"), "Machine").alias("machine"), c.lookup_containing(F.col("m"), "Count").alias("count"), c.json_path(nested, "A.B.0.C").alias("by_path"))
 
 
-@query(M + "SELECT event_id, 2 AS n, tool::VARCHAR AS first FROM msg")
+@query(M + """SELECT event_id, 3 + (k IS NOT NULL)::INTEGER AS n, '[1,2]|' || tool || '|' || coalesce(k || '|', '') || 'x, "y" z' AS found FROM msg""")
 def f06_find_key(spark, d):
-    found = c.find_values(F.col("payload"), "Value")
-    both = F.concat(F.col("payload"), F.lit(""))
-    m = messages(spark, d).where("k is not null or k is null")
-    return m.select("event_id", F.size(F.regexp_extract_all(both, F.lit(r'"Value"'), 0)).alias("n"), F.get(found, F.lit(0)).alias("first"))
+    """All values of a key: a list at the top, a number below it, and others inside a list, with quotes and commas."""
+    item = lambda value, no=None: F.struct(value.cast("string").alias("Value"), F.lit(no).cast("string").alias("no"))
+    deep = F.array(item(F.col("k")), item(F.lit('x, "y" z')), item(F.lit(None), "Value"))
+    doc = F.to_json(F.struct(F.struct(deep.alias("L"), F.col("tool").alias("Value")).alias("A"), F.array(F.lit(1), F.lit(2)).alias("Value")))
+    found = c.find_values(doc, "Value")
+    return messages(spark, d).select("event_id", F.size(found).alias("n"), F.array_join(found, "|").alias("found"))
 
 
 @query(M + "SELECT event_id, 'id' AS name, tool::VARCHAR AS value FROM msg UNION ALL SELECT event_id, 'count', coalesce(k::VARCHAR, '') FROM msg")
@@ -318,14 +307,16 @@ def f08_flatten_payload(spark, d):
     return x.select("event_id", c.clean_key(F.col("key")).alias("name"), "value")
 
 
-@query(T + "SELECT hole_id, idx::INTEGER AS idx, round(-pos_mm, 4) AS position, torque_a AS torque, step, 1 AS predrilled FROM trace WHERE idx < 50")
+@query(T + "SELECT hole_id, idx::INTEGER AS idx, round(-pos_mm, 4) AS position, torque_a AS torque, step, 1 AS predrilled FROM trace")
 def f11_flatten_trace(spark, d):
-    """Arrays of a trace message back to samples, positions negated (F10, F11, F12)."""
-    t = trace(spark, d).where("idx < 50").groupBy("hole_id").agg(F.sort_array(F.collect_list(F.struct("idx", "pos_mm", "torque_a", "step"))).alias("x"))
+    """Arrays of trace messages, 64 samples each, back to samples, positions negated."""
+    part = F.floor(F.col("idx") / 64).alias("part")
+    t = trace(spark, d).groupBy("hole_id", part).agg(F.sort_array(F.collect_list(F.struct("idx", "pos_mm", "torque_a", "step"))).alias("x"))
     arrays = [F.col(f"x.{n}").alias(n) for n in ("pos_mm", "torque_a", "step")]
-    m = t.select("hole_id", *arrays)
-    x = m.select("hole_id", F.posexplode(F.arrays_zip("pos_mm", "torque_a", "step")).alias("idx", "s"))
-    return x.select("hole_id", "idx", F.round(-F.col("s.pos_mm"), 4).alias("position"), F.col("s.torque_a").alias("torque"), "s.step", F.lit(1).alias("predrilled"))
+    m = t.select("hole_id", "part", *arrays)
+    x = m.select("hole_id", "part", F.posexplode(F.arrays_zip("pos_mm", "torque_a", "step")).alias("pos", "s"))
+    idx = (F.col("part") * 64 + F.col("pos")).cast("int").alias("idx")
+    return x.select("hole_id", idx, F.round(-F.col("s.pos_mm"), 4).alias("position"), F.col("s.torque_a").alias("torque"), "s.step", F.lit(1).alias("predrilled"))
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_retailprice = b.p_retailprice AND a.p_partkey < b.p_partkey")

@@ -33,7 +33,7 @@ def match_streams(results: DataFrame, traces: DataFrame, key: str, ts_a: str, ts
     return results.join(b, near, "left_outer" if how == "left" else how).drop("_key")
 
 
-PENDING = "results array<struct<id:bigint,ts:bigint>>, traces array<struct<id:bigint,ts:bigint>>"
+PENDING = ", ".join(f"{side} array<struct<id:bigint,ts:bigint,value:double>>" for side in ("results", "traces"))
 
 
 def greedy_matcher(seconds: float, keep: float = 300.0, most: int | None = None) -> Callable:
@@ -46,66 +46,105 @@ def greedy_matcher(seconds: float, keep: float = 300.0, most: int | None = None)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else ([], [])
-        waiting = {k: sorted((int(t), int(i)) for i, t in part) for k, part in zip(("result", "trace"), held, strict=True)}
+        waiting = {k: sorted((int(t), int(i), v) for i, t, v in part) for k, part in zip(("result", "trace"), held, strict=True)}
         new = pd.concat(list(batches)).sort_values(["us", "event_id"])
         out = []
-        for kind, i, t in zip(new["kind"], new["event_id"].tolist(), new["us"].tolist(), strict=True):
+        for kind, i, t, v in zip(*(new[c].tolist() for c in ("kind", "event_id", "us", "value")), strict=True):
             other = waiting["trace" if kind == "result" else "result"]
             at = bisect_left(other, (t - window,))
             if at < len(other) and other[at][0] <= t + window:
-                mate = other.pop(at)[1]
-                out.append((key[0], i, mate) if kind == "result" else (key[0], mate, i))
+                _, mate, w = other.pop(at)
+                out.append((key[0], i, mate, v, w) if kind == "result" else (key[0], mate, i, w, v))
             else:
-                insort(waiting[kind], (t, i))
+                insort(waiting[kind], (t, i, v))
         if len(new):
             limit = int(new["us"].max()) - age
             for k, part in waiting.items():
                 part = part[bisect_left(part, (limit,)) :]
                 waiting[k] = part if most is None else part[-most:]
-        state.update(tuple([(i, t) for t, i in waiting[k]] for k in ("result", "trace")))
-        yield pd.DataFrame(out, columns=["tool", "result", "trace"])
+        state.update(tuple([(i, t, v) for t, i, v in waiting[k]] for k in ("result", "trace")))
+        yield pd.DataFrame(out, columns=["tool", "result", "trace", "result_value", "trace_value"])
 
     return run
 
 
 def match_greedily(messages: DataFrame, seconds: float, keep: float = 300.0) -> DataFrame:
-    """One-to-one matches of a stream of results and traces (columns tool, kind, event_id, ts)."""
-    x = messages.where(F.col("kind").isin("result", "trace")).select("tool", "kind", "event_id", F.unix_micros("ts").alias("us"))
-    return x.groupBy("tool").applyInPandasWithState(
-        greedy_matcher(seconds, keep), "tool bigint, result bigint, trace bigint", PENDING, "append", GroupStateTimeout.NoTimeout
-    )
+    """One-to-one matches of a stream of results and traces (columns tool, kind, event_id, ts, value), with both values."""
+    x = messages.where(F.col("kind").isin("result", "trace")).select("tool", "kind", "event_id", F.unix_micros("ts").alias("us"), "value")
+    out = "tool bigint, result bigint, trace bigint, result_value double, trace_value double"
+    return x.groupBy("tool").applyInPandasWithState(greedy_matcher(seconds, keep), out, PENDING, "append", GroupStateTimeout.NoTimeout)
 
 
 def complete_sets(messages: DataFrame, required: list[str], timeout_ms: int = 60_000) -> DataFrame:
-    """Emits a key once all required types came (latest value of each); partial sets go after a time without messages.
+    """A row as soon as all required types of a key came (latest value of each); then the key starts anew.
 
-    The stream needs a watermark: time is event time, so a stream that has ended leaves no timer running.
+    A set that is not complete so long after its first message is given up. Rows of a micro-batch are taken in the order of
+    their time. The stream needs a watermark, which also removes what waits without further messages.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for b in batches:
-            for kind, value in zip(b["kind"], b["value"], strict=True):
-                if kind in required:
-                    held[kind] = float(value)
-        if set(held) == set(required):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"tool": [key[0]], **{k: [held[k]] for k in required}})
-        else:
-            state.update((list(held), list(held.values())))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms)
+        since, kinds, values = state.get if state.exists else (None, [], [])
+        held, out = dict(zip(kinds, values, strict=True)), []
+        new = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        for kind, t, value in zip(*(new[c].tolist() for c in ("kind", "us", "value")), strict=True):
+            if since is not None and t - since > timeout_ms * 1000:
+                held, since = {}, None
+            held[kind] = value
+            since = t if since is None else since
+            if len(held) == len(required):
+                out.append([key[0], t, *(held[k] for k in required)])
+                held, since = {}, None
+        if held:
+            state.update((since, list(held), list(held.values())))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), since // 1000) + timeout_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["tool", "us", *required])
 
     kinds = ", ".join(f"{k} double" for k in required)
-    x = messages.select("tool", "kind", "value", "ts")
+    x = messages.where(F.col("kind").isin(required)).select("tool", "kind", "event_id", F.unix_micros("ts").alias("us"), "value", "ts")
     return x.groupBy("tool").applyInPandasWithState(
-        run, f"tool bigint, {kinds}", "kinds array<string>, vals array<double>", "append", GroupStateTimeout.EventTimeTimeout
+        run, f"tool bigint, us bigint, {kinds}", "since bigint, kinds array<string>, vals array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def failure_alerts(messages: DataFrame, least: int = 5) -> DataFrame:
+    """Messages of a stream (tool, event_id, bad) that are at least the so-manieth failure in a row; a success starts anew."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        streak, out = state.get[0] if state.exists else 0, []
+        new = pd.concat(list(batches)).sort_values("event_id")
+        for i, bad in zip(new["event_id"].tolist(), new["bad"].tolist(), strict=True):
+            streak = streak + 1 if bad else 0
+            if streak >= least:
+                out.append((key[0], i, streak))
+        state.update((streak,))
+        yield pd.DataFrame(out, columns=["tool", "event_id", "streak"])
+
+    x = messages.select("tool", "event_id", "bad")
+    return x.groupBy("tool").applyInPandasWithState(run, "tool bigint, event_id bigint, streak bigint", "streak bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def limited_alerts(messages: DataFrame, seconds: float) -> DataFrame:
+    """Alerts of a stream (tool, ts) at least so long after the last one of the tool that was let through."""
+    step = int(seconds * 1e6)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, out = state.get[0] if state.exists else None, []
+        for t in sorted(x for b in batches for x in b["us"].tolist()):
+            if last is None or t - last >= step:
+                last = t
+                out.append((key[0], t))
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["tool", "us"])
+
+    x = messages.select("tool", F.unix_micros("ts").alias("us"))
+    return x.groupBy("tool").applyInPandasWithState(run, "tool bigint, us bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(messages: DataFrame, ts: str, width: str, keys: list[str], slide: str | None = None) -> DataFrame:
     span = F.window(ts, width, slide) if slide else F.window(ts, width)
     return messages.groupBy(span.alias("w"), *keys).agg(F.count("*").alias("n"))
@@ -127,15 +166,11 @@ def failure_runs(df: DataFrame, key: str, order: str, failed: str) -> DataFrame:
 
 
 def rate_limited(df: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
-    """Alerts at least so long after the last one that was let through, per kind: a fold over sorted times."""
-    step = int(seconds * 1e6)
-    lists = df.groupBy(key).agg(F.sort_array(F.collect_set(F.unix_micros(F.col(ts).cast("timestamp")))).alias("ts"))
-    kept = F.aggregate(
-        "ts",
-        F.array().cast("array<bigint>"),
-        lambda s, x: F.when((F.size(s) > 0) & (x - F.element_at(s, -1) < step), s).otherwise(F.concat(s, F.array(x))),
-    )
-    return lists.select(key, F.explode(kept).alias("us"))
+    """Times (key, us) at least so long after the last one that was let through, per kind; equal times are one."""
+    from boreflow.operators.joins import duplicates
+
+    marked = duplicates(df.select(key, ts, F.lit(1).alias("_same")), key, ts, "_same", seconds)
+    return marked.where("not is_duplicate").select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
 
 
 def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -166,15 +201,16 @@ def topic_messages(stream: DataFrame, root: str, topic: str = "topic") -> DataFr
 
 
 def read_events(spark: SparkSession, sf_dir: str, closing: str | None = None) -> DataFrame:
-    """The events table as a stream; with a ``closing`` scratch folder, and an event long after all others.
+    """The events table as a stream; with a ``closing`` scratch folder, and an event of each type long after all others.
 
-    That event moves the watermark past them, so that a join or window that ends with the table gives its last rows too.
+    Those events, of user -1, move the watermark past the others, so that a join that ends with the table gives its last rows
+    too. Filters that would drop them are applied before the watermark, so they can only be left out behind the stream.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may match a file or a folder
     if closing is None:
         return stream
-    far = events.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"))
-    row = far.select(*(F.col("ts").cast(f.dataType).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
-    row.write.parquet(closing)
+    far = events.groupBy("event_type").agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"))
+    given = {"ts": F.col("ts"), "event_type": F.col("event_type"), "user_id": F.lit(-1)}
+    far.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema)).write.parquet(closing)
     return stream.union(spark.readStream.schema(events.schema).parquet(closing))
