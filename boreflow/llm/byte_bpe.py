@@ -7,7 +7,8 @@ undoing the merges of the two tokens towards their common border: the pair is va
 would have come first.
 
 Null texts are encoded as the empty text: no ids and no bytes.  Other columns are kept; where ``out`` names a column
-that exists, it is replaced.
+that exists, it is replaced. Repeated rows are encoded alike, an empty table gives an empty result, and texts of any length are
+encoded whole. With another pattern than ``SEGMENTED`` texts are cut by the pattern alone, without the memo of segments.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: The piece pattern whose pieces never reach from one segment (see ``SEGMENT``) into the next (fixed value).
+SEGMENTED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of the piece pattern (Unicode White_Space), fixed values.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of memoised segments and prefixes in one Python worker before the memo starts anew.
@@ -77,7 +80,7 @@ class PrefixBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.pieces = regex.compile(pattern)
+        self.pieces, self.segmented = regex.compile(pattern), pattern == SEGMENTED
         self.longest = max(map(len, ranks))
         size = max(ranks.values()) + 1
         self.token: list[bytes] = [b""] * size
@@ -223,7 +226,7 @@ class PrefixBpe:
         cut, known = {}, {}
         for s in segments:
             letters = s[1:] if s[0] == " " else s
-            plain = letters.isalpha() and max(letters) < "\u0250"  # a run of letters is one piece
+            plain = self.segmented and letters.isalpha() and max(letters) < "\u0250"  # a run of letters is one piece
             cut[s] = [p.encode("utf-8", "surrogatepass") for p in ([s] if plain else self.pieces.findall(s))]
         pieces = {p for ps in cut.values() for p in ps}
         for low, high in ((0, 12), (12, 24), (24, MEMO_CHARS)):
@@ -240,7 +243,7 @@ class PrefixBpe:
         if self.held > MEMO_BYTES:
             self.segments.clear()
             self.held = 0
-        memo, parts = self.segments, [SEGMENT.findall(t) for t in texts]
+        memo, parts = self.segments, [SEGMENT.findall(t) if self.segmented else [t] * bool(t) for t in texts]
         self.learn(list(set().union(*parts).difference(memo)))
         out = [b"".join(map(memo.__getitem__, p)) for p in parts]
         for s in [s for s in set().union(*parts) if len(s) > MEMO_CHARS]:
@@ -275,14 +278,14 @@ class PrefixText:
         """Replace ``text[start:end]``; returns how many pieces were encoded."""
         text = self.text[:start] + new + self.text[end:]
         keep = 0  # pieces that end well before the edit stay: a piece looks one character past its end
-        while keep + 2 < len(self.starts) and self.starts[keep + 2] < start:
+        while self.bpe.segmented and keep + 2 < len(self.starts) and self.starts[keep + 2] < start:
             keep += 1
         at = self.starts[keep] if keep < len(self.starts) else 0
         starts, ids = self.starts[:keep], self.ids_of[:keep]
         shift, old = len(text) - len(self.text), {s: i for i, s in enumerate(self.starts) if s >= end}
         done = 0
         for m in self.bpe.pieces.finditer(text, at):
-            i = old.get(m.start() - shift) if m.start() >= start + len(new) else None
+            i = old.get(m.start() - shift) if self.bpe.segmented and m.start() >= start + len(new) else None
             if i is not None:  # from here on the pieces are those of the old text
                 starts += [s + shift for s in self.starts[i:]]
                 ids += self.ids_of[i:]

@@ -8,6 +8,7 @@ little.  Trusted text scores slightly above zero, junk far below.
 
 Null and empty texts have no words and score 0. Without any trusted document every score is 0, so only the base rules
 decide. Repeated rows are judged alike; further columns are kept, and a column that has the name of a result gives way.
+Texts of any length are read whole; an empty table gives an empty result. Repeated 3-word windows are told by 64-bit hashes.
 Only built-in functions run here.  Both counts cover all their documents; the trusted ids are joined by shuffle at every
 size, so that the plan does not turn over where they outgrow a broadcast.
 """

@@ -66,6 +66,27 @@ def test_byte_bpe_frame(docs, library):
         assert hashlib.sha256(row.decoded).hexdigest()
 
 
+def test_byte_bpe_of_repeated_and_long_rows_and_of_nothing(spark, library):
+    how = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    texts = ["the same", "the same", "it's " * 200_000, "漢" * 20_000]
+    docs = spark.createDataFrame([(1, t, "x") for t in texts], "doc_id bigint, text string, decoded string")
+    got = byte_bpe.decode(byte_bpe.encode(docs, *how), *how).collect()
+    assert sorted(len(r.ids) for r in got) == sorted(len(library.encode_ordinary(t)) for t in texts)
+    assert sorted(bytes(r.decoded) for r in got) == sorted(t.encode() for t in texts)
+    assert byte_bpe.decode(byte_bpe.encode(docs.where("false"), *how), *how).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\s+|[^\s\p{L}]", r"(?s).{1,7}", r"\S+\s*|\s+"])
+def test_other_patterns_are_those_of_the_library(bpe, pattern):
+    own = byte_bpe.PrefixBpe(bpe.ranks, pattern)
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.ranks, special_tokens={})
+    for text in ("", "It's  a test of\n\nsome  patterns, isn't it? ", "abcdefghij klm" * 9):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+        kept = byte_bpe.PrefixText(own, text)
+        kept.edit(min(3, len(text)), min(4, len(text)), " new")
+        assert kept.ids == other.encode_ordinary(kept.text)
+
+
 ALPHABET = st.text(st.sampled_from("ab é'sdrt 12\n\t\x1c\x85 漢字🎉-=_.."), max_size=40)
 
 
