@@ -24,12 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from boreflow.llm.shared import small_batches
+
 #: The piece pattern whose pieces never reach from one segment (see ``SEGMENT``) into the next (fixed value).
 SEGMENTED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of the piece pattern (Unicode White_Space), fixed values.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of memoised segments and prefixes in one Python worker before the memo starts anew.
-MEMO_BYTES = 112 << 20
+MEMO_BYTES = 64 << 20
 #: Segments longer than this many characters are encoded without being memoised.
 MEMO_CHARS = 48
 
@@ -336,7 +338,7 @@ def chunks(texts: list[str], chars: int = 2 << 20) -> Iterator[list[str]]:
         yield part
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
@@ -357,6 +359,7 @@ def encode(
             b = _with(b, out, pa.ListArray.from_arrays(pa.array(offsets), ids))
             yield b if keep_text else b.drop_columns([text])
 
+    small_batches(df.sparkSession)
     kinds = _schema(df, out, T.ArrayType(T.IntegerType()))
     return df.mapInArrow(run, kinds if keep_text else T.StructType([f for f in kinds.fields if f.name != text]))
 
@@ -373,4 +376,5 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             got = [b"" if n else bpe.decode(flat[i:j]) for i, j, n in zip(off[:-1], off[1:], null, strict=True)]
             yield _with(b, out, pa.array(got, pa.binary()))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, _schema(df, out, T.BinaryType()))

@@ -144,18 +144,20 @@ def _class_of(s: np.ndarray) -> bytes:
     return b"".join((x % (1 << 64)).to_bytes(8, "big") for x in (a, b))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of about so many bytes of text (column ``text``)."""
-    for b in batches:
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-        at = 0
-        while at < len(texts):
-            end, n = at, 0
-            while end < len(texts) and n < size:
-                n += len(texts[end])
-                end += 1
-            yield b.slice(at, end - at), texts[at:end]
-            at = end
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 20, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of about so many bytes of text (column ``text``); so many rows at most are turned to Python values at once."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, rows):
+            b = whole.slice(first, rows)
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            at = 0
+            while at < len(texts):
+                end, n = at, 0
+                while end < len(texts) and n < size:
+                    n += len(texts[end])
+                    end += 1
+                yield b.slice(at, end - at), texts[at:end]
+                at = end
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]):

@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of one Arrow batch between the JVM and Python; Spark's own bound is 64 MB, several times over in each task.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as whole texts may be long rows; a bound that the session sets itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "64MB", str(1 << 26)):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 _held: list[list[Scratch]] = []
 
 
@@ -40,6 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        small_batches(spark)
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         if _held:
             _held[-1].append(self)

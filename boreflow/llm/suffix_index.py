@@ -40,7 +40,7 @@ BATCHES = 4
 #: Stretches of one gram up to which it is not dealt further.
 PART = 256
 #: Bytes of text that are worked on at once, and of a piece of a longer text.
-CHUNK, PIECE = 4 << 20, 16 << 20
+CHUNK, PIECE = 1 << 20, 1 << 20
 
 
 def _pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[Stretches]:
