@@ -28,7 +28,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, as whole texts may be long rows; a bound that the session sets itself stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "64MB", str(1 << 26)):
+    if spark.conf.get(key, "64m") == "64m":  # what is given here comes back where nothing is set
         spark.conf.set(key, str(BATCH_BYTES))
 
 
