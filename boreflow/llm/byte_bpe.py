@@ -34,6 +34,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 MEMO_BYTES = 64 << 20
 #: Segments longer than this many characters are encoded without being memoised.
 MEMO_CHARS = 48
+#: Characters that are segmented at a time, pieces whose prefix tables grow together, and ids decoded at a time.
+TEXT_CHARS, PIECES, IDS = 1 << 20, 1 << 14, 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -233,7 +235,8 @@ class PrefixBpe:
         pieces = {p for ps in cut.values() for p in ps}
         for low, high in ((0, 12), (12, 24), (24, MEMO_CHARS)):
             some = [p for p in pieces if low < len(p) <= high]
-            known.update(zip(some, self.encode_many(some), strict=True))
+            for at in range(0, len(some), PIECES):
+                known.update(zip(some[at : at + PIECES], self.encode_many(some[at : at + PIECES]), strict=True))
         for p in pieces.difference(known):
             known[p] = array("I", self.encode_piece(p)).tobytes()
         for s, ps in cut.items():
@@ -254,18 +257,31 @@ class PrefixBpe:
         return out
 
     def encode(self, text: str) -> bytes:
-        return self.encode_batch([text])[0]
+        """Ids of one text; a long one is cut where white space follows another character, as a segment starts there."""
+        cuts = [0]
+        while self.segmented and len(text) - cuts[-1] > TEXT_CHARS and (m := CUT.search(text, cuts[-1] + TEXT_CHARS)):
+            cuts.append(m.start())
+        return b"".join(self.encode_batch([text[i:j]])[0] for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True))
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, in portions of bounded size."""
+        out = []
+        for part in chunks(texts):
+            out += self.encode_batch(part) if len(part) > 1 else [self.encode(part[0])]
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.bytes_of(ids[at : at + IDS]) for at in range(0, len(ids), IDS))
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
         n = self.lengths[ids]
-        if not len(n):
-            return b""
         ends = np.cumsum(n)
         return self.bytes[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1])].tobytes()
 
 
 #: A space may lead a run of other characters; no piece reaches from one such segment into the next.
 SEGMENT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+CUT = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
 
 
 class PrefixText:
@@ -325,15 +341,15 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def chunks(texts: list[str], chars: int = 2 << 20) -> Iterator[list[str]]:
-    """The texts in order, about so many characters at a time."""
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, at most ``TEXT_CHARS`` characters at a time; a longer text comes alone."""
     part, size = [], 0
     for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= chars:
+        if part and size + len(t) > TEXT_CHARS:
             yield part
             part, size = [], 0
+        part.append(t)
+        size += len(t)
     if part:
         yield part
 
@@ -345,23 +361,38 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def encode(
-    df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep_text: bool = True
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    out: str = "ids",
+    keep_text: bool = True,
+    decoded: str | None = None,
 ) -> DataFrame:
-    """Adds ``out``, the ids of each whole text (array<int>), as the rank file and piece pattern give them."""
+    """Adds ``out``, the ids of each whole text (array<int>), as the rank file and piece pattern give them.
+
+    Where ``decoded`` names a column, it gets what ``decode`` makes of those ids, in the same Python worker.
+    """
 
     def run(batches):
         bpe = bpe_of(path, pattern)
         for b in slices(batches):
-            texts = [t or "" for t in b.column(text).to_pylist()]
-            got = [x for part in chunks(texts) for x in bpe.encode_batch(part)]
+            got = bpe.encode_texts([t or "" for t in b.column(text).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             ids = pa.array(np.frombuffer(b"".join(got), "<i4"), pa.int32())
+            if not keep_text:
+                b = b.drop_columns([text])
             b = _with(b, out, pa.ListArray.from_arrays(pa.array(offsets), ids))
-            yield b if keep_text else b.drop_columns([text])
+            if decoded:
+                b = _with(b, decoded, pa.array([bpe.decode(np.frombuffer(x, "<i4")) for x in got], pa.binary()))
+            yield b
 
     small_batches(df.sparkSession)
-    kinds = _schema(df, out, T.ArrayType(T.IntegerType()))
-    return df.mapInArrow(run, kinds if keep_text else T.StructType([f for f in kinds.fields if f.name != text]))
+    base = df if keep_text else df.drop(text)
+    kinds = _schema(base, out, T.ArrayType(T.IntegerType()))
+    if decoded:
+        kinds = T.StructType([*(f for f in kinds.fields if f.name != decoded), T.StructField(decoded, T.BinaryType())])
+    return df.mapInArrow(run, kinds)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -34,7 +34,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = tokenizer_path("byte_bpe_50k.tiktoken"), piece_pattern()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    got = byte_bpe.decode(byte_bpe.encode(docs, *how, keep_text=False), *how)
+    got = byte_bpe.encode(docs, *how, keep_text=False, decoded="decoded")
     return got.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

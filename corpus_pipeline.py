@@ -78,8 +78,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their number; the decoded ids are the text."""
     how = tokenizer_path("byte_bpe_50k.tiktoken"), piece_pattern()
-    ids = byte_bpe.encode(docs.select("doc_id", "text"), *how, keep_text=False)
-    back = byte_bpe.decode(ids, *how)
+    back = byte_bpe.encode(docs.select("doc_id", "text"), *how, keep_text=False, decoded="decoded")
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
 

@@ -76,6 +76,22 @@ def test_byte_bpe_of_repeated_and_long_rows_and_of_nothing(spark, library):
     assert byte_bpe.decode(byte_bpe.encode(docs.where("false"), *how), *how).count() == 0
 
 
+def test_decoding_in_the_same_pass_and_texts_of_many_portions(spark, docs, bpe, library, monkeypatch):
+    how = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    other = docs.withColumn("decoded", F.lit(1))
+    for row in byte_bpe.encode(other, *how, out="Ids2", decoded="decoded").collect():
+        assert row.Ids2 == library.encode_ordinary(row.text or "") and row.ids == "clash"
+        assert bytes(row.decoded) == (row.text or "").encode()
+    monkeypatch.setattr(byte_bpe, "TEXT_CHARS", 7)
+    monkeypatch.setattr(byte_bpe, "IDS", 3)
+    for _, text in TEXTS:
+        ids = np.frombuffer(bpe.encode((text or "") * 3), "<u4")
+        assert ids.tolist() == library.encode_ordinary((text or "") * 3)
+        assert bpe.decode(ids).decode() == (text or "") * 3
+    texts = [t or "" for _, t in TEXTS] * 2
+    assert [len(x) // 4 for x in bpe.encode_texts(texts)] == [len(library.encode_ordinary(t)) for t in texts]
+
+
 @pytest.mark.parametrize("pattern", [r"\p{L}+|\s+|[^\s\p{L}]", r"(?s).{1,7}", r"\S+\s*|\s+"])
 def test_other_patterns_are_those_of_the_library(bpe, pattern):
     own = byte_bpe.PrefixBpe(bpe.ranks, pattern)
