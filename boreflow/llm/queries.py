@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreflow.llm import byte_bpe, decontaminate, licenses, minmax_dedup, quality, suffix_index, token_store, toxicity, url_filter, warc
+from boreflow.llm import (
+    byte_bpe, chat_format, decontaminate, fill_middle, licenses, minmax_dedup, quality, spelling_variants, suffix_index, token_store, toxicity, url_filter, warc,
+)
 from boreflow.llm.shared import Scratch, read
 
 #: Id that ends each document in the token store.
@@ -123,10 +125,36 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(first, scratch.save(second, "replica-2"), scratch)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants.variants(read(spark, sf_dir, "documents"), Scratch(spark, "spelling"))
+    return found.select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restore(F.col("output"), F.col("form"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+#: A conversation of its own whose texts hold the marks of the template.
+ODD_ID, ODD_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, rows = Scratch(spark, "chat"), read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = [(ODD_ID, 0, "user", ODD_TEXT), (ODD_ID, 1, "assistant", ODD_TEXT)]
+    rows = rows.union(spark.createDataFrame(odd, "conv_id bigint, turn bigint, role string, text string"))
+    windows = scratch.save(chat_format.format_windows(rows, scratch), "windows")
+    return chat_format.summaries(windows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_store, op2_byte_bpe, op3_near_dedup, op4_suffix_dedup, op5_decontaminate, op6_toxicity, op7_licenses, op8_quality, op9_url_filter, op10_warc_fixity,
+        op11_spelling_variants, op12_fill_middle, op13_chat_windows,
     )
 }
 
@@ -185,4 +213,60 @@ SELECT archive, CAST(pos AS BIGINT) AS "offset",
     CASE WHEN hash_b IS NULL THEN 'missing' WHEN hash_a IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
     hash_a, hash_b, CAST(length_a AS BIGINT) AS length_a, CAST(length_b AS BIGINT) AS length_b
 FROM x FULL JOIN y USING (archive, pos) WHERE hash_a IS DISTINCT FROM hash_b""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+x AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+    WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+    string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT]
+    ELSE [195, ord(c)::BIGINT - 64] END))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM x, tab),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) ||
+    substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM k a JOIN k b ON a.i = b.i AND a.p = b.p AND a.s = b.s AND a.word <> b.word
+    UNION SELECT k.word, k.n, w.word, w.n FROM k JOIN w ON k.p || k.s = w.word
+    UNION SELECT w.word, w.n, k.word, k.n FROM k JOIN w ON k.p || k.s = w.word),
+f AS (SELECT word, n, count(*) OVER (PARTITION BY word) AS n_near, other, m, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS q FROM e),
+g AS (SELECT word, n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM f WHERE q = 1),
+r AS (SELECT word, form AS root FROM g WHERE form IS NOT NULL
+    UNION ALL SELECT r.word, g.form FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL)
+SELECT w.word, w.n, coalesce(g.n_near, 0) AS n_near, g.form, g.form_n, coalesce(z.root, w.word) AS root FROM w LEFT JOIN g USING (word)
+    LEFT JOIN (SELECT r.word, r.root FROM r LEFT JOIN g ON g.word = r.root WHERE g.form IS NULL) z USING (word)""",
+    "op12_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS x, coalesce(array_to_string(u[a + 1:b], ''), '') AS y,
+    coalesce(array_to_string(u[b + 1:n], ''), '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM p""",
+    "op13_chat_windows": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]')) + 4 AS tokens,
+    replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS r,
+    replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t') AS x FROM c),
+q AS (SELECT *, place = 1 AND role = 'system' AS sys, 14 + length(r) + length(x) AS chars FROM o),
+s AS (SELECT *, sum(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS st,
+    sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM q),
+h AS (SELECT *, upto - tokens AS before, greatest(768 - st, 256) // 2 AS half FROM s WHERE NOT sys),
+w AS (SELECT conv_id, win, min(before) AS start FROM (SELECT conv_id, before, 2 * (before // half) + CASE WHEN tokens > half THEN 1 ELSE 0 END AS win FROM h)
+    GROUP BY ALL),
+f AS (SELECT conv_id, chars FROM h UNION ALL SELECT h.conv_id, h.chars FROM h JOIN w ON h.conv_id IS NOT DISTINCT FROM w.conv_id
+        AND h.upto <= w.start AND w.start - h.before <= 256
+    UNION ALL SELECT q.conv_id, q.chars FROM q JOIN w ON q.conv_id IS NOT DISTINCT FROM w.conv_id WHERE sys
+    UNION ALL SELECT conv_id, chars FROM q WHERE sys AND NOT EXISTS (SELECT 1 FROM w WHERE w.conv_id IS NOT DISTINCT FROM q.conv_id)),
+z AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS n FROM f GROUP BY 1),
+t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '') AS loss FROM o GROUP BY 1)
+SELECT t.conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+    z.n AS formatted_chars FROM t JOIN z ON t.conv_id IS NOT DISTINCT FROM z.conv_id""",
 }
