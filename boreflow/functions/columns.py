@@ -215,3 +215,29 @@ def heads_value(value: Column, n: Column, idx: Column) -> Column:
     """Value of a heads field for one row: an array as long as the frame gives its element, all else is repeated as text."""
     items = F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>"))
     return F.when(F.size(items) == n, F.get(items, idx.cast("int"))).otherwise(value)
+
+
+def message_error(payload: Column, name: str) -> Column:
+    """First error of one message: no content, no JSON, no object, no ``Messages.Payload``; null if it is valid."""
+    parsed = F.try_parse_json(payload)
+    inside = F.try_variant_get(F.try_variant_get(parsed, "$.Messages", "variant"), "$.Payload", "variant")
+    return (
+        F.when(F.trim(payload) == "", f"{name} message has no data content")
+        .when(parsed.isNull(), f"Invalid JSON in {name.lower()} message")
+        .when(~F.schema_of_variant(parsed).startswith("OBJECT"), f"{name} message data is not a valid dictionary")
+        .when(inside.isNull(), f"{name} message missing required Messages.Payload structure")
+    )
+
+
+def pair_error(result: Column, trace: Column) -> Column:
+    """First error of a pair: what is missing or empty on either side, then the result's structure, then the trace's."""
+    empty = lambda c, n: F.when(F.trim(c) == "", f"{n} message has no data content")
+    return F.coalesce(
+        F.when(result.isNull(), "Missing required result message"), F.when(trace.isNull(), "Missing required trace message"),
+        empty(result, "Result"), empty(trace, "Trace"), message_error(result, "Result"), message_error(trace, "Trace"),
+    )
+
+
+def apart(a: Column, b: Column, seconds: float = 30.0) -> Column:
+    """Whether two messages lie further apart than that; a warning, no error."""
+    return F.abs(F.unix_micros(a) - F.unix_micros(b)) > int(seconds * 1e6)

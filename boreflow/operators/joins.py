@@ -101,3 +101,26 @@ def duplicates(df: DataFrame, key: str, ts: str, content: str, seconds: float =
     same = x[key].eqNullSafe(marks["_key"]) & x[content].eqNullSafe(marks["_content"]) & (x["_n"] == marks["_kept"])
     out = x.join(marks, same, "left").withColumn("is_duplicate", F.col("_kept").isNull())
     return out.drop("_t", "_n", "_open", "_chain", "_key", "_content", "_kept")
+
+
+def without_repeats(df: DataFrame, key: str, ts: str, content: str, seconds: float = 1.0, policy: str = "ignore", row: str | None = None) -> DataFrame:
+    """Messages that count where same key and content come less than so long after each other.
+
+    ignore: the first counts, and those that repeat it do not.  replace: a repeat takes the place of the one before it, so the
+    last of a run counts.  error: a repeat raises. Null keys and contents equal each other; ties go by ``row``.
+    """
+    from pyspark.sql import Window
+
+    step, order = int(seconds * 1_000_000), ["_t", *([row] if row else [])]
+    w = Window.partitionBy(key, content).orderBy(*order)
+    x = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    if policy == "replace":
+        ahead = F.lead("_t").over(w) - F.col("_t")
+        return x.withColumn("_last", ahead.isNull() | (ahead >= step)).where("_last").drop("_t", "_last")
+    if policy == "error":
+        gap = F.col("_t") - F.lag("_t").over(w)
+        checked = F.when(gap < step, F.raise_error(F.lit("repeated message"))).otherwise(F.lit(True))
+        return x.withColumn("_fine", checked).where("_fine").drop("_t", "_fine")
+    if policy != "ignore":
+        raise ValueError(f"no such policy: {policy}")
+    return duplicates(df, key, ts, content, seconds, row).where("not is_duplicate").drop("is_duplicate")

@@ -9,7 +9,7 @@ from boreflow.plans.joins import GREEDY, PAIRS, WINDOW_S, _greedy
 from boreflow.plans.paths import scratch_path
 from boreflow.queries import query
 from boreflow.sources import logs
-from boreflow.streaming import live
+from boreflow.streaming import live, state
 
 M = f"WITH {MSG} "
 
@@ -110,8 +110,9 @@ m AS (SELECT tool, mr AS result, mt AS trace FROM g WHERE mr IS NOT NULL)"""
 @query(f"WITH RECURSIVE {MSG}, {STREAMED} SELECT tool, result, trace FROM m")
 def r05_greedy_matcher(spark, d):
     """In the order of arrival each message takes the first of the other kind that waits within its window."""
-    x = live.match_greedily(_stream(spark, d), WINDOW_S, keep=2 * WINDOW_S)
-    return live.run_once(x.select("tool", "result", "trace"), scratch_path(spark, "r05"))
+    with state.keyed_state(spark):
+        x = state.match_greedily(_stream(spark, d), WINDOW_S, keep=2 * WINDOW_S)
+        return live.run_once(x.select("tool", "result", "trace"), scratch_path(spark, "r05"))
 
 
 @query(f"""WITH RECURSIVE {MSG}, {ARRIVALS}, g(tool, n, r, t, s, us, vr, vt) AS (
@@ -122,8 +123,9 @@ FROM (SELECT *, r IS NOT NULL AND t IS NOT NULL AS full_ FROM (SELECT e.tool, e.
 SELECT tool, us, vr AS result, vt AS trace FROM g WHERE vr IS NOT NULL""")
 def r06_complete_sets(spark, d):
     """Latest result and trace of a tool as soon as both came; a set that waits longer than the window is given up."""
-    x = live.complete_sets(_stream(spark, d), ["result", "trace"], WINDOW_S * 1000)
-    return live.run_once(x, scratch_path(spark, "r06"))
+    with state.keyed_state(spark):
+        x = state.complete_sets(_stream(spark, d), ["result", "trace"], WINDOW_S)
+        return live.run_once(x, scratch_path(spark, "r06"))
 
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id % 20 ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events WHERE value < 10""")
