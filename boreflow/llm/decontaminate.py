@@ -26,6 +26,8 @@ from boreflow.llm.shared import Scratch, lower_ascii
 WINDOW = 10
 #: Rows of test terms (under 1 kB each) that are broadcast at once.
 BLOCK = 20_000
+#: Window starts of one stretch of a test item; a word carries its stretch along, not its item.
+STRETCH = 64
 
 
 def words_of(text: Column) -> Column:
@@ -63,13 +65,21 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return _all([tokens.join(F.broadcast(t), "term").groupBy("term").agg(F.count("*").alias("n")) for t in _blocks(terms, "term")])
 
 
+def stretches(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Items cut so that each window lies in one piece of at most ``STRETCH + window - 1`` words; shorter items stay whole."""
+    last = F.floor(F.greatest(F.size("w") - window, F.lit(0)) / STRETCH).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(F.col("w"), k * STRETCH + 1, STRETCH + window - 1))
+    return items.select("item_id", F.explode(piece).alias("w")).distinct()
+
+
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rarest and second rarest term of each window: (term, delta, second) and the item around the term.
 
-    ``before`` and ``after`` hold up to window - 1 item words next to the term, nearest first; ``least`` is the length
-    of the item's windows.
+    ``before`` and ``after`` hold up to window - 1 item words next to the term, nearest first, as far as the window's stretch
+    goes; ``least`` is the length of the item's windows.
     """
-    at = items.select("item_id", "w", F.posexplode("w").alias("i", "term")).join(counts, "term", "left")
+    pieces = stretches(items, window)
+    at = pieces.select("item_id", "w", F.posexplode("w").alias("i", "term")).join(counts, "term", "left")
     ranked = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "i")
     lists = at.groupBy("item_id", "w").agg(F.collect_list(F.struct("i", ranked.alias("r"))).alias("rs"))
     lists = lists.withColumn("rs", F.transform(F.sort_array("rs"), lambda x: x["r"]))
