@@ -165,11 +165,11 @@ _TITLE = (
     r"|mozilla public licen[cs]e(?:,? version [12]\.[01])?|version [12]\.[01]|creative commons legal code|cc0 1\.0 universal|the \W?artistic licen[cs]e\W?"
 )
 #: Title and copyright lines that a text begins with; something must follow.
-_HEADER = rf"\A(?:[^\p{{L}}\p{{N}}(©]*(?:(?:{_TITLE})[^\p{{L}}\p{{N}}\n]*|(?:copyright|\(c\)|©)[^\n]*|all rights reserved\W*?)\n){{1,20}}"
+_HEADER = rf"\A(?:[^\p{{L}}\p{{N}}(©]*(?:(?:{_TITLE})[^\p{{L}}\p{{N}}\n]*|(?:copyright|\(c\)|©)[^\n]*|all rights reserved[^\w\n]*)\n){{1,20}}"
 #: Copyright lines further down, which a line of the terms that is broken before "copyright" is not; and the last line.
 _COPYRIGHT = (
-    r"(?m)^\W*(?:copyright\b[^\n]*(?:\(c\)|©|\b(?:19|20)\d\d\b|<year>|\[yyyy\])|\(c\)\W*(?:copyright|(?:19|20)\d\d)|©)[^\n]*$"
-    r"|^\W*(?:copyright|\(c\)|©)[^\n]*\s*\z|all\s+rights\s+reserved\.?"
+    r"(?m)^[^\w\n]*(?:copyright\b[^\n]*(?:\(c\)|©|\b(?:19|20)\d\d\b|<year>|\[yyyy\])|\(c\)\W*(?:copyright|(?:19|20)\d\d)|©)[^\n]*$"
+    r"|^[^\w\n]*(?:copyright|\(c\)|©)[^\n]*\s*\z|all\s+rights\s+reserved\.?"
 )
 
 #: Known digests up to which their table is broadcast; a longer list is joined by shuffle.
