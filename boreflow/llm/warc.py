@@ -65,7 +65,8 @@ def _records(data: bytes) -> Iterator[tuple[int, int, str | None]]:
         lines = data[at : max(head, at)].decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = fields.get("content-length", "")
-        end = head + 8 + int(size) if size.isascii() and size.isdigit() and lines[0].startswith("WARC/") else 0
+        known = size.isascii() and size.isdigit() and len(size) <= 18  # no file is longer than that says
+        end = head + 8 + int(size) if known and lines[0].startswith("WARC/") else 0
         if end > at and data[end - 4 : end] == b"\r\n\r\n" and (end == len(data) or data.startswith(b"WARC/", end)):
             yield at, end, fields.get("warc-target-uri", "")
         else:
