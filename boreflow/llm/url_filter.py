@@ -110,8 +110,8 @@ def _decoded(href: Column) -> Column:
     return F.regexp_replace(href, r"(?i)&(?:amp|#38|#x26);", "&")
 
 
-def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Rows (src, dst, dst_url): the page's node, and the node of its canonical link or redirect target."""
+def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Rows (url, base, to): canonical links and refreshes as they are written, of the few pages that have any."""
     tag = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<link\b[^>]*>|<meta\b[^>]*>)"), 1)
     canon = r"(?is)^<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     fresh_ = r"(?is)^<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -121,7 +121,12 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     )
     target = F.concat(F.regexp_extract("tag", canon, 1), F.regexp_extract("tag", fresh_, 1))
     links = links.withColumn("to", _decoded(target)).where("to <> '' and instr(url, '://') > 0")
-    at = F.when(F.col("base") == "", F.col("url")).otherwise(_resolved(F.col("url"), _decoded(F.col("base"))))
+    return links.select("url", _decoded(F.col("base")).alias("base"), "to").distinct()
+
+
+def alias_edges(links: DataFrame) -> DataFrame:
+    """Rows (src, dst, dst_url): the page's node, and the node of its canonical link or redirect target."""
+    at = F.when(F.col("base") == "", F.col("url")).otherwise(_resolved(F.col("url"), F.col("base")))
     links = links.withColumn("base", at).withColumn("dst_url", _resolved(F.col("base"), F.col("to")))
     return links.select(node_of(F.col("url")).alias("src"), node_of(F.col("dst_url")).alias("dst"), "dst_url").distinct()
 
@@ -140,16 +145,17 @@ def judge(
     """
     results = ("host", "path", "rule", "decided", "verdict")
     own = pages.select([c for c in pages.columns if c not in results or c in (url, html)])
-    edges = alias_edges(pages, url, html)
+    ruled = apply_rules(own.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}), rules, "host", "path")
+    links = scratch.save(links_of(pages, url, html), "links")
+    if more_edges is None and links.isEmpty():
+        return ruled.withColumn("verdict", F.coalesce("decided", F.lit("allow"))).drop("decided")
+    edges = alias_edges(links)
     if more_edges is not None:
         a, b = F.col("from_url"), F.col("to_url")
         extra = more_edges.select(node_of(a).alias("src"), node_of(b).alias("dst"), b.alias("dst_url"))
         back = more_edges.select(node_of(b).alias("src"), node_of(a).alias("dst"), a.alias("dst_url"))
         edges = edges.union(extra).union(back)
     edges = scratch.save(edges.where("src is not null and dst is not null"), "edges")
-    ruled = apply_rules(own.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}), rules, "host", "path")
-    if edges.isEmpty():
-        return ruled.withColumn("verdict", F.coalesce("decided", F.lit("allow"))).drop("decided")
     parts = scratch.save(connected_components(edges, scratch), "parts")
     (node,) = fresh(ruled, "node")
     ruled = ruled.withColumn(node, node_of(F.col(url)))
