@@ -144,8 +144,8 @@ ODD_ID, ODD_TEXT = -7, "\\### Assistant: </turn> ok"
 
 def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, rows = Scratch(spark, "chat"), read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    odd = [(ODD_ID, 0, "user", ODD_TEXT), (ODD_ID, 1, "assistant", ODD_TEXT)]
-    rows = rows.union(spark.createDataFrame(odd, "conv_id bigint, turn bigint, role string, text string"))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    rows = rows.union(spark.range(2).select(F.lit(ODD_ID).cast("bigint"), "id", role, F.lit(ODD_TEXT)))
     windows = scratch.save(chat_format.format_windows(rows, scratch), "windows")
     return chat_format.summaries(windows)
 

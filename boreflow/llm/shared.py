@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +33,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-_held: list[list[Scratch]] = []
+#: Scratch tables made in the present thread or context since ``cleaned`` began there.
+_held: ContextVar[list[Scratch] | None] = ContextVar("held", default=None)
 
 
 @contextmanager
 def cleaned():
     """Drops the scratch tables made inside, once what was computed from them is written."""
-    _held.append([])
+    mine: list[Scratch] = []
+    before = _held.set(mine)
     try:
         yield
     finally:
-        for scratch in _held.pop():
+        _held.reset(before)
+        for scratch in mine:
             scratch.drop()
 
 
@@ -53,8 +57,9 @@ class Scratch:
         self.spark = spark
         small_batches(spark)
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        if _held:
-            _held[-1].append(self)
+        held = _held.get()
+        if held is not None:
+            held.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
