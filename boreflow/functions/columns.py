@@ -61,11 +61,16 @@ def json_path(c: Column, dotted: str) -> Column:
     return F.get_json_object(c, "$" + steps)
 
 
-def find_values(json: Column, key: str, depth: int = 12) -> Column:
+def nesting(json: Column) -> Column:
+    """A bound of how deep a JSON text is nested: its opening brackets, and the top."""
+    return F.char_length(json) - F.char_length(F.translate(json, "{[", "")) + 1
+
+
+def find_values(json: Column, key: str) -> Column:
     """All values under a key at any depth of a JSON text, as text; what is no JSON has none.
 
-    Objects and arrays are walked level by level, up to so many levels, on the parsed value; in a level the keys of an object
-    are taken in their order by name. A list or object that is found comes as JSON.
+    Objects and arrays are walked level by level on the parsed value, as many levels as the text has opening brackets; in a level
+    the keys of an object are taken in their order by name. A list or object that is found comes as JSON.
     """
     as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
     as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
@@ -76,7 +81,7 @@ def find_values(json: Column, key: str, depth: int = 12) -> Column:
     step = lambda s, i: F.struct(
         F.flatten(F.transform(s["at"], below)).alias("at"), F.concat(s["found"], F.flatten(F.transform(s["at"], hit))).alias("found")
     )
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.struct(start.alias("at"), none.alias("found")), step, lambda s: s["found"])
+    walked = F.aggregate(F.sequence(F.lit(1), F.coalesce(nesting(json), F.lit(1))), F.struct(start.alias("at"), none.alias("found")), step, lambda s: s["found"])
     return F.transform(walked, lambda v: F.try_variant_get(v, "$", "string"))
 
 
@@ -132,7 +137,7 @@ def topic_kind(topic: Column) -> Column:
 def is_exact_topic(topic: Column, suffix: str) -> Column:
     """Four parts or more, of which those from the fourth on are the suffix."""
     parts = F.split(topic, "/")
-    return (F.size(parts) >= 4) & (F.array_join(F.slice(parts, 4, 99), "/") == suffix)
+    return (F.size(parts) >= 4) & (F.array_join(F.slice(parts, F.lit(4), F.size(parts)), "/") == suffix)
 
 
 def tool_key(topic: Column) -> Column:
@@ -241,3 +246,64 @@ def pair_error(result: Column, trace: Column) -> Column:
 def apart(a: Column, b: Column, seconds: float = 30.0) -> Column:
     """Whether two messages lie further apart than that; a warning, no error."""
     return F.abs(F.unix_micros(a) - F.unix_micros(b)) > int(seconds * 1e6)
+
+
+LEAF = "array<struct<path:string,v:variant>>"
+
+
+def leaves(json: Column) -> Column:
+    """Scalars of a JSON text with their paths, ordered by path: structs (path, text, number); empty objects and lists count too.
+
+    ``text`` is the value as text, or what kind of empty value it is; ``number`` is set for numbers only.
+    """
+    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    none = F.array().cast(LEAF)
+
+    def below(x: Column) -> Column:
+        named = F.transform(F.map_entries(as_map(x["v"])), lambda e: F.struct(F.concat(x["path"], F.lit("."), F.to_json(F.array(e["key"]))).alias("path"), e["value"].alias("v")))
+        listed = F.transform(as_list(x["v"]), lambda v, i: F.struct(F.concat(x["path"], F.lit("#"), i.cast("string")).alias("path"), v.alias("v")))
+        return F.coalesce(named, listed, none)
+
+    ends = lambda at: F.filter(at, lambda x: F.size(below(x)) == 0)
+    step = lambda s, i: F.struct(F.flatten(F.transform(s["at"], below)).alias("at"), F.concat(s["found"], ends(s["at"])).alias("found"))
+    start = F.coalesce(F.transform(F.array(F.try_parse_json(json)), lambda v: F.struct(F.lit("$").alias("path"), v.alias("v"))), none)
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.coalesce(nesting(json), F.lit(1))), F.struct(start.alias("at"), none.alias("found")), step, lambda s: s["found"]
+    )
+    number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+    kind = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.schema_of_variant(v))
+    return F.array_sort(F.transform(walked, lambda x: F.struct(x["path"].alias("path"), kind(x["v"]).alias("text"), number(x["v"]).alias("number"))))
+
+
+def deep_equal(a: Column, b: Column, tolerance: float = 1e-10) -> Column:
+    """Whether two lists of :func:`leaves` have the same paths, numbers closer than the tolerance, and otherwise equal texts.
+
+    A number equals no text that reads like it.
+    """
+    same = lambda x, y: (x["path"] == y["path"]) & F.when(
+        x["number"].isNotNull() & y["number"].isNotNull(), F.abs(x["number"] - y["number"]) < tolerance
+    ).otherwise(x["number"].isNull() & y["number"].isNull() & (x["text"] == y["text"]))
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, same), lambda ok: F.coalesce(ok, F.lit(False)))
+
+
+def processed(topic: Column, payload: Column, prefix: str, kind: str = "type", key: str = "id") -> dict[str, Column]:
+    """(type, key, data) of a message: the topic without its prefix and the payload's fields; what is no JSON object comes as raw text.
+
+    Type and key are ``unknown`` where the payload has none. ``data`` is JSON with the shortened topic as ``_topic``.
+    """
+    short = F.when(F.startswith(topic, F.lit(prefix)), F.substring(topic, F.lit(len(prefix) + 1), F.length(topic))).otherwise(topic)
+    fields = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    text = lambda name: F.coalesce(F.try_variant_get(F.try_element_at(fields, F.lit(name)), "$", "string"), F.lit("unknown"))
+    own = F.transform_values(F.coalesce(fields, F.create_map().cast("map<string,variant>")), lambda k, v: F.to_json(v))
+    body = F.array_join(F.transform(F.map_entries(own), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    about = F.concat(F.lit('"_topic":'), F.regexp_extract(F.to_json(F.array(short)), r"(?s)^\[(.*)\]$", 1))
+    raw = F.concat(F.lit('"raw":'), F.regexp_extract(F.to_json(F.array(payload)), r"(?s)^\[(.*)\]$", 1))
+    data = F.when(fields.isNull(), F.concat(F.lit("{"), raw, F.lit(","), about, F.lit("}")))
+    data = data.otherwise(F.concat(F.lit("{"), body, F.when(body == "", "").otherwise(","), about, F.lit("}")))
+    return {"type": text(kind), "key": text(key), "data": data}
+
+
+def exact_code(code: Column, names: dict[int, str]) -> Column:
+    """Name of the code that a value is exactly; null for any other, combinations of flags included."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), code.cast("int"))

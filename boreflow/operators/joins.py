@@ -124,3 +124,26 @@ def without_repeats(df: DataFrame, key: str, ts: str, content: str, seconds: flo
     if policy != "ignore":
         raise ValueError(f"no such policy: {policy}")
     return duplicates(df, key, ts, content, seconds, row).where("not is_duplicate").drop("is_duplicate")
+
+
+def deep_equal_pairs(df: DataFrame, row: str, json: str, tolerance: float = 1e-10) -> DataFrame:
+    """Pairs (a, b), a < b, of rows whose JSON texts are deeply equal, numbers within the tolerance.
+
+    Equal texts have the same paths, and their numbers have sums closer than the tolerance for each: rows meet by the paths and
+    by the cell of the sum or the one beside it, so numbers on either side of a bound meet too; then the leaves decide. Texts that are
+    no JSON equal none.
+    """
+    from boreflow.functions.columns import deep_equal, leaves
+
+    x = df.select(F.col(row).alias("row"), leaves(F.col(json)).alias("leaves")).where(F.size("leaves") > 0)
+    paths = F.xxhash64(F.transform("leaves", lambda v: v["path"]))
+    total = F.aggregate("leaves", F.lit(0.0), lambda s, v: s + F.coalesce(v["number"], F.lit(0.0)))
+    # sums of large numbers lose digits, so cells are as wide as that loss at least
+    size = F.aggregate("leaves", F.lit(1.0), lambda s, v: s + F.abs(F.coalesce(v["number"], F.lit(0.0))))
+    x = x.select("row", "leaves", paths.alias("paths"), total.alias("total"), F.ceil(F.log10(size)).cast("int").alias("scale"))
+    cell = lambda scale: F.floor(F.col("total") / F.pow(F.lit(10.0), scale - 6)).cast("bigint")
+    near = [F.struct((F.col("scale") + s).alias("scale"), (cell(F.col("scale") + s) + i).alias("cell")) for s in (-1, 0, 1) for i in (-1, 0, 1)]
+    a = x.select(F.col("row").alias("a"), F.col("leaves").alias("la"), "paths", F.explode(F.array(*near)).alias("n")).select("a", "la", "paths", "n.scale", "n.cell")
+    b = x.select(F.col("row").alias("b"), F.col("leaves").alias("lb"), "paths", "scale", cell(F.col("scale")).alias("cell"))
+    met = a.join(b, ["paths", "scale", "cell"]).where((F.col("a") < F.col("b")) & deep_equal(F.col("la"), F.col("lb"), tolerance))
+    return met.select("a", "b").distinct()

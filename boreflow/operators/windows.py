@@ -176,3 +176,39 @@ def lagged_features(df: DataFrame, c: str, step: int = 2, phases: int = 3, shift
         for p in range(phases)
     ]
     return wide.select(HOLE, "row", *out)
+
+
+def hann(n: int) -> list[float]:
+    """Periodic cosine window."""
+    from math import cos, pi
+
+    return [0.5 - 0.5 * cos(2 * pi * i / n) for i in range(n)]
+
+
+def line_coefficients(n: int, at: int, weights: list[float]) -> list[float]:
+    """What each of n samples counts for in the value at a place of the line fitted to them by weighted least squares."""
+    w = [x * x for x in weights]  # residuals are weighted before they are squared
+    s0, s1, s2 = (sum(x * i**k for i, x in enumerate(w)) for k in (0, 1, 2))
+    d = s0 * s2 - s1 * s1
+    return [x * (s2 - s1 * i + at * (s0 * i - s1)) / d for i, x in enumerate(w)]
+
+
+def line_fit(c: str, n: int, weights: list[float] | None = None) -> Column:
+    """Savitzky-Golay of order 1: the mean of the n samples around; at the ends the weighted line through the first or last n.
+
+    Null in holes of fewer than n samples.
+    """
+    weights, half, o = weights or hann(n), n // 2, by_hole()
+    i, last = F.col(IDX) - F.min(IDX).over(whole()), F.max(IDX).over(whole()) - F.col(IDX)
+
+    def dot(coefficients: list[float], first: int) -> Column:
+        out = F.lit(0.0)
+        for k, x in enumerate(coefficients):
+            at = first + k
+            out = out + F.lit(x) * (F.lag(c, -at).over(o) if at < 0 else F.lead(c, at).over(o))
+        return out
+
+    out = _full(F.avg(c).over(centred(n)), centred(n), n)
+    for k in range(half):
+        out = F.when(i == k, dot(line_coefficients(n, k, weights), -k)).when(last == k, dot(line_coefficients(n, n - 1 - k, weights), k - n + 1)).otherwise(out)
+    return out

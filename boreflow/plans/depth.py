@@ -150,8 +150,8 @@ def d13_match_quality(spark, d):
     return q.select("hole_id", F.round("best", 5).alias("best"), z.alias("z"), c.rag(1 / z).alias("rag"))
 
 
-@query(T + f""", {PROFILE.replace("pr AS (", "pr AS MATERIALIZED (")}, b AS MATERIALIZED (SELECT hole_id, min(struct_pack(d := round(distance, 6), i := idx)) AS b FROM pr GROUP BY 1)
-SELECT hole_id, idx, CASE WHEN idx BETWEEN b.b.i AND b.b.i + 7 THEN NULL ELSE torque_a END AS torque_a FROM trace JOIN b USING (hole_id)""")
+@query(T + f""", {PROFILE}, b AS (SELECT hole_id, arg_min(idx, struct_pack(d := round(distance, 6), i := idx)) AS lo FROM pr GROUP BY 1)
+SELECT trace.hole_id, idx, CASE WHEN idx >= lo AND idx < lo + 8 THEN NULL ELSE torque_a END AS torque_a FROM trace JOIN b ON b.hole_id = trace.hole_id""")
 def d14_cleanup(spark, d):
     t = trace(spark, d)
     at = dp.best_match(dp.distance_profile(t, "torque_a", TEMPLATE)).select("hole_id", "at")

@@ -63,8 +63,8 @@ def d24_message_to_result(spark, d):
 @query(M + "SELECT CAST(floor(epoch_us(ts) / 3.6e9) AS BIGINT) AS hour, kind, count(*) AS n FROM msg GROUP BY 1, 2")
 def r01_event_time_counts(spark, d):
     """Hourly counts of the stream in event time."""
-    x = live.windowed_counts(_stream(spark, d), "ts", "1 hour", ["kind"])
-    x = live.run_once(x, scratch_path(spark, "r01"), "complete")
+    own = _stream(spark, d, closing=scratch_path(spark, "closing")).withColumn("kind", F.when(F.col("tool") >= 0, F.col("kind")))
+    x = live.run_once(live.windowed_counts(own, "ts", "1 hour", ["kind"]), scratch_path(spark, "r01")).where("kind is not null")
     return x.select((F.unix_seconds("w.start") / 3600).cast("bigint").alias("hour"), "kind", "n")
 
 
@@ -166,8 +166,8 @@ def r10_backlog_levels(spark, d):
 @query("""SELECT CAST(floor(epoch_us(ts) / 3e8) AS BIGINT) AS slot, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2""")
 def r11_failures_per_window(spark, d):
     """Counts by category in windows of five minutes, as a stream."""
-    ev = live.with_late_limit(live.read_events(spark, d)).select("ts", F.col("event_type").alias("category"))
-    x = live.run_once(live.windowed_counts(ev, "ts", "5 minutes", ["category"]), scratch_path(spark, "r11"), "complete")
+    ev = live.with_late_limit(live.read_events(spark, d, scratch_path(spark, "closing"))).select("ts", F.when(F.col("user_id") >= 0, F.col("event_type")).alias("category"))
+    x = live.run_once(live.windowed_counts(ev, "ts", "5 minutes", ["category"]), scratch_path(spark, "r11")).where("category is not null")
     return x.select((F.unix_seconds("w.start") / 300).cast("bigint").alias("slot"), "category", "n")
 
 
@@ -186,9 +186,9 @@ def r12_live_pipeline(spark, d):
     return records.select("topic", F.get_json_object("value", "$.ResultId").cast("bigint").alias("result"), F.round(first, 4).alias("first"))
 
 
-def _tools(spark, d):
-    """All events as a stream of (event_id, ts, tool, bad, value)."""
-    ev = live.with_late_limit(live.read_events(spark, d))
+def _tools(spark, d, closing=False):
+    """All events as a stream of (event_id, ts, tool, bad, value); with closing events, windows come out as they end."""
+    ev = live.with_late_limit(live.read_events(spark, d, scratch_path(spark, "closing") if closing else None))
     return ev.select("event_id", "ts", (F.col("user_id") % 20).alias("tool"), (F.col("event_type") == "error").alias("bad"), "value")
 
 
@@ -196,8 +196,9 @@ def _tools(spark, d):
 SELECT tool, w * 6 AS start_hour, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) >= 5""")
 def r07_negative_stream(spark, d):
     """Sliding windows of a day, every six hours, in which a tool gave five low values or more, as a stream."""
-    x = live.windowed_counts(_tools(spark, d).where("value < 10"), "ts", "1 day", ["tool"], "6 hours").where("n >= 5")
-    x = live.run_once(x, scratch_path(spark, "r07"), "complete")
+    low = _tools(spark, d, closing=True).where("value < 10 or value is null")  # closing events have no value
+    x = live.windowed_counts(low, "ts", "1 day", ["tool"], "6 hours").where("n >= 5")
+    x = live.run_once(x, scratch_path(spark, "r07"))
     return x.select("tool", (F.unix_seconds("w.start") / 3600).cast("bigint").alias("start_hour"), "n")
 
 
@@ -222,8 +223,8 @@ def r09_rate_stream(spark, d):
 def r10_backlog_stream(spark, d):
     """Messages and drop rate of each hour, with a warning over five percent, as a stream."""
     rate = F.avg(F.col("bad").cast("double"))
-    x = _tools(spark, d).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), rate.alias("rate"))
-    x = live.run_once(x, scratch_path(spark, "r10"), "complete")
+    x = _tools(spark, d, closing=True).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count_if(F.col("tool") >= 0).alias("n"), rate.alias("rate"))
+    x = live.run_once(x.where("n > 0"), scratch_path(spark, "r10"))
     level = F.when(F.col("rate") > 0.05, "warn").otherwise("ok")
     return x.select((F.unix_seconds("w.start") / 3600).cast("bigint").alias("hour"), "n", F.round("rate", 5).alias("drop_rate"), level.alias("level"))
 
@@ -233,7 +234,7 @@ s AS (SELECT *, sum(b) OVER (PARTITION BY tool ORDER BY ts ROWS UNBOUNDED PRECED
 SELECT tool, CAST(min(epoch_us(ts)) AS BIGINT) AS start_us, count(*) AS n FROM s GROUP BY tool, s""")
 def r13_sessions(spark, d):
     """Bursts of a tool with gaps under two hours, as a stream."""
-    x = live.run_once(live.sessions(_tools(spark, d), "ts", "2 hours", ["tool"]), scratch_path(spark, "r13"), "complete")
+    x = live.run_once(live.sessions(_tools(spark, d, closing=True), "ts", "2 hours", ["tool"]), scratch_path(spark, "r13")).where("tool >= 0")
     return x.select("tool", F.unix_micros("w.start").alias("start_us"), "n")
 
 

@@ -90,10 +90,10 @@ def combine(lines: DataFrame, path: str) -> DataFrame:
     return samples(lines).join(files.withColumn("hole_num", F.col("hole_num") - 1), "file")
 
 
-#: Forms of the date in the head of a log: pattern and how it reads (fixed values of the file format).
+#: Forms of the date in the head of a log: what may be one, and how it reads; whether it is a date the parser decides.
 WRITE_DATES = (
-    (r"\d{4}-\d{1,2}-\d{1,2}:(?:2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d", "yyyy-M-d:H:m:s"),
-    (r"\d{2}/\d{2}/\d{2}\s+:\s+\d{2}:\d{2}\s+[AP]M", "dd/MM/yy : hh:mm a"),
+    (r"\d+-\d+-\d+:\d+:\d+:\d+", "yyyy-M-d:H:m:s"),
+    (r"\d+/\d+/\d+\s*:\s*\d+:\d+\s*\w+", "dd/MM/yy : hh:mm a"),
 )
 
 
