@@ -51,6 +51,64 @@ def reference_depth(
     return b.withColumn("depth", F.col("xb") - F.col("xa") + correction)
 
 
+def depth_sweep(
+    df: DataFrame, c: str, ns: list[int], expected: list[float], wins: list[float], xstart: float = 10.0, pos: str = "pos_mm"
+) -> DataFrame:
+    """Untapered ``reference_depth`` for each slope length, expected depth and window: (hole, n, expected, win, xa, xb, depth).
+
+    The signal is shuffled and smoothed once; each slope length is a column, and each cell a pair of conditional maxima over
+    the hole, so the grid widens the aggregation and not the plan.
+    """
+    x = w.wiener(df.withColumn("_p", F.abs(F.col(pos))), c, 15, "_s")
+    x = x.select(HOLE, IDX, "_p", *(w.slope_ends(F.col("_s"), n).alias(f"_g{n}") for n in ns))
+    whole = Window.partitionBy(HOLE)
+    entry = lambda n: F.max(F.when(F.col("_p") <= xstart, F.struct(F.round(f"_g{n}", 9).alias("v"), (-F.col("_p")).alias("p")))).over(whole)
+    x = x.withColumns({f"_xa{n}": -entry(n).getField("p") for n in ns})
+    cells = [(n, e, win) for n in ns for e in expected for win in wins]
+
+    def exit_of(n: int, e: float, win: float) -> Column:
+        from_, to = F.col(f"_xa{n}") + (e - win / 2), F.col(f"_xa{n}") + (e + win / 2)
+        return _pick("max", -F.col(f"_g{n}"), F.col("_p"), F.col("_p").between(from_, to))
+
+    g = x.groupBy(HOLE).agg(*(F.first(f"_xa{n}").alias(f"xa{n}") for n in ns), *(exit_of(*cell).alias(f"xb{i}") for i, cell in enumerate(cells)))
+    rows = [
+        F.struct(F.lit(n).alias("n"), F.lit(float(e)).alias("expected"), F.lit(float(win)).alias("win"), F.col(f"xa{n}").alias("xa"), F.col(f"xb{i}").alias("xb"))
+        for i, (n, e, win) in enumerate(cells)
+    ]
+    return g.select(HOLE, F.inline(F.array(*rows))).withColumn("depth", F.col("xb") - F.col("xa"))
+
+
+def sweep_summary(cells: DataFrame) -> DataFrame:
+    """Holes with a depth, holes without one, mean and spread of the depth for each cell of a sweep."""
+    return cells.groupBy("n", "expected", "win").agg(
+        F.count("xb").alias("holes"), (F.count("*") - F.count("xb")).alias("missing"),
+        F.avg("depth").alias("mean"), F.stddev_pop("depth").alias("sd"),
+    )
+
+
+def depths_by_choice(
+    df: DataFrame, c: str, n: int = 20, xstart: float = 10.0, expected: float = 15.0, win: float = 8.0, share: float = 0.8, pos: str = "pos_mm"
+) -> DataFrame:
+    """``reference_depth`` by the largest, the first and the last strong slope side by side, in one pass over the slopes.
+
+    Rows (hole, xa_max, depth_max, xa_first, depth_first, xa_last, depth_last).
+    """
+    x = w.wiener(df.withColumn("_p", F.abs(F.col(pos))), c, 15, "_s").withColumn("_g", w.slope_ends(F.col("_s"), n))
+    x = w.tukey(x, "_g", "_g").select(HOLE, IDX, "_p", F.round("_g", 9).alias("_g"))
+    whole, modes = Window.partitionBy(HOLE), ("max", "first", "last")
+    g, p = F.col("_g"), F.col("_p")
+    early = p <= xstart
+    x = x.withColumn("_top", F.max(F.when(early, F.struct("_g", (-p).alias("p")))).over(whole))
+    strong = early & (g >= F.round(share * F.col("_top._g"), 9))
+    x = x.withColumns({"_xa_max": -F.col("_top.p"), "_xa_first": F.min(F.when(strong, p)).over(whole), "_xa_last": F.max(F.when(strong, p)).over(whole)})
+    near = {m: p.between(F.col(f"_xa_{m}") + (expected - win / 2), F.col(f"_xa_{m}") + (expected + win / 2)) for m in modes}
+    x = x.withColumns({f"_low_{m}": F.max(F.when(near[m], -g)).over(whole) for m in ("first", "last")})
+    ends = [_pick("max", -g, p, near["max"]).alias("xb_max")]
+    ends += [_pick(m, -g, p, near[m] & (-g >= F.round(share * F.col(f"_low_{m}"), 9))).alias(f"xb_{m}") for m in ("first", "last")]
+    b = x.groupBy(HOLE).agg(*(F.first(f"_xa_{m}").alias(f"xa_{m}") for m in modes), *ends)
+    return b.select(HOLE, *(col for m in modes for col in (F.col(f"xa_{m}"), (F.col(f"xb_{m}") - F.col(f"xa_{m}")).alias(f"depth_{m}"))))
+
+
 def step_keypoints(df: DataFrame, c: str, smooth: int = 15, n: int = 15, pos: str = "pos_mm") -> DataFrame:
     """Positions of the extreme rolling mean gradient of each step: (hole, step, at_max, at_min)."""
     x = w.smooth_centred(df, c, smooth, "_s", "step")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def interval_join(
@@ -24,31 +28,41 @@ def interval_join(
 def greedy_match(candidates: DataFrame, key: str, left: str, right: str, order_left: str, order_right: str) -> DataFrame:
     """In order, each left item takes the first right item that no earlier one took; rows (key, left, right).
 
-    ``candidates`` are the possible pairs. A fold over the pairs of a burst: runs of pairs whose items are linked in
-    time, so a busy key is not one group.
+    ``candidates`` are the possible pairs; a left item has one time. Pairs stream through sorted by key and time, and only the
+    right items that are taken and have candidates still to come are held, so a busy key costs time in proportion to its pairs
+    and memory in proportion to its reach. Null keys equal each other.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(order_left, left)
-    reach = F.max(order_right).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.max(order_left).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    low = F.min(order_right).over(Window.partitionBy(key, left))
-    pairs = candidates.withColumns({"_reach": F.greatest(reach, before), "_low": F.least(low, F.col(order_left))})
-    pairs = pairs.withColumn("_new", F.coalesce((F.col("_low") > F.col("_reach")).cast("int"), F.lit(0)))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("_burst", F.sum("_new").over(run))
-    item = F.struct(F.col(order_left).alias("a"), F.col(left).alias("l"), F.col(order_right).alias("b"), F.col(right).alias("r"))
-    lists = pairs.groupBy(key, "_burst").agg(F.sort_array(F.collect_list(item)).alias("ps"))
-    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    empty = F.array().cast(f"array<struct<l:{kinds[left]},r:{kinds[right]}>>")
-    fold = F.aggregate(
-        "ps",
-        empty,
-        lambda s, p: F.when(
-            F.exists(s, lambda x: (x["l"] == p["l"]) | (x["r"] == p["r"])), s
-        ).otherwise(F.concat(s, F.array(F.struct(p["l"].alias("l"), p["r"].alias("r"))))),
-    )
-    return lists.select(key, F.explode(fold).alias("m")).select(key, F.col("m.l").alias(left), F.col("m.r").alias(right))
+    w = Window.partitionBy(key).orderBy(order_left, left, order_right, right)
+    new = lambda c: (~F.col(c).eqNullSafe(F.lag(c).over(w))) | (F.row_number().over(w) == 1)
+    reach = F.max(F.col(order_left)).over(Window.partitionBy(key, right))
+    pairs = candidates.select(key, left, right, order_left, order_right).repartition(F.col(key))
+    pairs = pairs.withColumn("_reach", reach)
+    pairs = pairs.withColumns({"_opens": F.row_number().over(w) == 1, "_next": new(left)})
+    pairs = pairs.sortWithinPartitions(key, order_left, left, order_right, right)
+    kinds = candidates.select(key, left, right).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, matched, bound = {}, False, 1 << 16
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in (left, right, order_left, "_reach", "_opens", "_next")]
+            out = []
+            for i, (_, r, at, last, opens, following) in enumerate(zip(*columns, strict=True)):
+                if opens:
+                    taken, bound = {}, 1 << 16
+                if following:
+                    matched = False
+                if matched or r in taken:
+                    continue
+                matched, taken[r] = True, last
+                out.append(i)
+                if len(taken) > bound:
+                    taken = {k: v for k, v in taken.items() if v >= at}
+                    bound = max(1 << 16, 2 * len(taken))
+            yield b.select([key, left, right]).take(pa.array(out, pa.int64()))
+
+    return pairs.mapInArrow(run, kinds)
 
 
 def latest_per_type(df: DataFrame, key: str, kind: str, ts: str, value: str, required: list[str]) -> DataFrame:
@@ -79,28 +93,31 @@ def label_periods(samples: DataFrame, periods: DataFrame, ts: str, start: str, e
 def duplicates(df: DataFrame, key: str, ts: str, content: str, seconds: float = 1.0, row: str | None = None) -> DataFrame:
     """Marks repeats: same key and content less than so long after the last one kept (``is_duplicate``).
 
-    A message repeats the one kept before it, so chains are cut where a message follows its predecessor by that long: only the
-    messages of a chain are folded together. Null keys and contents equal each other; of messages at one time the first by
-    ``row`` (any column that orders them) is kept.
+    Messages stream through sorted by key, content and time, and only the time of the last one kept is held: one shuffle, and
+    a busy key costs time in proportion to its messages. Null keys and contents equal each other; of messages at one time the
+    first by ``row`` (any column that orders them) is kept.
     """
     from pyspark.sql import Window
 
     step, order = int(seconds * 1_000_000), ["_t", *([row] if row else [])]
     w = Window.partitionBy(key, content).orderBy(*order)
-    x = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_n", F.row_number().over(w))
-    opens = F.coalesce(F.col("_t") - F.lag("_t").over(w) >= step, F.lit(True)).cast("int")
-    x = x.withColumn("_open", opens)
-    x = x.withColumn("_chain", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = x.groupBy(key, content, "_chain").agg(F.sort_array(F.collect_list(F.struct("_t", "_n"))).alias("_ts"))
-    kept = F.aggregate(
-        "_ts",
-        F.array().cast("array<struct<_t:bigint,_n:int>>"),
-        lambda s, m: F.when((F.size(s) > 0) & (m["_t"] - F.element_at(s, -1)["_t"] < step), s).otherwise(F.concat(s, F.array(m))),
-    )
-    marks = lists.select(F.col(key).alias("_key"), F.col(content).alias("_content"), F.explode(F.transform(kept, lambda m: m["_n"])).alias("_kept"))
-    same = x[key].eqNullSafe(marks["_key"]) & x[content].eqNullSafe(marks["_content"]) & (x["_n"] == marks["_kept"])
-    out = x.join(marks, same, "left").withColumn("is_duplicate", F.col("_kept").isNull())
-    return out.drop("_t", "_n", "_open", "_chain", "_key", "_content", "_kept")
+    x = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    x = x.withColumn("_opens", F.row_number().over(w) == 1).sortWithinPartitions(key, content, *order)
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            marks = []
+            for t, opens in zip(b.column("_t").to_pylist(), b.column("_opens").to_pylist(), strict=True):
+                # a message without a time repeats none, and none repeats it
+                again = not opens and t is not None and last is not None and t - last < step
+                if not again:
+                    last = t
+                marks.append(again)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(marks, pa.bool_())], [*columns, "is_duplicate"])
+
+    return x.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("is_duplicate", T.BooleanType())]))
 
 
 def without_repeats(df: DataFrame, key: str, ts: str, content: str, seconds: float = 1.0, policy: str = "ignore", row: str | None = None) -> DataFrame:

@@ -192,9 +192,9 @@ def d18_change_types(spark, d):
     return x.select("hole_id", "step", F.round("last", 3).alias("last"), "stroke", kind.alias("change"))
 
 
-def _cell(n, win):
-    lo, hi = 15 - win / 2, 15 + win / 2
-    return f"""SELECT {n} AS n, {win}::DOUBLE AS win, hole_id, xa, arg_max(p, struct_pack(g := -g, p := -p)) FILTER (p >= xa + {lo} AND p <= xa + {hi}) AS xb FROM
+def _cell(n, win, expected=15):
+    lo, hi = expected - win / 2, expected + win / 2
+    return f"""SELECT {n} AS n, {win}::DOUBLE AS win, {expected}::DOUBLE AS expected, hole_id, xa, arg_max(p, struct_pack(g := -g, p := -p)) FILTER (p >= xa + {lo} AND p <= xa + {hi}) AS xb FROM
     (SELECT hole_id, p, round((s - lag(s, {n - 1}) OVER ({WH})) / {n - 1}, 9) AS g0, coalesce(round((s - lag(s, {n - 1}) OVER ({WH})) / {n - 1}, 9), 0) AS g FROM s) JOIN
     (SELECT hole_id, arg_max(p, struct_pack(g := g, p := -p)) AS xa FROM (SELECT hole_id, p, coalesce(round((s - lag(s, {n - 1}) OVER ({WH})) / {n - 1}, 9), 0) AS g FROM s) WHERE p <= 10 GROUP BY 1) USING (hole_id) GROUP BY hole_id, xa"""
 
@@ -206,14 +206,19 @@ GRID = [(n, win) for n in (10, 20) for win in (4.0, 8.0)]
 SELECT n, win, count(xb) AS holes, count(*) - count(xb) AS missing, round(avg(xb - xa), 6) AS mean, round(stddev_pop(xb - xa), 6) AS sd FROM c GROUP BY 1, 2""")
 def d19_parameter_sweep(spark, d):
     """Depth over a grid of window sizes, with mean and spread of each cell."""
-    out = None
-    for n, win in GRID:
-        x = _depth(spark, d, n=n, win=win, taper=False).agg(
-            F.count("xb").alias("holes"), (F.count("*") - F.count("xb")).alias("missing"),
-            F.round(F.avg("depth"), 6).alias("mean"), F.round(F.stddev_pop("depth"), 6).alias("sd"),
-        ).select(F.lit(n).alias("n"), F.lit(win).alias("win"), "*")
-        out = x if out is None else out.union(x)
-    return out
+    cells = dp.depth_sweep(trace(spark, d), "torque_a", [10, 20], [15.0], [4.0, 8.0])
+    return dp.sweep_summary(cells).select("n", "win", "holes", "missing", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+SWEPT = [(n, win, e) for n in (10, 20, 40) for e in (12.0, 15.0, 40.0) for win in (4.0, 8.0)]
+
+
+@query(T + ", " + SLOPE.split(",\ng0 AS")[0] + ", c AS (" + " UNION ALL ".join(_cell(*x) for x in SWEPT) + """)
+SELECT n, expected, win, count(xb) AS holes, count(*) - count(xb) AS missing, round(avg(xb - xa), 6) AS mean, round(stddev_pop(xb - xa), 6) AS sd FROM c GROUP BY 1, 2, 3""")
+def d19_depth_sweep(spark, d):
+    """Depth over a grid of slope lengths, expected depths and windows; holes without an exit peak are counted by cell."""
+    cells = dp.depth_sweep(trace(spark, d), "torque_a", [10, 20, 40], [12.0, 15.0, 40.0], [4.0, 8.0])
+    return dp.sweep_summary(cells).withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
 @query(T + """SELECT s_nationkey AS head, hole_id, max(torque_a) AS torque, max(thrust_a) AS thrust, max(torque_empty_a) AS empty, round(arg_max(abs(pos_mm), struct_pack(t := torque_a, i := -idx)), 3) AS at
@@ -265,8 +270,5 @@ b_{m} AS (SELECT hole_id, any_value(xa) AS xa, {f}(p) FILTER (p >= xa + 11 AND p
 FROM b JOIN b_first ON b_first.hole_id = b.hole_id JOIN b_last ON b_last.hole_id = b.hole_id""")
 def d25_depth_by_choice(spark, d):
     """Entry by the largest, the first and the last strong slope, side by side."""
-    out = None
-    for mode in ("max", "first", "last"):
-        x = _depth(spark, d, mode=mode).select("hole_id", F.round("xa", 3).alias(f"xa_{mode}"), F.round("depth", 3).alias(f"depth_{mode}"))
-        out = x if out is None else out.join(x, "hole_id")
-    return out
+    x = dp.depths_by_choice(trace(spark, d), "torque_a")
+    return x.select("hole_id", *(F.round(c, 3).alias(c) for c in x.columns if c != "hole_id"))

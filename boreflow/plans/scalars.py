@@ -185,11 +185,9 @@ def p10_message_validation(spark, d):
 FROM trace GROUP BY 1""")
 def p11_frame_validation(spark, d):
     """Frame flags, and lengths of the signals against each other (P12)."""
-    g = trace(spark, d).groupBy("hole_id").agg(
-        F.collect_list("torque_a").alias("a"), F.collect_list(F.when(F.col("thrust_a") > 0, F.col("thrust_a"))).alias("b"),
-        ((F.min("idx") == 0) & (F.count_distinct("step") > 3)).alias("valid"),
-    )
-    return g.select("hole_id", "valid", F.size("b").cast("bigint").alias("n_thrust"), (F.abs(F.size("a") - F.size("b")) > 60).alias("warn"))
+    full, part = F.count("torque_a"), F.count_if(F.col("thrust_a") > 0)
+    valid = (F.min("idx") == 0) & (F.count_distinct("step") > 3)
+    return trace(spark, d).groupBy("hole_id").agg(valid.alias("valid"), part.alias("n_thrust"), (F.abs(full - part) > 60).alias("warn"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 3 = 1 THEN NULL ELSE s_name END AS head_id FROM supplier")

@@ -25,10 +25,16 @@ HEADERLESS = {
 
 
 def log_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Rows (file, line, text) of all logs under a path, in file order."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    whole = raw.select(F.col("path").alias("file"), F.decode("content", encoding).alias("text"))
-    lines = whole.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
+    """Rows (file, line, text) of all logs under a path; lines count from 0, empty ones are left out.
+
+    A file is read in pieces like any text source, so a long one is not one row. Where a line stands follows from its piece's
+    offset and its order there; the windows over the file's lines that follow share this shuffle.
+    """
+    at = "_metadata.file_block_start", F.monotonically_increasing_id()
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col(at[0]).alias("_piece"), at[1].alias("_at"), F.col("value").cast("binary").alias("_raw"))
+    line = (F.row_number().over(Window.partitionBy("file").orderBy("_piece", "_at")) - 1).cast("int")
+    lines = raw.select("file", line.alias("line"), F.decode("_raw", encoding).alias("text"))
     return lines.where(F.length("text") > 0)
 
 
