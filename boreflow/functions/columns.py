@@ -11,8 +11,10 @@ GRIP_UNIT, GRIP_LOW, GRIP_HIGH = 1.5875, 0.396875, 1.42875
 
 def decimal_comma(c: Column, dots: str = "") -> Column:
     """The last comma is the decimal mark; earlier ones go, or become ``dots``. Null where it is no number."""
-    head = F.regexp_replace(F.regexp_replace(c, r",(?=[^,]*$)", "\u0001"), ",", dots)
-    return F.regexp_replace(head, "\u0001", ".").try_cast("double")
+    tail = F.substring_index(c, ",", -1)
+    head = F.substring(c, F.lit(1), F.length(c) - F.length(tail) - 1)
+    joined = F.concat(F.replace(head, F.lit(","), F.lit(dots)), F.lit("."), tail)
+    return F.when(F.contains(c, F.lit(",")), joined).otherwise(c).try_cast("double")
 
 
 def filename_parts(name: Column) -> dict[str, Column]:

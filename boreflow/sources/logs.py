@@ -70,19 +70,21 @@ def headerless_names(cells: Column, fifth_is_whole: Column) -> Column:
 def samples(lines: DataFrame, columns: dict[str, str] = SAMPLE_COLUMNS, separator: str = r"[\t;]") -> DataFrame:
     """The sample block of each log as numbers: (file, idx, ...). Without a header line the column count decides.
 
-    Header, column kinds and sample numbers come from windows over the file's lines, which share one shuffle.
+    Header, column kinds and sample numbers come from windows over the file's lines, which share one shuffle. Where a column
+    stands is found once in the header line, so that lines carry a few numbers and not the header.
     """
     whole, order = Window.partitionBy("file"), Window.partitionBy("file").orderBy("line")
-    head = F.when(F.startswith("text", F.lit("Position (mm)")), F.struct("line", "text"))
+    places_in = lambda names: F.array(*(F.array_position(names, n) for n in columns))
+    head = F.when(F.startswith("text", F.lit("Position (mm)")), F.struct("line", places_in(F.split("text", separator)).alias("at")))
     x = lines.withColumn("h", F.min(head).over(whole))
     x = x.where(F.col("h").isNull() | (F.col("line") > F.col("h.line"))).where(~F.startswith("text", F.lit("***")))
     x = x.withColumn("cells", F.split("text", separator))
     fifth = decimal_comma(F.get("cells", F.lit(4)))
     x = x.withColumn("w", F.min(F.coalesce(fifth == F.floor(fifth), F.lit(False))).over(whole))
-    names = F.coalesce(F.split("h.text", separator), headerless_names(F.col("cells"), F.col("w")))
-    x = x.withColumns({"names": names, "idx": (F.row_number().over(order) - 1).cast("bigint")})
-    value = lambda n: decimal_comma(F.get("cells", (F.array_position("names", n) - 1).cast("int")))
-    return x.select("file", "idx", *(value(n).alias(s) for n, s in columns.items()))
+    at = F.coalesce(F.col("h.at"), places_in(headerless_names(F.col("cells"), F.col("w"))))
+    x = x.select("file", "cells", at.alias("at"), (F.row_number().over(order) - 1).cast("bigint").alias("idx"))
+    value = lambda i: decimal_comma(F.get("cells", (F.col("at")[i] - 1).cast("int")))
+    return x.select("file", "idx", *(value(i).alias(s) for i, s in enumerate(columns.values())))
 
 
 def combine(lines: DataFrame, path: str) -> DataFrame:
