@@ -13,12 +13,14 @@ A document is read by finding the frame whose doc_id range holds it (Parquet sta
 decompressing its slice alone.
 
 Null texts count as empty; every document ends with the end id. Rows with equal doc_id follow each other by text; null
-doc_ids come first. Further columns of the input are not stored. An empty table gives an empty store.
+doc_ids come first. Further columns of the input are not stored. An empty table gives an empty store. Texts of any length
+are encoded whole. Any file of the tokenizers library will do; one with dropout is refused, as its ids are not fixed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -42,19 +44,64 @@ FRAMES = (
 )
 
 
+#: How a tokenizer file cuts text into words where words may be encoded alone (fixed value of such files): white space is left out.
+WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters of whole texts that are encoded at once with other tokenizers.
+WHOLE_CHARS = 256 << 10
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and never looks across it, so that its words may be encoded alone."""
+    normal, cut = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps, cuts = normal.get("normalizers", [normal]), cut.get("pretokenizers", [cut])
+    kinds = {x.get("type") for x in steps}
+    spaces = [x for x in steps if x.get("type") == "Replace"]
+    plain = all(x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in spaces)
+    split = {"type": "Split", "pattern": {"Regex": WORDS_ONLY}, "behavior": "Removed", "invert": True}
+    inside = [x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in cuts[1:]]
+    names = [t["content"] for t in spec.get("added_tokens") or []]
+    strict = not any(t.get(k) for t in spec.get("added_tokens") or [] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    tokens = strict and all("<|" in n and not any(map(str.isspace, n)) for n in names)
+    return kinds <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in kinds and plain and cuts[0] == split and all(inside) and tokens
+
+
 class WordEncoder:
-    """Whole texts to ids with a tokenizer that drops white space: what stands between spaces is encoded once."""
+    """Whole texts to ids. With a tokenizer that drops white space, what stands between spaces is encoded once and remembered;
+    with any other, texts are encoded whole by the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec.get("model", {}).get("dropout"):
+            raise ValueError("a tokenizer with dropout gives other ids each time")
+        self.words = by_words(spec)
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        most = max(self.tokenizer.get_vocab().values(), default=0)
+        self.dtype, self.code = ("<u2", "H") if most < 1 << 16 else ("<u4", "I")
         self.memo: dict[bytes, bytes] = {b"": b""}
         self.held = 0
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return self._by_words(texts) if self.words else self._whole(texts)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            end, n = at, 0
+            while end < len(texts) and n < WHOLE_CHARS:
+                n += len(texts[end])
+                end += 1
+            found = self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)
+            out += [array(self.code, e.ids).tobytes() for e in found]
+            at = end
+        return out
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if self.held > MEMO_BYTES:
             memo.clear()

@@ -1,6 +1,7 @@
 """Token store and byte BPE against the tokenizer libraries themselves."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -50,6 +51,49 @@ def test_store_round_trip(spark, docs):
     assert {r.doc_id for r in token_store.lookup(spark, path, [9, 1]).collect()} == {1, 9}
 
 
+def store_ids(spark, docs, tokenizer):
+    path = Scratch(spark, "t").path("store")
+    token_store.write(docs, path, tokenizer, 2)
+    return [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in token_store.read(spark, path).orderBy("start").collect()]
+
+
+def test_store_with_other_tokenizers(spark, docs, tmp_path):
+    """A file that keeps white space, one that keeps capitals, one whose special token takes the space before it, and one that cuts."""
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = spec["normalizer"]["normalizers"]
+    assert token_store.by_words(spec)
+    changed = {
+        "capitals": spec | {"normalizer": spec["normalizer"] | {"normalizers": [x for x in steps if x["type"] != "Lowercase"]}},
+        "strips": spec | {"added_tokens": [t | {"lstrip": True} for t in spec["added_tokens"]]},
+        "cuts": spec | {"truncation": {"max_length": 3, "strategy": "LongestFirst", "stride": 0, "direction": "Right"}},
+    }
+    files = {"bytes": P.path("byte_bpe_50k.json")}
+    for name, x in changed.items():
+        files[name] = str(tmp_path / f"{name}.json")
+        (tmp_path / f"{name}.json").write_text(json.dumps(x), encoding="utf-8")
+    for name, file in files.items():
+        tok = Tokenizer.from_file(file)
+        tok.no_truncation()
+        want = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in sorted(TEXTS, key=lambda r: (r[0], r[1] or ""))]
+        assert token_store.encoder_of(file).words == (name == "cuts"), name
+        assert store_ids(spark, docs, file) == want, name
+    dropped = tmp_path / "dropout.json"
+    dropped.write_text(json.dumps(spec | {"model": spec["model"] | {"dropout": 0.5}}), encoding="utf-8")
+    with pytest.raises(ValueError, match="dropout"):
+        token_store.encoder_of(str(dropped))
+
+
+def test_store_of_long_and_equal_rows(spark):
+    rng = np.random.default_rng(4)
+    long = " ".join(rng.choice(["Alpha", "beta", "gam-ma", "d'Or", "42"], 300_000).tolist())
+    rows = [(None, "a b")] * 3 + [(5, long)] + [(5, "same")] * 4
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = [(i, [*tok.encode(t, add_special_tokens=False).ids, 2]) for i, t in sorted(rows, key=lambda r: (r[0] or 0, r[1]))]
+    assert store_ids(spark, df, P.path("word_bpe_49k.json")) == want
+
+
 def test_store_of_nothing(spark, docs):
     path = Scratch(spark, "t").path("store")
     token_store.write(docs.where("false"), path, P.path("word_bpe_49k.json"), 2)
