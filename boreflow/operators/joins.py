@@ -79,11 +79,15 @@ def grip_code(depth: Column, unit: float = 1.5875, allowance: float = 0.127, cod
 
 
 def label_periods(samples: DataFrame, periods: DataFrame, ts: str, start: str, end: str, label: str, most: int = 10_000) -> DataFrame:
-    """Labels samples inside closed periods; a short list of periods is broadcast, a longer one is joined by buckets."""
+    """Labels samples inside closed periods; a short list of periods is broadcast, a longer one is joined by buckets.
+
+    Periods without a start or an end hold no sample; samples outside all periods have a null label.
+    """
     p = periods.select(F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(label).alias(label))
     if p.limit(most + 1).count() <= most:
         return samples.join(F.broadcast(p), (F.col(ts) >= F.col("_s")) & (F.col(ts) <= F.col("_e")), "left").drop("_s", "_e")
-    width = max(1, int(p.agg(F.avg(F.col("_e") - F.col("_s")).alias("w")).first().w))
+    width = max(1, int(p.agg(F.avg(F.col("_e") - F.col("_s")).alias("w")).first().w or 0))
+    p = p.where("_s <= _e")  # a period without a start or an end, or that ends before it starts, holds nothing
     p = p.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
     x = samples.withColumn("_c", F.floor(F.col(ts) / width))
     inside = (F.col("_c") == F.col("_b")) & (F.col(ts) >= F.col("_s")) & (F.col(ts) <= F.col("_e"))

@@ -119,3 +119,15 @@ def test_lines_of_files_in_pieces(spark, tmp_path):
     got = sorted((r.f, r.line, r.text) for r in rows)
     want = [(f, i, x) for f, text in texts.items() for i, x in enumerate(text.replace("\r\n", "\n").split("\n")) if x]
     assert got == sorted(want)
+
+
+def test_labels_of_periods_by_buckets(spark):
+    samples = spark.createDataFrame([(i, i) for i in range(0, 100, 5)] + [(999, None)], "i bigint, t bigint")
+    periods = [(0, 12, "a"), (10, 40, "b"), (50, None, "c"), (None, 60, "d"), (90, 80, "e"), (95, 95, "f")]
+    p = spark.createDataFrame(periods, "s bigint, e bigint, label string")
+    want = sorted(((i, x) for i in range(0, 100, 5) for x in [n for s, e, n in periods if s is not None and e is not None and s <= i <= e] or [None]), key=str)
+    for most in (0, 100):
+        got = joins.label_periods(samples, p, "t", "s", "e", "label", most).select("i", "label").collect()
+        assert sorted(map(tuple, got), key=str) == sorted([*want, (999, None)], key=str)
+    none = joins.label_periods(samples, p.where("s is null"), "t", "s", "e", "label", 0).collect()
+    assert len(none) == 21 and all(r.label is None for r in none)
