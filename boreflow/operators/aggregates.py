@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boreflow.operators.places import places
 from boreflow.operators.windows import HOLE, IDX, by_hole
 
 
@@ -49,6 +50,17 @@ def hole_features(df: DataFrame, c: str, pos: str) -> DataFrame:
     )
 
 
+def batch_steps(df: DataFrame, pos: str, path: str, step: str = "step") -> DataFrame:
+    """A row for each step of each hole: the hole's place in the batch, how many samples, where it starts.
+
+    Places count from 1 by hole; ``path`` is a new scratch folder. Steps that a hole lacks have no row.
+    """
+    found = df.groupBy(HOLE, step).agg(F.count("*").alias("n"), first_by(pos).alias("start"))
+    holes = places(df.select(HOLE).distinct(), [HOLE], path).withColumnRenamed(HOLE, "_hole")
+    x = found.join(holes, F.col(HOLE).eqNullSafe(F.col("_hole")))
+    return x.select(step, "place", HOLE, "n", "start")
+
+
 def step_distance(a: DataFrame, b: DataFrame, step: str, values: list[str], keys: list[str]) -> DataFrame:
     """Sum over steps of the Euclidean distance of two programs, missing steps as zeros."""
     x = a.select(*keys, step, *(F.col(v).alias(f"{v}_a") for v in values))

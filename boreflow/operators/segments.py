@@ -81,3 +81,19 @@ def layer_depths(statistics: DataFrame, stat: str = "median", first: int = 1, se
     return g.withColumns(
         {"total": depth("entry", "exit"), "upper": depth("entry", "transition"), "lower": depth("transition", "exit")}
     )
+
+
+def combined_depths(layers: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows (hole_id, entry, transition, exit) from the places of segments and the ends (``first``, ``last``) of a model.
+
+    The model's ends stand, and the transition moves by the mean of both ends' delays. Without a transition the segments' own ends
+    stand, with a transition of 0; all are null where an end is missing.
+    """
+    x = layers.select(HOLE, "entry", "transition", "exit").join(ends.select(HOLE, "first", "last"), HOLE, "left")
+    entry, middle, exit_, first, last = (F.col(n) for n in ("entry", "transition", "exit", "first", "last"))
+    moved = middle - (entry - first + exit_ - last) / 2
+    two, three = middle.isNull() & (exit_ - entry).isNotNull(), moved.isNotNull()
+    return x.select(
+        HOLE, F.when(three, first).when(two, entry).alias("entry"), F.when(three, moved).when(two, 0.0).alias("transition"),
+        F.when(three, last).when(two, exit_).alias("exit"),
+    )

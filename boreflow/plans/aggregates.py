@@ -58,6 +58,14 @@ def a05_batch_step_table(spark, d):
     return c.select("step", F.array_join(text, ",").alias("counts"))
 
 
+@query(T + """SELECT step, dense_rank() OVER (ORDER BY hole_id) AS place, hole_id, n, round(start, 4) AS start
+FROM (SELECT hole_id, step, count(*) AS n, arg_min(pos_mm, idx) AS start FROM trace GROUP BY 1, 2)""")
+def a05_step_rows(spark, d):
+    """The flattened step table as rows, so that no step is one row of all holes."""
+    x = a.batch_steps(trace(spark, d), "pos_mm", scratch_path(spark, "a05"))
+    return x.select("step", "place", "hole_id", "n", r("start").alias("start"))
+
+
 @query(T + f""", x AS (SELECT *, (pos_mm - lag(pos_mm) OVER ({WH})) * (torque_a + lag(torque_a) OVER ({WH})) / 2 AS t FROM trace)
 SELECT hole_id, min(torque_a) AS low, max(torque_a) AS high, round(avg(torque_a), 4) AS mean, round(sum(torque_a * torque_a), 3) AS energy,
     round(sum(t), 6) AS area, count(*) AS n FROM x GROUP BY 1""")

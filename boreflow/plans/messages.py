@@ -1,6 +1,5 @@
 """Message, alert and streaming queries; streams run over the events table to its end."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boreflow.functions import columns as c
@@ -132,8 +131,7 @@ def r06_complete_sets(spark, d):
 def r07_negative_alert(spark, d):
     """Low values of a tool within the day before each; alerts are those of five and more."""
     e = table(spark, d, "events").where("value < 10").select("event_id", (F.col("user_id") % 20).alias("tool"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    o = Window.partitionBy("tool").orderBy("us").rangeBetween(-86_400_000_000, 0)
-    return e.select("event_id", F.count("*").over(o).alias("n"))
+    return live.counts_within(e, "tool", "us", 86_400_000_000).select("event_id", "n")
 
 
 @query("""WITH x AS (SELECT event_id, user_id % 20 AS tool, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER

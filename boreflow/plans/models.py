@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from boreflow.functions import columns as c
 from boreflow.operators import joins as j
 from boreflow.operators import model_windows as mw
+from boreflow.operators import segments as sg
 from boreflow.operators import windows as w
 from boreflow.plans.bindings import MSG, TRACE, messages, table, trace
+from boreflow.plans.templates import PECKED, pecked
 from boreflow.plans.windows import _LAGS, WH
 from boreflow.queries import query
 
@@ -29,9 +31,9 @@ be AS (SELECT wn.hole_id, window_nr, b AS "begin", arg_max(at_, struct_pack(h :=
 sc AS (SELECT be.hole_id, window_nr, "begin", be.at_ AS "at", xpos FROM be JOIN hr ON hr.hole_id = be.hole_id AND hr.at_ = be.at_)"""
 
 
-def _scored(spark, d):
+def _scored(spark, d, step=2):
     t = trace(spark, d).withColumn("pos_mm", F.abs("pos_mm"))
-    frame = mw.model_frame(t.withColumns({"local": F.col("hole_id") * 0.034 - 1.7, "predrilled": F.lit(0.69)}), "torque_a", "pos_mm", "local", "predrilled")
+    frame = mw.model_frame(t.withColumns({"local": F.col("hole_id") * 0.034 - 1.7, "predrilled": F.lit(0.69)}), "torque_a", "pos_mm", "local", "predrilled", step)
     return mw.score_windows(frame, mw.torque_gradient, LEVEL)
 
 
@@ -47,6 +49,25 @@ def d09_model_exits(spark, d):
     return mw.exits(_scored(spark, d)).select("hole_id", F.round("exit", 4).alias("exit"), "windows")
 
 
+def _exit_sql(step):
+    return f"(WITH {WINDOWS.replace('step = 2', f'step = {step}')} SELECT hole_id, avg(xpos) AS v FROM sc GROUP BY 1)"
+
+
+@query(T + f""", {PECKED}, f AS {_exit_sql(1)}, l AS {_exit_sql(2)},
+y AS (SELECT hole_id, max(mean_max) FILTER (segment = 1) AS a, max(mean_max) FILTER (segment = 2) AS b, max(mean_min) FILTER (segment = 2) AS c FROM z GROUP BY 1),
+m AS (SELECT y.hole_id, a, c, CASE WHEN a < b AND b < c THEN b END AS b, f.v AS f, l.v AS l FROM y LEFT JOIN f USING (hole_id) LEFT JOIN l USING (hole_id))
+SELECT hole_id, round(CASE WHEN b - f - l IS NOT NULL THEN f WHEN b IS NULL AND c - a IS NOT NULL THEN a END, 3) AS entry,
+    round(CASE WHEN b - f - l IS NOT NULL THEN b - (a - f + c - l) / 2 WHEN b IS NULL AND c - a IS NOT NULL THEN 0 END, 3) AS transition,
+    round(CASE WHEN b - f - l IS NOT NULL THEN l WHEN b IS NULL AND c - a IS NOT NULL THEN c END, 3) AS exit FROM m""")
+def d10_model_and_segments(spark, d):
+    """Ends by the model, and the transition of the segments moved by the mean delay; one out of order does not count."""
+    ends = [mw.exits(_scored(spark, d, step)).select("hole_id", F.col("exit").alias(n)) for step, n in ((1, "first"), (2, "last"))]
+    layers = sg.layer_depths(sg.segment_statistics(pecked(spark, d), "torque_a", 0.72), "mean")
+    layers = layers.withColumn("transition", F.when(F.col("total").isNotNull(), F.col("transition")))
+    x = sg.combined_depths(layers, ends[0].join(ends[1], "hole_id", "full_outer"))
+    return x.select("hole_id", *(F.round(n, 3).alias(n) for n in ("entry", "transition", "exit")))
+
+
 def _ends(n, sign):
     of = lambda k: w.line_coefficients(n, k if sign > 0 else n - 1 - k, w.hann(n))
     at = lambda k, i: i - k if sign > 0 else k - (n - 1) + i

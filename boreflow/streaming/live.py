@@ -6,7 +6,7 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -154,15 +154,37 @@ def sessions(messages: DataFrame, ts: str, gap: str, keys: list[str]) -> DataFra
     return messages.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
 
 
-def failure_runs(df: DataFrame, key: str, order: str, failed: str) -> DataFrame:
-    """Batch form of the consecutive-failure count: failures since the last success (``streak``)."""
-    from pyspark.sql import Window
+def failure_runs(df: DataFrame, key: str, order: str, failed: str, stretch: int = 1 << 16) -> DataFrame:
+    """Batch form of the consecutive-failure count: failures since the last success (``streak``), in the order of a whole number.
 
-    o = Window.partitionBy(key).orderBy(order)
-    island = F.sum((~F.col(failed)).cast("int")).over(o.rowsBetween(Window.unboundedPreceding, 0))
-    x = df.withColumn("_i", island)
-    run = Window.partitionBy(key, "_i").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("streak", F.sum(F.col(failed).cast("int")).over(run)).drop("_i")
+    A key's rows are counted in stretches of the order, each apart; a row for each stretch tells what runs on into the next one,
+    so a busy key is many tasks. What is null in ``failed`` is neither failure nor success.
+    """
+    yes, no = F.coalesce(F.col(failed), F.lit(False)).cast("int"), F.coalesce(~F.col(failed), F.lit(False)).cast("int")
+    so_far = lambda *by, o=order: Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("_b", F.col(order) - F.pmod(order, F.lit(stretch)))
+    x = x.withColumn("_i", F.sum(no).over(so_far(key, "_b")))
+    x = x.withColumn("streak", F.sum(yes).over(so_far(key, "_b", "_i")))
+    ends = x.groupBy(F.col(key).alias("_key"), F.col("_b").alias("_at")).agg(F.max(F.struct("_i", "streak")).alias("_last"))
+    ends = ends.withColumn("_s", F.sum((F.col("_last._i") > 0).cast("int")).over(so_far("_key", o="_at")))
+    ends = ends.withColumn("_on", F.sum("_last.streak").over(so_far("_key", "_s", o="_at")))
+    ends = ends.select("_key", "_at", F.lag("_on").over(Window.partitionBy("_key").orderBy("_at")).alias("_carried")).where("_carried > 0")
+    x = x.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("_b").eqNullSafe(F.col("_at")), "left")
+    streak = F.col("streak") + F.when(F.col("_i") == 0, F.coalesce("_carried", F.lit(0))).otherwise(0)
+    return x.select(*df.columns, streak.alias("streak"))
+
+
+def counts_within(df: DataFrame, key: str, us: str, width: int) -> DataFrame:
+    """Adds ``n``, how many rows of the key lie in the ``width`` before a row, both ends, the row and its equals included.
+
+    A row also goes to the next stretch of that width, where it counts for others only, so stretches of a busy key are tasks of
+    their own. Rows without a time count each other.
+    """
+    own = F.col(us) - F.pmod(us, F.lit(width))
+    spots = F.when(F.col(us).isNull(), F.array(own)).otherwise(F.array(own, own + width))
+    near = Window.partitionBy(key, "_b").orderBy(us).rangeBetween(-width, 0)
+    x = df.select("*", F.explode(spots).alias("_b")).withColumn("n", F.count("*").over(near))
+    return x.where(F.col("_b").eqNullSafe(own)).drop("_b")
 
 
 def rate_limited(df: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
