@@ -158,7 +158,37 @@ QUERIES = {
     )
 }
 
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form of a licence text in SQL; a regex engine without lookaround drops hyphens in two passes."""
+    t = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{licenses._HEADER}', ''), '{licenses._COPYRIGHT}', '', 'g')"
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '(\p{{L}})-(\p{{L}})', '\1\2', 'g')"
+    same = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licenses.EQUIVALENT.items())
+    words = rf"list_filter(regexp_split_to_array({t}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    return f"array_to_string(list_transform({words}, lambda w: CASE w {same} ELSE w END), ' ')"
+
+
+def _licenses_sql() -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = [(n, t, None) for n, ts in licenses.KNOWN.items() for t in ts] + [(n, None, d) for n, ds in licenses.KNOWN_DIGESTS.items() for d in ds]
+    known = ",\n    ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+    return rf"""
+WITH k(license, text, given) AS (VALUES {known}),
+f AS (SELECT license, given, {_canonical_sql("text")} AS form FROM k),
+g AS (SELECT coalesce(given, sha256(form)) AS digest, string_agg(DISTINCT license, ',' ORDER BY license) AS license FROM f WHERE given IS NOT NULL OR form <> '' GROUP BY 1),
+d AS (SELECT doc_id, text, sha256({_canonical_sql("text")}) AS digest FROM documents),
+l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+    FROM (SELECT DISTINCT doc_id, text FROM documents)),
+n AS (SELECT doc_id, text, i, sha256({_canonical_sql("line")}) AS digest FROM l WHERE regexp_matches(line, '[\p{{L}}\p{{N}}]')),
+m AS (SELECT doc_id, text, count(DISTINCT i) AS n_lines, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM n JOIN g USING (digest) GROUP BY 1, 2)
+SELECT d.doc_id, d.digest, g.license, coalesce(n_lines, 0) AS n_lines, line_licenses FROM d LEFT JOIN g ON g.digest = d.digest
+    LEFT JOIN m ON m.doc_id IS NOT DISTINCT FROM d.doc_id AND m.text = d.text"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_licenses": _licenses_sql(),
     "op5_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
