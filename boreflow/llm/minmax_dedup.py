@@ -23,11 +23,12 @@ the tests measure recall at the threshold.  Shingles are compared by 64-bit hash
 Null and empty texts have no shingles and are linked with nothing. A text of fewer than 5 words has one shingle, all its
 words. Rows that share an id but not a text are separate members. Repeated rows are one class. Rows with a null id are linked
 like others; ``component_id`` is null only where no row of the group has an id, and such rows count as kept. Texts of any
-length are read whole. An empty table gives an empty result. Further columns are ignored, whatever their names.
+length are read whole, long ones in portions, so that beyond a word's 8 bytes only a portion (or a longer word) is in memory. An empty table gives an empty result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ PERMUTATIONS, ROWS = 64, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Classes of a bucket that are compared at once, and those that one task of a join takes of it.
 BLOCK = 512
+#: Bytes of text whose words are hashed at once; a longer text is cut between words.
+PORTION = 2 << 20
 DEAL = 256
 #: How far below the threshold an estimate of the similarity may lie: five standard deviations.
 SLACK = 5.0
@@ -58,6 +61,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[32, *range(9, 14)]] = 0
 _FOLD[0] = 1  # NUL belongs to words; its value is raised below, which tells it from the real 1
+#: The same white space as bytes.
+_SPACES, _SPACE = [bytes([x]) for x in (32, *range(9, 14))], re.compile(rb"[ \t-\r]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,9 +105,32 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], bounds])))
 
 
+def portions(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes that end between words; a longer word is a piece with what precedes it."""
+    at = 0
+    while len(text) - at > size:
+        space = max(text.rfind(c, at, at + size) for c in _SPACES)
+        if space < at:
+            found = _SPACE.search(text, at + size)
+            if found is None:
+                break
+            space = found.start()
+        yield text[at:space]
+        at = space + 1
+    yield text[at:]
+
+
+def all_word_hashes(texts: list[bytes], size: int = PORTION) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes``, with long texts in portions; a word's hash does not depend on where it stands."""
+    if sum(map(len, texts)) <= 2 * size:
+        return word_hashes(texts)
+    parts = [[word_hashes([p])[0] for p in portions(t, size)] for t in texts]
+    return np.concatenate([h for hs in parts for h in hs]), np.array([sum(map(len, hs)) for hs in parts])
+
+
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    hashes, counts = word_hashes(texts)
+    hashes, counts = all_word_hashes(texts)
     out, at = [], 0
     for n in counts.tolist():
         w = hashes[at : at + n]
