@@ -51,8 +51,7 @@ def j04_interval_join(spark, d):
 
 
 def _greedy(spark, d):
-    pairs = j.interval_join(side(spark, d, "result", "result"), side(spark, d, "trace", "trace"), "tool", "ts_result", "ts_trace", WINDOW_S)
-    return j.greedy_match(pairs, "tool", "result", "trace", "ts_result", "ts_trace")
+    return j.greedy_sweep(side(spark, d, "result", "result"), side(spark, d, "trace", "trace"), "tool", "result", "trace", "ts_result", "ts_trace", WINDOW_S)
 
 
 GREEDY = """RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY ts_r, result, ts_t, trace) AS n FROM p),

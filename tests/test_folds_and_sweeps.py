@@ -131,3 +131,25 @@ def test_labels_of_periods_by_buckets(spark):
         assert sorted(map(tuple, got), key=str) == sorted([*want, (999, None)], key=str)
     none = joins.label_periods(samples, p.where("s is null"), "t", "s", "e", "label", 0).collect()
     assert len(none) == 21 and all(r.label is None for r in none)
+
+
+def test_sweep_of_a_busy_key_equals_all_pairs(spark, small_batches):
+    rng = random.Random(8)
+    times = lambda first, n: [(rng.choice(["a", "a", "a", "b", None]), first + i, rng.choice([None, *range(300)] if i % 9 == 0 else range(300))) for i in range(n)]
+    lefts, rights = times(0, 400), times(1000, 380)
+    pairs = [(k, i, s, j, t) for k, i, s in lefts for m, j, t in rights if k and k == m and None not in (s, t) and abs(s - t) <= 6]
+    frame = lambda rows, name: spark.createDataFrame([(k, i, None if s is None else T0 + timedelta(seconds=s)) for k, i, s in rows], f"tool string, {name} bigint, ts_{name} timestamp")
+    a, b = frame(lefts, "result"), frame(rights, "trace")
+    got = joins.greedy_sweep(a, b, "tool", "result", "trace", "ts_result", "ts_trace", 6)
+    assert got.columns == ["tool", "result", "trace"]
+    assert sorted(map(tuple, got.collect())) == sorted(greedy(pairs))
+    assert joins.greedy_sweep(a.where("false"), b, "tool", "result", "trace", "ts_result", "ts_trace", 6).count() == 0
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_greedy_queries_make_no_pairs(spark):
+    """Messages of a tool at one time would be as many pairs as their square."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["j05_greedy_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
