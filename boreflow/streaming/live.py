@@ -20,10 +20,15 @@ def with_late_limit(messages: DataFrame, ts: str = "ts", late: str = LATE) -> Da
 
 
 def drop_repeats(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """First of equal messages within the watermark."""
+    """One of equal messages within the watermark: that which comes first. Which that is in a micro-batch is open."""
     return messages.dropDuplicatesWithinWatermark(keys)
 
 
+def first_messages(messages: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of equal messages the first by a column, however they come; for complete mode, with a state row for each content."""
+    return messages.groupBy(*keys).agg(F.min(order).alias(order))
+
+
 def match_streams(results: DataFrame, traces: DataFrame, key: str, ts_a: str, ts_b: str, seconds: int, how: str = "inner") -> DataFrame:
     """Stream-stream interval join of one key; both sides carry watermarks and differ in their other names."""
     b = traces.withColumnRenamed(key, "_key")

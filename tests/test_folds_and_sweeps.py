@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from boreflow.operators import depth, joins
 from boreflow.sources import logs
+from boreflow.streaming import live
 
 T0 = datetime(2024, 1, 1)
 
@@ -153,3 +154,11 @@ def test_greedy_queries_make_no_pairs(spark):
 
     plan = __spark_entry__.queries()["j05_greedy_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_firsts_of_equal_messages_whatever_their_order(spark, tmp_path):
+    rows = [(i % 4, 5000 - i) for i in range(3000)]
+    spark.createDataFrame(rows, "tool int, event_id bigint").repartition(7).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("tool int, event_id bigint").option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+    got = live.run_once(live.first_messages(stream, ["tool"], "event_id"), str(tmp_path / "out"), "complete").collect()
+    assert sorted((r.tool, r.event_id) for r in got) == [(k, min(i for t, i in rows if t == k)) for k in range(4)]
