@@ -30,12 +30,17 @@ def first_messages(messages: DataFrame, keys: list[str], order: str) -> DataFram
 
 
 def match_streams(results: DataFrame, traces: DataFrame, key: str, ts_a: str, ts_b: str, seconds: int, how: str = "inner") -> DataFrame:
-    """Stream-stream interval join of one key; both sides carry watermarks and differ in their other names."""
-    b = traces.withColumnRenamed(key, "_key")
+    """Stream-stream interval join of one key; both sides carry watermarks and differ in their other names.
+
+    A busy key is joined by buckets of time too, so that a row meets what lies near it and not all that its key holds: traces are
+    dealt to the bucket before, their own and the one after.
+    """
+    bucket = lambda ts: F.floor(F.unix_micros(ts) / (seconds * 1_000_000))
+    b = traces.withColumnRenamed(key, "_key").withColumn("_b", F.explode(F.array(*(bucket(ts_b) + i for i in (-1, 0, 1)))))
     near = F.expr(
-        f"{key} = _key AND {ts_b} >= {ts_a} - INTERVAL {seconds} SECONDS AND {ts_b} <= {ts_a} + INTERVAL {seconds} SECONDS"
+        f"{key} = _key AND _a = _b AND {ts_b} >= {ts_a} - INTERVAL {seconds} SECONDS AND {ts_b} <= {ts_a} + INTERVAL {seconds} SECONDS"
     )
-    return results.join(b, near, "left_outer" if how == "left" else how).drop("_key")
+    return results.withColumn("_a", bucket(ts_a)).join(b, near, "left_outer" if how == "left" else how).drop("_key", "_a", "_b")
 
 
 PENDING = ", ".join(f"{side} array<struct<id:bigint,ts:bigint,value:double>>" for side in ("results", "traces"))

@@ -162,3 +162,23 @@ def test_firsts_of_equal_messages_whatever_their_order(spark, tmp_path):
     stream = spark.readStream.schema("tool int, event_id bigint").option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
     got = live.run_once(live.first_messages(stream, ["tool"], "event_id"), str(tmp_path / "out"), "complete").collect()
     assert sorted((r.tool, r.event_id) for r in got) == [(k, min(i for t, i in rows if t == k)) for k in range(4)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_stream_join_meets_by_key_and_time(spark, tmp_path, how):
+    rng = random.Random(2)
+    sides = {}
+    for n, first in (("result", 0), ("trace", 1000)):
+        rows = [(i % 2, first + i, T0 + timedelta(seconds=rng.randrange(600))) for i in range(200)] + [(9, first + 999, T0 + timedelta(days=9))]
+        spark.createDataFrame(rows, f"tool int, {n} bigint, ts_{n} timestamp").write.parquet(str(tmp_path / n))
+        form = spark.read.parquet(str(tmp_path / n)).schema
+        sides[n] = rows, spark.readStream.schema(form).parquet(str(tmp_path / n)).withWatermark(f"ts_{n}", "10 minutes")
+    x = live.match_streams(sides["result"][1], sides["trace"][1], "tool", "ts_result", "ts_trace", 20, how)
+    assert x.columns == ["tool", "result", "ts_result", "trace", "ts_trace"]
+    assert "_a" in x._jdf.queryExecution().analyzed().toString()  # the time is part of what rows meet by
+    got = live.run_once(x, str(tmp_path / "out")).where("tool < 9").select("tool", "result", "trace").collect()
+    want = []
+    for k, i, s in sides["result"][0][:-1]:
+        near = [j for m, j, t in sides["trace"][0] if m == k and abs((s - t).total_seconds()) <= 20]
+        want += [(k, i, j) for j in near or ([None] if how == "left" else [])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
