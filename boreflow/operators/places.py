@@ -1,4 +1,4 @@
-"""Positions in a global order without one task that holds all rows."""
+"""Positions in a global order without one task that holds all rows, and rows dealt to as many tasks as they need."""
 
 from __future__ import annotations
 
@@ -6,6 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a task at most, in the mean, where rows are dealt by their count.
+ROWS = 500_000
+
+
+def spread(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
+    """Rows dealt by keys to as many tasks as the session's shuffles have (two for each core, and ``least``, at least).
+
+    Unlike those of other shuffles these tasks are not merged because they are few bytes.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, least)
+    return df.repartition(n, *keys)
+
+
+def bounded(df: DataFrame, *keys: str, rows: int = ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """Rows dealt by keys to more tasks than the session's shuffles have if those would hold too many, else left as they are.
+
+    ``counted`` is a table of as many rows, if one is at hand that is counted with less work.
+    """
+    n = -(-(df if counted is None else counted).count() // rows)
+    return spread(df, *keys, least=n) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def places(df: DataFrame, order: list[str], path: str, out: str = "place") -> DataFrame:
     """Adds the position (from 1) in the order of some columns; rows that tie in all of them are numbered in any order.
 

@@ -118,7 +118,7 @@ def s21_bad_files(spark, d):
     path = scratch_path(spark, "bad")
     k = F.col("s_suppkey") % 3
     text = F.when(k == 0, "junk").when(k == 1, "*** A ***\nB\n1").otherwise("*** A ***\nPosition (mm)\n1")
-    table(spark, d, "supplier").select(F.col("s_suppkey").alias("hole"), text.alias("value")).write.partitionBy("hole").text(path)
+    logs.write_texts(table(spark, d, "supplier").select(F.col("s_suppkey").alias("hole"), text.alias("value")), path, "hole")
     return logs.bad_files(logs.log_lines(spark, path)).select(logs.hole_of("file").alias("id"), "error")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boreflow.functions.columns import decimal_comma, find_values
-from boreflow.operators.places import places
+from boreflow.operators.places import places, spread
 
 #: Column names of the sample block and their short names (fixed values of the file format).
 SAMPLE_COLUMNS = {
@@ -23,16 +23,30 @@ HEADERLESS = {
     "6": list(SAMPLE_COLUMNS),
 }
 
+#: Files that a task writes at most, in the mean.
+FILES = 1000
+
+
+def write_texts(df: DataFrame, path: str, *by: str) -> None:
+    """A folder for each value of some columns with the text in ``value``; many tasks write, and each puts its own files in place.
+
+    Rows that are few bytes may be many files, so the files and not the bytes decide how many tasks there are.
+    """
+    dealt = spread(df, *by, least=-(-df.count() // FILES))
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*by).text(path)
+
 
 def log_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """Rows (file, line, text) of all logs under a path; lines count from 0, empty ones are left out.
 
     A file is read in pieces like any text source, so a long one is not one row. Where a line stands follows from its piece's
-    offset and its order there; the windows over the file's lines that follow share this shuffle.
+    offset and its order there; the windows over the file's lines that follow share this shuffle. It has more tasks for more pieces,
+    so that a task holds no more of a larger folder.
     """
     at = "_metadata.file_block_start", F.monotonically_increasing_id()
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col(at[0]).alias("_piece"), at[1].alias("_at"), F.col("value").cast("binary").alias("_raw"))
+    raw = spread(raw, "file", least=raw.rdd.getNumPartitions() // 4)
     line = (F.row_number().over(Window.partitionBy("file").orderBy("_piece", "_at")) - 1).cast("int")
     lines = raw.select("file", line.alias("line"), F.decode("_raw", encoding).alias("text"))
     return lines.where(F.length("text") > 0)
@@ -195,7 +209,7 @@ def write_logs(trace: DataFrame, path: str) -> None:
         F.lit("\n\n*** Datas ***\n" + "\t".join(SAMPLE_COLUMNS) + "\n"),
     )
     text = F.concat(head, F.array_join(F.transform("x", lambda x: x["t"]), "\n"))
-    body.select(F.col("hole_id").alias("hole"), text.alias("value")).write.partitionBy("hole").text(path)
+    write_texts(body.select(F.col("hole_id").alias("hole"), text.alias("value")), path, "hole")
 
 
 def hole_of(file: Column) -> Column:
