@@ -47,7 +47,7 @@ def s05_combine_files(spark, d):
     for k in (0, 1):
         one = trace(spark, d).where(F.col("hole_id") % 2 == k).groupBy("hole_id").agg(F.collect_list(F.concat_ws("\t", "pos_mm", "torque_a")).alias("x"))
         text = F.concat(F.lit("*** Datas ***\nPosition (mm)\tI Torque (A)\n"), F.array_join("x", "\n"))
-        one.select(F.concat(F.lit("h"), F.col("hole_id")).alias("hole"), text.alias("value")).write.partitionBy("hole").text(f"{path}/dir={k}")
+        logs.write_texts(one.select(F.concat(F.lit("h"), F.col("hole_id")).alias("hole"), text.alias("value")), f"{path}/dir={k}", "hole")
     lines = logs.log_lines(spark, path)  # a file stands in a folder of its hole, which is taken for its name
     x = logs.combine(lines.withColumn("file", F.regexp_extract("file", r"^(.*)/[^/]+$", 1)), scratch_path(spark, "files"))
     hole = F.regexp_extract("file", r"hole=h(\d+)", 1).cast("bigint")
@@ -64,7 +64,7 @@ def _fasteners(spark, d):
     line = F.concat(F.when(F.col("idx") % 5 == 0, "").otherwise(F.concat(F.lit("P"), F.col("step"), F.lit("\t"))), F.col("idx"), F.lit("\t"), F.col("torque_a"))
     x = trace(spark, d).groupBy("hole_id").agg(F.sort_array(F.collect_list(F.struct("idx", line.alias("t")))).alias("x"))
     text = F.concat(head, F.array_join(F.transform("x", lambda r: r["t"]), "\n"))
-    x.select(h.alias("hole"), text.alias("value")).write.partitionBy("hole").text(path)
+    logs.write_texts(x.select(h.alias("hole"), text.alias("value")), path, "hole")
     return logs.log_lines(spark, path)
 
 
@@ -92,7 +92,7 @@ def s15_message_triples(spark, d):
     kinds = [("ResultManagement", time), ("Trace", late), ("Heads", time)]
     rows = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), text(b).alias("value")) for n, b in kinds))).alias("r")
     x = table(spark, d, "supplier").select(k.alias("k"), rows).select(F.concat(F.lit("f"), "k").alias("folder"), "r.kind", "r.value", "k")
-    x.where("kind <> 'Heads' or k % 7 > 0").select("folder", "kind", "value").write.partitionBy("folder", "kind").text(path)
+    logs.write_texts(x.where("kind <> 'Heads' or k % 7 > 0").select("folder", "kind", "value"), path, "folder", "kind")
     return logs.message_triples(spark, path).select(F.regexp_extract("folder", r"(\d+)", 1).alias("folder"), "error", "ts")
 
 
