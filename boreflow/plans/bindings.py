@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boreflow.functions.columns import result_topic
+from boreflow.operators.places import bounded
 
 SAMPLES_PER_STEP = 150
 
@@ -16,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sample: hole_id, idx, pos_mm, torque_a, thrust_a, torque_empty_a, thrust_empty_a, step."""
-    li = table(spark, sf_dir, "lineitem")
+    li = bounded(table(spark, sf_dir, "lineitem"), "l_suppkey")  # a hole stays whole, and a task has so many rows at any size
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
     w = Window.partitionBy("l_suppkey").orderBy(*order)
     numbered = li.select(*order, "l_suppkey", (F.row_number().over(w) - 1).cast("bigint").alias("idx"))
