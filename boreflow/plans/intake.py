@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from boreflow.functions import columns as c
-from boreflow.operators.places import places
+from boreflow.operators.places import bounded, places
 from boreflow.plans.bindings import MSG, PROGRAM, TRACE, messages, program, table, trace
 from boreflow.plans.paths import scratch_path
 from boreflow.queries import query
@@ -35,7 +35,9 @@ def s03_headerless(spark, d):
         .when(kind == 1, cells(*four, F.col("step"), *[zero] * 6))
         .otherwise(cells(*four, F.col("thrust_empty_a") + 0.5, F.col("step"), *[zero] * 5))
     )
-    x = logs.samples(_as_lines(t, "hole_id", ["idx"], text))
+    dealt = t.withColumns({"t": text, "file": F.col("hole_id").cast("string")}).select("file", "idx", "t")
+    dealt = bounded(dealt, "file", counted=table(spark, d, "lineitem"))
+    x = logs.samples(_as_lines(dealt, "file", ["idx"], F.col("t")))
     return x.select(F.col("file").cast("bigint").alias("hole_id"), "idx", F.round("pos_mm", 6).alias("pos_mm"), "torque_a", "thrust_empty_a", "step")
 
 
