@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boreflow.operators import joins as j
-from boreflow.operators.places import places
+from boreflow.operators.places import bounded, places
 from boreflow.plans.bindings import MSG, PROGRAM, TRACE, messages, program, table, trace
 from boreflow.plans.paths import scratch_path
 from boreflow.queries import query
@@ -117,6 +117,7 @@ def j11_positional(spark, d):
     coalesce(max(torque_a) FILTER (hole_id % 3 = 2), 0) AS c2 FROM trace GROUP BY 1, 2""")
 def j12_ragged_channels(spark, d):
     t = trace(spark, d).select(F.floor(F.col("hole_id") / 3).alias("part"), "idx", (F.col("hole_id") % 3).alias("c"), "torque_a")
+    t = bounded(t, "part", "idx", counted=table(spark, d, "lineitem"))
     wide = t.groupBy("part", "idx").pivot("c", [0, 1, 2]).agg(F.max("torque_a")).fillna(0.0)
     return wide.toDF("part", "idx", "c0", "c1", "c2")
 
