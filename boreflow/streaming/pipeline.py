@@ -89,8 +89,7 @@ def batch_results(messages: DataFrame, root: str, path: str, keys: dict[str, str
     x = prepared(messages, root)
     x = joins.duplicates(x.withColumn("of", F.struct("tool", "kind")), "of", "ts", "content", REPEAT_S, "event_id").where("not is_duplicate")
     side = lambda k: x.where(F.col("kind") == k).select("tool", F.col("event_id").alias(k), F.col("ts").alias(f"ts_{k}"))
-    near = joins.interval_join(side("result"), side("trace"), "tool", "ts_result", "ts_trace", WINDOW_S)
-    pairs = joins.greedy_match(near, "tool", "result", "trace", "ts_result", "ts_trace")
+    pairs = joins.greedy_sweep(side("result"), side("trace"), "tool", "result", "trace", "ts_result", "ts_trace", WINDOW_S)
     value = lambda k: x.where(F.col("kind") == k).select(F.col("event_id").alias(k), F.col("value").alias(f"{k}_value"))
     pairs = pairs.join(value("result"), "result").join(value("trace"), "trace")
     pairs.write.parquet(path)
