@@ -334,8 +334,10 @@ def t06_newest_per_buffer(spark, d):
 
 @query(T + """SELECT hole_id, round(avg(torque_a), 4) AS mean, round(stddev_samp(torque_a), 4) AS sd FROM trace GROUP BY 1 HAVING abs(avg(torque_a) - 2.55) <= 0.05 AND stddev_samp(torque_a) <= 1.45""")
 def t07_run_search(spark, d):
-    g = trace(spark, d).groupBy("hole_id").agg(F.avg("torque_a").alias("m"), F.stddev_samp("torque_a").alias("s"))
-    return g.where("abs(m - 2.55) <= 0.05 and s <= 1.45").select("hole_id", r("m").alias("mean"), r("s").alias("sd"))
+    """Holes whose mean lies within both bounds, these included; it is a decimal, so that no order of summing decides at a bound or a tie."""
+    exact = F.col("torque_a").cast("decimal(28,12)")
+    g = trace(spark, d).groupBy("hole_id").agg(F.avg(exact).alias("m"), F.stddev_samp("torque_a").alias("s"))
+    return g.where("abs(m - 2.55BD) <= 0.05BD and s <= 1.45").select("hole_id", r("m").cast("double").alias("mean"), r("s").alias("sd"))
 
 
 # set operations
