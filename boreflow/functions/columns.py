@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def payload_map(payload: Column) -> Column:
     return F.transform_values(parsed["Messages"]["Payload"], lambda k, v: v["Value"])
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def parsed(fields: dict[str, Column]) -> Column:
+    """Fields of a message as one struct ``f``: selected before its rows are exploded, they are not found anew for each row."""
+    return F.struct(*(v.alias(k) for k, v in fields.items())).alias("f")
+
+
 def lookup_containing(m: Column, key: str) -> Column:
     """Value of the first entry whose key contains ``key``."""
     return F.get(F.map_values(F.map_filter(m, lambda k, v: F.contains(k, F.lit(key)))), F.lit(0))
@@ -190,14 +202,13 @@ def flatten_result(payload: Column, keys: dict[str, str]) -> dict[str, Column]:
     ``keys`` gives a part of the dotted key for step, torque_empty, thrust_empty, machine_id and result_id. A step that is no
     list counts as a list of one.
     """
-    m = payload_map(payload)
-    numbers = lambda k: F.from_json(lookup_containing(m, keys[k]), "array<double>")
-    step = lookup_containing(m, keys["step"])
+    found = once(payload_map(payload), lambda m: F.struct(*(lookup_containing(m, part).alias(k) for k, part in keys.items())))
+    numbers = lambda k: F.from_json(found[k], "array<double>")
+    step = found["step"]
     steps = F.coalesce(F.when(F.startswith(step, F.lit("[")), F.from_json(step, "array<int>")), F.array(step.try_cast("int")))
     rows = F.arrays_zip(steps.alias("step"), numbers("torque_empty").alias("torque_empty"), numbers("thrust_empty").alias("thrust_empty"))
     return {
-        "rows": rows, "hole_id": lookup_containing(m, keys["machine_id"]),
-        "local": lookup_containing(m, keys["result_id"]).try_cast("int"), "predrilled": F.lit(1),
+        "rows": rows, "hole_id": found["machine_id"], "local": found["result_id"].try_cast("int"), "predrilled": F.lit(1),
     }
 
 

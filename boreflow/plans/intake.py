@@ -179,7 +179,7 @@ def f10_flatten_result(spark, d):
         Step_Nb=x["step"], Torque_Empty=x["torque_empty_a"], Thrust_Empty=x["thrust_empty_a"], Machine_ID=F.col("hole_id").cast("string"), Result_ID=F.col("hole_id") * 10,
     ).alias("payload"))
     f = c.flatten_result(F.col("payload"), {"step": "Step", "torque_empty": "Torque.Empty", "thrust_empty": "Thrust.Empty", "machine_id": "Machine.ID", "result_id": "Result.ID"})
-    rows = m.select("part", *(f[k].alias(k) for k in ("hole_id", "local", "predrilled")), F.posexplode(f["rows"]).alias("pos", "r"))
+    rows = m.select("part", c.parsed(f)).select("part", "f.hole_id", "f.local", "f.predrilled", F.posexplode("f.rows").alias("pos", "r"))
     return rows.select("hole_id", "part", "pos", "r.step", "r.torque_empty", "r.thrust_empty", "local", "predrilled")
 
 

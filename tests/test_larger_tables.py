@@ -20,3 +20,18 @@ def test_bounds_of_means_hold_whatever_the_order_of_sums(spark, tmp_path):
     over = [*high[:-1], 40]
     got = __spark_entry__.queries()["t07_run_search"](spark, lineitem(spark, tmp_path, {1: high, 2: low, 3: tie, 4: over}))
     assert sorted((r.hole_id, r.mean) for r in got.collect()) == [(1, 2.6), (2, 2.5), (3, 2.5063)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def small(spark, path):
+    return lineitem(spark, path, {1: [n % 7 for n in range(500)], 2: [n % 11 for n in range(130)]})
+
+
+def test_result_messages_are_parsed_before_their_rows_are_exploded(spark, tmp_path):
+    df = __spark_entry__.queries()["f10_flatten_result"](spark, small(spark, tmp_path))
+    above, explode, _ = plan_of(df).partition("Generate")
+    assert explode and "from_json" not in above
+    assert sorted((r.hole_id, r.part, r.pos) for r in df.collect()) == sorted((str(h), i // 64, i % 64) for h, n in ((1, 500), (2, 130)) for i in range(n))
