@@ -217,8 +217,9 @@ def flatten_raw(payload: Column, keys: dict[str, str]) -> dict[str, Column]:
 
     Missing: hole 'UNKNOWN', local 0, predrilled 1, an array without values. A message that is no JSON is one without keys.
     """
-    m = F.coalesce(payload_map(payload), F.create_map().cast("map<string,string>"))
-    text = lambda k: F.try_element_at(m, F.lit(keys[k]))
+    known = F.coalesce(payload_map(payload), F.create_map().cast("map<string,string>"))
+    found = once(known, lambda m: F.struct(*(F.try_element_at(m, F.lit(key)).alias(k) for k, key in keys.items())))
+    text = lambda k: found[k]
     numbers = lambda k: F.coalesce(F.from_json(text(k), "array<double>"), F.array().cast("array<double>"))
     names = ("position", "torque", "torque_empty", "step")
     arrays = {k: numbers(k) for k in names}

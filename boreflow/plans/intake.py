@@ -194,7 +194,8 @@ def f12_flatten_raw(spark, d):
     ).alias("payload"))
     keys = {"hole_id": "SerialNumber", "position": "Position", "torque": "Torque", "torque_empty": "TorqueEmpty", "step": "StepNb", "local": "ToolAge", "predrilled": "Predrilled"}
     f = c.flatten_raw(F.col("payload"), {n: f"Unit.{v}" for n, v in keys.items()})
-    rows = m.select(F.col("hole_id").alias("of"), "part", *(f[n].alias(n) for n in ("hole_id", "local", "predrilled")), F.posexplode(f["rows"]).alias("pos", "r"))
+    done = m.select(F.col("hole_id").alias("of"), "part", c.parsed(f))
+    rows = done.select("of", "part", "f.hole_id", "f.local", "f.predrilled", F.posexplode("f.rows").alias("pos", "r"))
     return rows.select("hole_id", "of", "part", "pos", F.round("r.position", 4).alias("position"), "r.torque", "r.torque_empty", "local", "predrilled")
 
 

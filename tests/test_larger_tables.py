@@ -35,3 +35,10 @@ def test_result_messages_are_parsed_before_their_rows_are_exploded(spark, tmp_pa
     above, explode, _ = plan_of(df).partition("Generate")
     assert explode and "from_json" not in above
     assert sorted((r.hole_id, r.part, r.pos) for r in df.collect()) == sorted((str(h), i // 64, i % 64) for h, n in ((1, 500), (2, 130)) for i in range(n))
+
+
+def test_raw_messages_are_parsed_before_their_rows_are_exploded(spark, tmp_path):
+    df = __spark_entry__.queries()["f12_flatten_raw"](spark, small(spark, tmp_path))
+    above, explode, _ = plan_of(df).partition("Generate")
+    assert explode and "from_json" not in above
+    assert {(r.of, r.hole_id) for r in df.collect()} == {(1, "1"), (2, "2"), (1, "UNKNOWN"), (2, "UNKNOWN")}
