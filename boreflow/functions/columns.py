@@ -230,10 +230,15 @@ def flatten_raw(payload: Column, keys: dict[str, str]) -> dict[str, Column]:
     }
 
 
-def heads_value(value: Column, n: Column, idx: Column) -> Column:
-    """Value of a heads field for one row: an array as long as the frame gives its element, all else is repeated as text."""
+def heads_field(value: Column, n: Column) -> Column:
+    """A heads field for a frame of n rows: its items if it is an array as long as the frame, else its text."""
     items = F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>"))
-    return F.when(F.size(items) == n, F.get(items, idx.cast("int"))).otherwise(value)
+    return once(items, lambda x: F.struct(F.when(F.size(x) == n, x).alias("items"), F.when(F.coalesce(F.size(x) != n, F.lit(True)), value).alias("text")))
+
+
+def heads_value(field: Column, idx: Column) -> Column:
+    """Value of a heads field for one row: an array as long as the frame gives its element, all else is repeated as text."""
+    return F.when(field["items"].isNotNull(), F.get(field["items"], idx.cast("int"))).otherwise(field["text"])
 
 
 def message_error(payload: Column, name: str) -> Column:

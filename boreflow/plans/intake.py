@@ -207,9 +207,10 @@ def f13_heads_enrichment(spark, d):
     n = t.groupBy("hole_id", "part").agg(F.count("*").alias("n"))
     temps = F.sequence(F.lit(0), F.lit(PART - 1))
     heads = n.select("hole_id", "part", "n", F.to_json(F.struct(F.concat(F.lit("H"), "hole_id").alias("serial"), temps.alias("temps"))).alias("heads"))
-    x = t.join(heads, ["hole_id", "part"])
-    fields = F.from_json("heads", "map<string,string>")
-    return x.select("hole_id", "idx", *(c.heads_value(fields[k], F.col("n"), F.col("idx") % PART).alias(k) for k in ("serial", "temps")))
+    m = heads.select("hole_id", "part", "n", F.from_json("heads", "map<string,string>").alias("m"))
+    fields = m.select("hole_id", "part", *(c.heads_field(F.col("m")[k], F.col("n")).alias(k) for k in ("serial", "temps")))  # once for each message
+    x = t.join(fields, ["hole_id", "part"])
+    return x.select("hole_id", "idx", *(c.heads_value(F.col(k), F.col("idx") % PART).alias(k) for k in ("serial", "temps")))
 
 
 # functions that other queries use inside

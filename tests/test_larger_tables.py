@@ -42,3 +42,11 @@ def test_raw_messages_are_parsed_before_their_rows_are_exploded(spark, tmp_path)
     above, explode, _ = plan_of(df).partition("Generate")
     assert explode and "from_json" not in above
     assert {(r.of, r.hole_id) for r in df.collect()} == {(1, "1"), (2, "2"), (1, "UNKNOWN"), (2, "UNKNOWN")}
+
+
+def test_heads_are_parsed_before_they_meet_the_rows(spark, tmp_path):
+    df = __spark_entry__.queries()["f13_heads_enrichment"](spark, small(spark, tmp_path))
+    above, join, _ = plan_of(df).partition("Join")
+    assert join and "from_json" not in above
+    got = {(r.hole_id, r.idx): (r.serial, r.temps) for r in df.collect()}
+    assert got[1, 70] == ("H1", "6") and got[2, 129][1].startswith("[0,1,") and len(got) == 630
