@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boreflow.functions.columns import once
 from boreflow.operators.windows import HOLE, IDX, segments
 
 DIGITS = 6
@@ -29,31 +30,34 @@ def feed_windows(df: DataFrame, bit: float = 0.7, pos: str = "pos_mm") -> DataFr
 
 
 def _median(values: Column) -> Column:
-    ordered, n = F.array_sort(values), F.size(values)
-    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    at = lambda o, half: F.get(o, F.floor(half / 2).cast("int"))
+    return once(F.sort_array(values), lambda o: (at(o, F.size(o) - 1) + at(o, F.size(o))) / 2)
 
 
-def segment_statistics(df: DataFrame, c: str, bit: float = 0.7, pos: str = "pos_mm") -> DataFrame:
+def segment_statistics(df: DataFrame, c: str, bit: float = 0.7, pos: str = "pos_mm", only: tuple[int, ...] = ()) -> DataFrame:
     """Per hole and segment: width, and the positions of the largest and smallest rolling mean and median gradient.
 
-    Of equal gradients the first sample counts; a segment without a full window has nulls.
+    Of equal gradients the first sample counts; a segment without a full window has nulls. If ``only`` some segments are asked
+    for, the others have their row, with nulls.
     """
     x = feed_windows(df, bit, pos)
     rise = F.col(c) - F.lag(c).over(Window.partitionBy(HOLE, "segment").orderBy(IDX))
     x = x.withColumn("_g", F.when(F.col("_dp") != 0, rise / F.col("_dp")))
     item = F.struct(F.col(IDX).alias("i"), F.col("_p").alias("p"), F.col("_g").alias("g"))
-    g = x.groupBy(HOLE, "segment").agg(F.first("width").alias("width"), F.array_sort(F.collect_list(item)).alias("s"))
+    asked = F.col("segment").isin(*only) if only else F.lit(True)
+    g = x.groupBy(HOLE, "segment").agg(F.first("width").alias("width"), F.sort_array(F.collect_list(F.when(asked, item))).alias("s"))
     ends = F.when(F.col("width") < F.size("s"), F.sequence(F.col("width"), F.size("s") - 1))
 
     def window(k: Column) -> Column:
-        part = F.slice(F.col("s"), k - F.col("width") + 2, F.col("width"))
-        values = F.transform(part, lambda y: y["g"])
-        whole = ~F.exists(values, lambda v: v.isNull())
-        mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.col("width")
         at = F.get(F.col("s"), k)
-        return F.when(whole, F.struct(
-            F.round(mean, DIGITS).alias("mean"), F.round(_median(values), DIGITS).alias("median"), at["i"].alias("i"), at["p"].alias("p"),
-        ))
+
+        def told(values: Column) -> Column:
+            mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.col("width")
+            return F.when(~F.exists(values, lambda v: v.isNull()), F.struct(
+                F.round(mean, DIGITS).alias("mean"), F.round(_median(values), DIGITS).alias("median"), at["i"].alias("i"), at["p"].alias("p"),
+            ))
+
+        return once(F.slice(F.col("s"), k - F.col("width") + 2, F.col("width"))["g"], told)
 
     g = g.select(HOLE, "segment", "width", F.filter(F.transform(ends, window), lambda w: w.isNotNull()).alias("w"))
 
@@ -67,15 +71,17 @@ def segment_statistics(df: DataFrame, c: str, bit: float = 0.7, pos: str = "pos_
     )
 
 
-def layer_depths(statistics: DataFrame, stat: str = "median", first: int = 1, second: int = 2) -> DataFrame:
-    """Entry, transition and exit of a hole, and the depths between them; null unless they follow each other.
+def layer_depths(statistics: DataFrame, *stats: str, first: int = 1, second: int = 2) -> DataFrame:
+    """Entry, transition and exit of a hole, and the depths between them, a row for each of ``stats``; null unless they follow each other.
 
     ``first`` and ``second`` are the segments that drill the upper and the lower layer.
     """
+    stats = stats or ("median",)
     at = lambda seg, name: F.max(F.when(F.col("segment") == seg, F.col(name)))
-    g = statistics.groupBy(HOLE).agg(
-        at(first, f"{stat}_max").alias("entry"), at(second, f"{stat}_max").alias("transition"), at(second, f"{stat}_min").alias("exit")
-    )
+    places = lambda s: ((first, f"{s}_max", "entry"), (second, f"{s}_max", "transition"), (second, f"{s}_min", "exit"))
+    g = statistics.groupBy(HOLE).agg(*(at(seg, name).alias(f"{s}_{n}") for s in stats for seg, name, n in places(s)))
+    one = lambda s: F.struct(F.lit(s).alias("stat"), *(F.col(f"{s}_{n}").alias(n) for *_, n in places(s)))
+    g = g.select(HOLE, F.explode(F.array(*map(one, stats))).alias("r")).select(HOLE, "r.*")
     ordered = (F.col("entry") < F.col("transition")) & (F.col("transition") < F.col("exit"))
     depth = lambda a, b: F.when(ordered, F.col(b) - F.col(a))
     return g.withColumns(

@@ -62,7 +62,7 @@ SELECT hole_id, round(CASE WHEN b - f - l IS NOT NULL THEN f WHEN b IS NULL AND
 def d10_model_and_segments(spark, d):
     """Ends by the model, and the transition of the segments moved by the mean delay; one out of order does not count."""
     ends = [mw.exits(_scored(spark, d, step)).select("hole_id", F.col("exit").alias(n)) for step, n in ((1, "first"), (2, "last"))]
-    layers = sg.layer_depths(sg.segment_statistics(pecked(spark, d), "torque_a", 0.72), "mean")
+    layers = sg.layer_depths(sg.segment_statistics(pecked(spark, d), "torque_a", 0.72, only=(1, 2)), "mean")
     layers = layers.withColumn("transition", F.when(F.col("total").isNotNull(), F.col("transition")))
     x = sg.combined_depths(layers, ends[0].join(ends[1], "hole_id", "full_outer"))
     return x.select("hole_id", *(F.round(n, 3).alias(n) for n in ("entry", "transition", "exit")))

@@ -46,10 +46,8 @@ FROM (SELECT hole_id, max({stat}_max) FILTER (segment = 1) AS a, max({stat}_max)
 @query(T + f", {PECKED} {_layers('mean')} UNION ALL {_layers('median')}")
 def d06_layer_depths(spark, d):
     """Total, upper and lower depth from the second and third segment, by mean and by median; null unless in order."""
-    x = sg.segment_statistics(pecked(spark, d), "torque_a", 0.72)
-    names = ("entry", "transition", "exit", "total", "upper", "lower")
-    one = lambda s: sg.layer_depths(x, s).select("hole_id", F.lit(s).alias("stat"), *(F.round(n, 3).alias(n) for n in names))
-    return one("mean").union(one("median"))
+    x = sg.layer_depths(sg.segment_statistics(pecked(spark, d), "torque_a", 0.72, only=(1, 2)), "mean", "median")
+    return x.select("hole_id", "stat", *(F.round(n, 3).alias(n) for n in ("entry", "transition", "exit", "total", "upper", "lower")))
 
 
 #: Name, first sample, samples and target of the ranges that templates are cut from, in the smallest hole's signal.

@@ -3,6 +3,7 @@
 import datetime
 
 import __spark_entry__
+from boreflow.operators import segments
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -50,3 +51,14 @@ def test_heads_are_parsed_before_they_meet_the_rows(spark, tmp_path):
     assert join and "from_json" not in above
     got = {(r.hole_id, r.idx): (r.serial, r.temps) for r in df.collect()}
     assert got[1, 70] == ("H1", "6") and got[2, 129][1].startswith("[0,1,") and len(got) == 630
+
+
+def test_depths_by_several_statistics_take_one_pass(spark, tmp_path):
+    df = __spark_entry__.queries()["d06_layer_depths"](spark, small(spark, tmp_path))
+    assert plan_of(df).count("Relation [") == 1
+    assert sorted((r.hole_id, r.stat) for r in df.collect()) == [(h, s) for h in (1, 2) for s in ("mean", "median")]
+    columns = "hole_id bigint, idx bigint, pos_mm double, t double"
+    rows = [(1, i, -float(i % 20), float(i * i % 17)) for i in range(80)]
+    known = [{r.segment: r for r in segments.segment_statistics(spark.createDataFrame(rows, columns), "t", 3.0, only=o).collect()} for o in ((), (1, 2))]
+    assert {s for s, r in known[1].items() if r.mean_max is not None} == {1, 2} and known[1].keys() == known[0].keys()
+    assert all(known[1][s] == known[0][s] for s in (1, 2))
