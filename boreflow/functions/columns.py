@@ -243,14 +243,13 @@ def heads_value(field: Column, idx: Column) -> Column:
 
 def message_error(payload: Column, name: str) -> Column:
     """First error of one message: no content, no JSON, no object, no ``Messages.Payload``; null if it is valid."""
-    parsed = F.try_parse_json(payload)
-    inside = F.try_variant_get(F.try_variant_get(parsed, "$.Messages", "variant"), "$.Payload", "variant")
-    return (
-        F.when(F.trim(payload) == "", f"{name} message has no data content")
-        .when(parsed.isNull(), f"Invalid JSON in {name.lower()} message")
-        .when(~F.schema_of_variant(parsed).startswith("OBJECT"), f"{name} message data is not a valid dictionary")
-        .when(inside.isNull(), f"{name} message missing required Messages.Payload structure")
+    inside = lambda v: F.try_variant_get(F.try_variant_get(v, "$.Messages", "variant"), "$.Payload", "variant")
+    wrong = lambda v: (
+        F.when(v.isNull(), f"Invalid JSON in {name.lower()} message")
+        .when(~F.schema_of_variant(v).startswith("OBJECT"), f"{name} message data is not a valid dictionary")
+        .when(inside(v).isNull(), f"{name} message missing required Messages.Payload structure")
     )
+    return F.when(F.trim(payload) == "", f"{name} message has no data content").otherwise(once(F.try_parse_json(payload), wrong))
 
 
 def pair_error(result: Column, trace: Column) -> Column:

@@ -15,6 +15,8 @@ from boreflow.streaming import live, pipeline, state
 T = f"WITH {TRACE} "
 M = f"WITH {MSG} "
 FILES = 4
+#: Messages of a file at most, in the mean.
+FILE_MESSAGES = 10_000
 
 
 def cycle_messages(spark, d):
@@ -79,15 +81,19 @@ def d24_batch_results(spark, d):
 
 
 def _as_files(spark, rows, path, files=FILES):
-    """The messages as files in the order of time, and a stream that reads one in each micro-batch."""
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    """The messages as files in the order of time, and a stream that reads those of one stretch of it in each micro-batch.
+
+    A stretch is one file, or of many messages several, each written by a task of its own.
+    """
+    low, high, n = rows.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
     width = (high - low) / files if low is not None else None
+    tasks = max(1, -(-n // (files * FILE_MESSAGES)))
     for k in range(files if low is not None else 0):
         part = rows.where((F.col("ts") >= F.lit(low + k * width)) & ((F.col("ts") < F.lit(low + (k + 1) * width)) | F.lit(k == files - 1)))
-        part.coalesce(1).write.mode("append").parquet(path)
+        (part.coalesce(1) if tasks == 1 else part.repartition(tasks)).write.mode("append").parquet(path)
     if low is None:
         rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", tasks).parquet(path)
 
 
 @query(RESULTS)

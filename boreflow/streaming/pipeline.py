@@ -40,10 +40,10 @@ def frames(pairs: DataFrame, keys: dict[str, str] = KEYS) -> DataFrame:
     f = c.flatten_result(F.col("result_value"), keys)
     left = pairs.select(F.col("result").alias("hole_id"), F.explode(f["rows"]).alias("r"))
     left = left.select("hole_id", F.col("r.step").alias("step"), "r.torque_empty", "r.thrust_empty")
-    m = c.payload_map(F.col("trace_value"))
-    numbers = lambda k, kind="double": F.from_json(c.lookup_containing(m, keys[k]), f"array<{kind}>")
+    found = c.once(c.payload_map(F.col("trace_value")), lambda m: F.struct(*(c.lookup_containing(m, keys[k]).alias(k) for k in ("position", "torque", "thrust", "step"))))
+    numbers = lambda k, kind="double": F.from_json(F.col("f")[k], f"array<{kind}>")
     rows = F.arrays_zip(*(numbers(k).alias(k) for k in ("position", "torque", "thrust")), numbers("step", "int").alias("step"))
-    right = pairs.select(F.col("result").alias("hole_id"), F.posexplode(rows).alias("idx", "t"))
+    right = pairs.select(F.col("result").alias("hole_id"), found.alias("f")).select("hole_id", F.posexplode(rows).alias("idx", "t"))
     right = right.select("hole_id", F.col("idx").cast("bigint").alias("idx"), F.col("t.step").alias("step"), "t.position", "t.torque", "t.thrust")
     both = right.join(left, ["hole_id", "step"], "full_outer")
     total = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0.0))

@@ -91,20 +91,39 @@ class GreedyMatcher(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "side string, stretch bigint", f"us array<bigint>, id array<bigint>, value array<{self.kind}>")
         self.seen = handle.getMapState("seen", "side string, content bigint", "us bigint")
+        self.seen_in = handle.getMapState("seen_in", "stretch bigint", "side array<string>, content array<bigint>")
 
     def _ends(self, b: int) -> int:
         return ((b + 1) * self.width + self.keep) // 1000 + 1
 
+    def _ended(self, ms: int) -> range:
+        """The stretches whose timer is set to that time: one, or several that are shorter than its milliseconds."""
+        low = (ms - 1) * 1000 - self.keep
+        return range(-(-low // self.width) - 1, (low + 999) // self.width)
+
+    def _last(self, known: dict, of: tuple) -> int | None:
+        if of not in known:
+            known[of] = self.seen.getValue(of)[0] if self.seen.containsKey(of) else None
+        return known[of]
+
+    def _write_seen(self, known: dict, kept: dict[int, set]) -> None:
+        for of in set().union(*kept.values()):
+            self.seen.updateValue(of, (known[of],))
+        for b, held in kept.items():
+            before = zip(*self.seen_in.getValue((b,)), strict=True) if self.seen_in.containsKey((b,)) else ()
+            self.seen_in.updateValue((b,), tuple(list(x) for x in zip(*sorted(held.union(map(tuple, before))), strict=True)))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         sides = {k: Stretches(self.waiting, k, self.width) for k in ("result", "trace")}
-        new, out, due = _ordered(rows), [], set()
+        new, out, due, known, kept = _ordered(rows), [], set(), {}, {}
         contents = new["content"].tolist() if self.repeat else [0] * len(new)
         for kind, i, t, v, content in zip(*(new[c].tolist() for c in ("kind", "event_id", "us", "value")), contents, strict=True):
             if self.repeat:
-                last = self.seen.getValue((kind, content)) if self.seen.containsKey((kind, content)) else None
-                if last is not None and t - last[0] < self.repeat:
+                last = self._last(known, (kind, content))
+                if last is not None and t - last < self.repeat:
                     continue
-                self.seen.updateValue((kind, content), (t,))
+                known[kind, content] = t
+                kept.setdefault(t // self.width, set()).add((kind, content))
                 due.add(t // self.width)
             mate = sides["trace" if kind == "result" else "result"].take_first(t - self.width, t + self.width)
             if mate is None:
@@ -114,19 +133,22 @@ class GreedyMatcher(StatefulProcessor):
                 out.append((*key, a[1], b[1], a[2], b[2], a[0], b[0]))
         for s in sides.values():
             s.write()
+        self._write_seen(known, kept)
         for b in due:
             self.handle.registerTimer(self._ends(b))
         yield pd.DataFrame(out, columns=["tool", "result", "trace", "result_value", "trace_value", "result_us", "trace_us"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs()
-        for side, b in [k for k in self.waiting.keys() if self._ends(k[1]) <= limit]:
-            self.waiting.removeKey((side, b))
-        if self.repeat:
-            for k, (us,) in list(self.seen.iterator()):
-                if self._ends(us // self.width) <= limit:
-                    self.seen.removeKey(tuple(k))
-        yield pd.DataFrame([], columns=["tool", "result", "trace", "result_value", "trace_value", "result_us", "trace_us"])
+        for b in self._ended(expiredTimerInfo.getExpiryTimeInMs()):  # only these, however much else the key holds
+            for side in ("result", "trace"):
+                if self.waiting.containsKey((side, b)):
+                    self.waiting.removeKey((side, b))
+            if self.repeat and self.seen_in.containsKey((b,)):
+                for of in zip(*self.seen_in.getValue((b,)), strict=True):
+                    if self.seen.containsKey(of) and self.seen.getValue(of)[0] // self.width == b:
+                        self.seen.removeKey(of)
+                self.seen_in.removeKey((b,))
+        yield from ()
 
     def close(self) -> None:
         pass

@@ -2,8 +2,12 @@
 
 import datetime
 
+import pandas as pd
+import pytest
+
 import __spark_entry__
 from boreflow.operators import segments
+from boreflow.streaming import state
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -62,3 +66,61 @@ def test_depths_by_several_statistics_take_one_pass(spark, tmp_path):
     known = [{r.segment: r for r in segments.segment_statistics(spark.createDataFrame(rows, columns), "t", 3.0, only=o).collect()} for o in ((), (1, 2))]
     assert {s for s, r in known[1].items() if r.mean_max is not None} == {1, 2} and known[1].keys() == known[0].keys()
     assert all(known[1][s] == known[0][s] for s in (1, 2))
+
+
+class Held(dict):
+    """A map state in memory, which counts the rows that are looked at."""
+
+    looks = 0
+
+    def containsKey(self, k):
+        self.looks += 1
+        return tuple(k) in self
+
+    def getValue(self, k):
+        self.looks += 1
+        return self[tuple(k)]
+
+    def updateValue(self, k, v):
+        self[tuple(k)] = tuple(v)
+
+    def removeKey(self, k):
+        del self[tuple(k)]
+
+    def keys(self):
+        self.looks += len(self)
+        return list(super().keys())
+
+    def iterator(self):
+        self.looks += len(self)
+        return iter(list(self.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Held())
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class Expired:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = lambda: ms
+
+
+@pytest.mark.parametrize("seconds", [30.0, 0.0004])
+def test_a_timer_looks_at_its_own_stretch_only(seconds):
+    handle, matcher = Handle(), state.GreedyMatcher(seconds, 300.0, "string", 1.0)
+    matcher.init(handle)
+    rows = [("result", i, i * 1_500_000_000, str(i), i) for i in range(500)] + [("result", 1000 + i, i * 1_500_000_000 + 300, "", i) for i in range(500)]
+    assert not any(len(x) for x in matcher.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["kind", "event_id", "us", "value", "content"])]), None))
+    assert len(handle.states["waiting"]) == 500 == len(handle.states["seen"])  # repeats are left out
+    for ms in sorted(handle.timers):
+        before = sum(s.looks for s in handle.states.values())
+        list(matcher.handleExpiredTimer(("a",), None, Expired(ms)))
+        assert sum(s.looks for s in handle.states.values()) - before < 30
+    assert not any(handle.states.values())
