@@ -34,7 +34,7 @@ def s02_log_sections(spark, d):
 
 @query(T + "SELECT DISTINCT hole_id, (hole_id * 7)::VARCHAR AS global_count FROM trace")
 def s04_field_lookup(spark, d):
-    x = logs.lookup(logs.sections(_logs(spark, d)), "Head Global Counter")
+    x = logs.first_values(_logs(spark, d), "Head Global Counter")
     return x.select(logs.hole_of("file").alias("hole_id"), F.col("Head Global Counter").alias("global_count"))
 
 
@@ -42,7 +42,7 @@ def s04_field_lookup(spark, d):
 def s06_ingest(spark, d):
     """Samples of a directory of logs joined to their metadata."""
     lines = _logs(spark, d)
-    meta = logs.lookup(logs.sections(lines), "Head Name").withColumnRenamed("Head Name", "head")
+    meta = logs.first_values(lines, "Head Name").withColumnRenamed("Head Name", "head")
     x = logs.samples(lines).groupBy("file").agg(F.count("*").alias("n"), F.round(F.max("torque_a"), 4).alias("high")).join(meta, "file")
     return x.select(logs.hole_of("file").alias("hole_id"), "head", "n", "high")
 

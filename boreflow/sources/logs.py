@@ -71,6 +71,16 @@ def lookup(cells: DataFrame, name: str) -> DataFrame:
     return cells.where((F.col("name") == name) & (F.col("row") == 1)).select("file", F.col("value").alias(name))
 
 
+def first_values(lines: DataFrame, name: str, separator: str = r"[\t;]") -> DataFrame:
+    """The rows of ``lookup`` in the ``sections`` of the lines, cut out of the two lines that follow a section's opening only."""
+    w = Window.partitionBy("file").orderBy("line")
+    x = lines.withColumns({"_open": F.lag("text", 2).over(w), "_head": F.lag("text", 1).over(w)})
+    opens = lambda c: F.startswith(c, F.lit("***"))
+    x = x.where(opens("_open") & ~opens("_head") & ~opens("text"))
+    x = x.select("file", F.explode(F.arrays_zip(F.split("_head", separator).alias("names"), F.split("text", separator).alias("cells"))).alias("c"))
+    return x.where(F.trim("c.names") == name).select("file", F.trim("c.cells").alias(name))
+
+
 def headerless_names(cells: Column, fifth_is_whole: Column) -> Column:
     """Column names by the number of cells; of eleven, the fifth is the step where it is a whole number throughout."""
     kind = F.when((F.size(cells) == 11) & fifth_is_whole, "11 with a step").otherwise(F.size(cells).cast("string"))
@@ -200,7 +210,7 @@ def required_columns(df: DataFrame, names: dict[str, str], required: list[str])
 
 def write_logs(trace: DataFrame, path: str) -> None:
     """One sectioned log for each hole: counters, then samples with decimal commas."""
-    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
+    number = lambda c: F.translate(F.col(c).cast("string"), ".", ",")
     line = F.concat_ws("\t", *(number(s) for s in SAMPLE_COLUMNS.values()))
     body = trace.groupBy("hole_id").agg(F.sort_array(F.collect_list(F.struct("idx", line.alias("t")))).alias("x"))
     head = F.concat(

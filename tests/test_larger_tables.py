@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from boreflow.operators import segments
+from boreflow.sources import logs
 from boreflow.streaming import state
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -124,3 +125,14 @@ def test_a_timer_looks_at_its_own_stretch_only(seconds):
         list(matcher.handleExpiredTimer(("a",), None, Expired(ms)))
         assert sum(s.looks for s in handle.states.values()) - before < 30
     assert not any(handle.states.values())
+
+
+def test_looked_up_values_take_the_first_lines_of_sections_only(spark):
+    texts = ["before", "*** A ***", "x\ty ;x", "1\t2 ;3;4", "5\t6", "*** B ***", "*** C ***", "y", "7", "*** D ***", "x", "*** E ***", "x;y", " 8;9"]
+    lines = spark.createDataFrame([(f, i + i // 3, t) for f in ("f", "g") for i, t in enumerate(texts)], "file string, line int, text string")
+    for name in ("x", "y", "z"):
+        got = logs.first_values(lines, name)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, logs.lookup(logs.sections(lines), name).collect()))
+    assert sorted(map(tuple, logs.first_values(lines, "x").collect())) == [(f, v) for f in ("f", "g") for v in ("1", "3", "8")]
+    above, _, below = plan_of(got).partition("Generate")
+    assert "split" not in below.partition("Filter")[2]
