@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from boreflow.operators import segments
+from boreflow.plans import messages
 from boreflow.sources import logs
 from boreflow.streaming import state
 
@@ -136,3 +137,15 @@ def test_looked_up_values_take_the_first_lines_of_sections_only(spark):
     assert sorted(map(tuple, logs.first_values(lines, "x").collect())) == [(f, v) for f in ("f", "g") for v in ("1", "3", "8")]
     above, _, below = plan_of(got).partition("Generate")
     assert "split" not in below.partition("Filter")[2]
+
+
+def test_results_of_a_busy_tool_without_heads_stay(spark, tmp_path):
+    """The outer stream join by stretches of time gives the rows of a plain join, those without a partner once."""
+    rows = [(i, DAY + datetime.timedelta(seconds=7 * i), 1, "purchase", 0.0, "{}") for i in range(200)]
+    rows += [(1000 + i, DAY + datetime.timedelta(seconds=613 * i), 21, "view", 0.0, "{}") for i in range(3)]
+    kinds = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/events.parquet")
+    df = __spark_entry__.queries()["r04_optional_heads"](spark, str(tmp_path))
+    near = lambda i: [1000 + j for j in range(3) if abs(7 * i - 613 * j) <= messages.WINDOW_S]
+    want = [(1, i, h) for i in range(200) for h in near(i) or [None]]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
