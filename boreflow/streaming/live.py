@@ -43,6 +43,28 @@ def match_streams(results: DataFrame, traces: DataFrame, key: str, ts_a: str, ts
     return results.withColumn("_a", bucket(ts_a)).join(b, near, "left_outer" if how == "left" else how).drop("_key", "_a", "_b")
 
 
+def match_when_over(results: DataFrame, traces: DataFrame, key: str, ts_a: str, ts_b: str, seconds: int, how: str = "inner") -> DataFrame:
+    """The rows of :func:`match_streams`, each once the watermark has passed all that it could meet.
+
+    A key's results of a stretch of ``seconds``, and the traces at most ``seconds`` from that stretch, are one row of state, and its
+    pairs are made when it goes; no state is looked up for a pair. Left rows without a partner have to wait so long in any case, and
+    those without a time do not. Columns of time have no watermark behind it, as they are older than it.
+    """
+    a, b = (F.struct(*(c for c in side.columns if c != key)) for side in (results, traces))
+    spans = lambda ts: F.window(ts, f"{3 * seconds} seconds", f"{seconds} seconds").alias("_a")
+    middle = f"_l.{ts_a} >= _a.start + INTERVAL {seconds} SECONDS AND _l.{ts_a} < _a.end - INTERVAL {seconds} SECONDS"
+    x = results.select(key, spans(ts_a), a.alias("_l")).where(middle)
+    x = x.unionByName(traces.where(F.col(key).isNotNull()).select(key, spans(ts_b), b.alias("_r")), allowMissingColumns=True)
+    x = x.groupBy("_a", key).agg(F.collect_list("_l").alias("_ls"), F.collect_list("_r").alias("_rs"))
+    apart = lambda r: F.abs(F.unix_micros(r[ts_b]) - F.unix_micros(F.col("_l")[ts_a]))
+    near = F.filter("_rs", lambda r: apart(r) <= seconds * 1_000_000)
+    x = x.select(key, F.explode("_ls").alias("_l"), "_rs").select(key, "_l", (F.explode_outer if how == "left" else F.explode)(near).alias("_r"))
+    if how == "left":
+        x = x.unionByName(results.where(F.col(ts_a).isNull()).select(key, a.alias("_l")), allowMissingColumns=True)
+    mine = [F.col(c if c == key else f"_l.{c}").alias(c, metadata={}) for c in results.columns]
+    return x.select(*mine, *(F.col(f"_r.{c}").alias(c, metadata={}) for c in traces.columns if c != key))
+
+
 PENDING = ", ".join(f"{side} array<struct<id:bigint,ts:bigint,value:double>>" for side in ("results", "traces"))
 
 

@@ -149,3 +149,39 @@ def test_results_of_a_busy_tool_without_heads_stay(spark, tmp_path):
     near = lambda i: [1000 + j for j in range(3) if abs(7 * i - 613 * j) <= messages.WINDOW_S]
     want = [(1, i, h) for i in range(200) for h in near(i) or [None]]
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
+def test_optional_heads_look_up_no_state_for_a_pair(spark, tmp_path, monkeypatch):
+    """The messages of a tool's stretch of time are one row of state; results without a time or a tool stay too."""
+    kinds = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    rows = [(1000 * n + i, DAY + datetime.timedelta(seconds=i), 1, kind, 0.0, "{}") for n, kind in enumerate(("purchase", "view")) for i in range(150)]
+    odd = [(5000, None, 1, "purchase", 0.0, "{}"), (5001, DAY, None, "purchase", 0.0, "{}"), (5002, DAY, None, "view", 0.0, "{}"), (5003, DAY, -1, "purchase", 0.0, "{}")]
+    spark.createDataFrame(rows + odd, kinds).write.parquet(f"{tmp_path}/events.parquet")
+    streams, run_once = [], messages.live.run_once
+    monkeypatch.setattr(messages.live, "run_once", lambda x, *more: streams.append(x) or run_once(x, *more))
+    got = __spark_entry__.queries()["r04_optional_heads"](spark, str(tmp_path)).collect()
+    want = [(1, i, 1000 + j) for i in range(150) for j in range(150)] + [(1, 5000, None), (None, 5001, None), (-1, 5003, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert len(streams) == 1 and "Join" not in streams[0]._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_matches_of_stretches_that_are_over(spark, tmp_path, how):
+    """Micro-batches out of order, both ends of the window, rows without a key: the pairs of a plain join."""
+    at = lambda s: DAY + datetime.timedelta(seconds=s)
+    sides, rows = {}, {"result": [(i % 3 if i % 10 else None, i, 37 * i % 600) for i in range(200)], "trace": [(i % 3 if i % 10 else None, i, 53 * i % 600) for i in range(200)]}
+    for name, all_of in rows.items():
+        form = f"tool int, {name} bigint, ts_{name} timestamp"
+        for part in [all_of[k::4] for k in range(4)] + [[(9, 900, 900_000)]]:
+            spark.createDataFrame([(k, i, at(s)) for k, i, s in part], form).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(form).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        sides[name] = stream.withWatermark(f"ts_{name}", "11 minutes")
+    x = messages.live.match_when_over(sides["result"], sides["trace"], "tool", "ts_result", "ts_trace", 20, how)
+    assert x.columns == ["tool", "result", "ts_result", "trace", "ts_trace"]
+    got = messages.live.run_once(x, str(tmp_path / "out")).where("tool is null or tool < 9").collect()
+    assert any(abs((r.ts_result - r.ts_trace).total_seconds()) == 20 for r in got if r.trace is not None)
+    want = []
+    for k, i, s in rows["result"]:
+        near = [(j, at(t)) for m, j, t in rows["trace"] if k is not None and m == k and abs(s - t) <= 20]
+        want += [(k, i, at(s), *r) for r in near or ([(None, None)] if how == "left" else [])]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
