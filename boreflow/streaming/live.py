@@ -254,17 +254,19 @@ def topic_messages(stream: DataFrame, root: str, topic: str = "topic") -> DataFr
     return stream.withColumn("kind", kind).where((F.get(parts, F.lit(0)) == root) & F.col("kind").isNotNull())
 
 
-def read_events(spark: SparkSession, sf_dir: str, closing: str | None = None) -> DataFrame:
+def read_events(spark: SparkSession, sf_dir: str, closing: str | None = None, types: tuple[str, ...] = ()) -> DataFrame:
     """The events table as a stream; with a ``closing`` scratch folder, and an event of each type long after all others.
 
     Those events, of user -1, move the watermark past the others, so that a join that ends with the table gives its last rows
-    too. Filters that would drop them are applied before the watermark, so they can only be left out behind the stream.
+    too. Filters that would drop them are applied before the watermark, so they can only be left out behind the stream. The
+    ``types`` close too where the table has none of them, as one side without events would hold the watermark back.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may match a file or a folder
     if closing is None:
         return stream
-    far = events.groupBy("event_type").agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"))
+    every = F.array_union(F.collect_set("event_type"), F.array(*map(F.lit, types)).cast("array<string>"))
+    far = events.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"), every.alias("event_type")).select("ts", F.explode("event_type").alias("event_type"))
     given = {"ts": F.col("ts"), "event_type": F.col("event_type"), "user_id": F.lit(-1)}
     far.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema)).write.parquet(closing)
     return stream.union(spark.readStream.schema(events.schema).parquet(closing))

@@ -185,3 +185,11 @@ def test_matches_of_stretches_that_are_over(spark, tmp_path, how):
         near = [(j, at(t)) for m, j, t in rows["trace"] if k is not None and m == k and abs(s - t) <= 20]
         want += [(k, i, at(s), *r) for r in near or ([(None, None)] if how == "left" else [])]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_results_stay_where_a_table_has_no_heads_at_all(spark, tmp_path):
+    rows = [(i, DAY + datetime.timedelta(seconds=7 * i), 1, "purchase", 0.0, "{}") for i in range(20)]
+    kinds = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/events.parquet")
+    got = __spark_entry__.queries()["r04_optional_heads"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, i, None) for i in range(20)]
