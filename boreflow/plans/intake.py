@@ -94,8 +94,9 @@ def s15_message_triples(spark, d):
     kinds = [("ResultManagement", time), ("Trace", late), ("Heads", time)]
     rows = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), text(b).alias("value")) for n, b in kinds))).alias("r")
     x = table(spark, d, "supplier").select(k.alias("k"), rows).select(F.concat(F.lit("f"), "k").alias("folder"), "r.kind", "r.value", "k")
-    logs.write_texts(x.where("kind <> 'Heads' or k % 7 > 0").select("folder", "kind", "value"), path, "folder", "kind")
-    return logs.message_triples(spark, path).select(F.regexp_extract("folder", r"(\d+)", 1).alias("folder"), "error", "ts")
+    groups = logs.write_messages(x.where("kind <> 'Heads' or k % 7 > 0"), path)
+    found = logs.grouped_triples(spark, groups, scratch_path(spark, "found"), "folder", "error", "ts")
+    return found.select(F.regexp_extract("folder", r"(\d+)", 1).alias("folder"), "error", "ts")
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'result' WHEN 'click' THEN 'trace' ELSE 'heads' END AS kind FROM events

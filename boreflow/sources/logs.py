@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +29,10 @@ HEADERLESS = {
     "6": list(SAMPLE_COLUMNS),
 }
 
-#: Files that a task writes at most, in the mean.
+#: Files that a task writes, or a group of folders holds, at most, in the mean.
 FILES = 1000
+#: Groups of folders at least: Spark lists more than 32 paths by a task for each. Groups that are listed at a time at most.
+GROUPS, LISTED = 64, 100
 
 
 def write_texts(df: DataFrame, path: str, *by: str) -> None:
@@ -36,6 +44,47 @@ def write_texts(df: DataFrame, path: str, *by: str) -> None:
     dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*by).text(path)
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder as ``open`` knows it where the path is in the local file system (which executors share by a mount), else nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def write_messages(df: DataFrame, path: str) -> list[str]:
+    """The message files of many folders, from rows (folder, kind, value), a line for each row; gives the groups of folders.
+
+    Spark's writer starts several processes for each file and folder of a local file system, which cost far more than the few
+    bytes that are written; there, tasks open ``group=<n>/folder=<folder>/<kind>.json`` themselves. Any other store is written by
+    Spark, with a folder for each kind. A group is listed by one task, where each folder would be one.
+    """
+    spark, count = df.sparkSession, df.count()
+    group = F.pmod(F.xxhash64("folder"), F.lit(max(GROUPS, -(-count // FILES)))).alias("group")
+    rows, local = df.select(group, "folder", "kind", "value"), local_folder(spark, path)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (n, folder, kind), values in groupby(lines, key=lambda r: r[:3]):
+            folder, name = f"folder={folder or '__HIVE_DEFAULT_PARTITION__'}", f"{kind}.json"  # as Spark names them
+            if "/" in folder + name:
+                raise ValueError(f"no names of files: {folder}, {name}")
+            at = f"{local}/group={n}/{folder}"
+            os.makedirs(at, exist_ok=True)
+            mine = f"{at}/.{name}-{TaskContext.get().taskAttemptId()}"  # not listed; what is listed is whole
+            with open(mine, "wb") as f:
+                f.writelines(f"{r[3] or ''}\n".encode() for r in values)
+            os.replace(mine, f"{at}/{name}")
+        return iter(())
+
+    if local is None:
+        write_texts(rows, path, "group", "folder", "kind")
+    else:
+        os.makedirs(local, exist_ok=True)
+        dealt = spread(rows, "folder", least=-(-count // FILES)).sortWithinPartitions("folder", "kind")
+        dealt.mapInArrow(put, "n bigint").write.format("noop").mode("overwrite").save()
+    return [f"{path}/group={r.group}" for r in rows.select("group").distinct().sort("group").collect()] or [path]
+
+
 def log_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """Rows (file, line, text) of all logs under a path; lines count from 0, empty ones are left out.
 
@@ -167,7 +216,7 @@ def program_values(cells: DataFrame, key: str | None = None, switch: str = "Step
     return found.join(rows, ["file", "section", "row"], "left_semi")
 
 
-def message_triples(spark: SparkSession, path: str) -> DataFrame:
+def message_triples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows (folder, result, trace, heads, ts, error): the three message files of each folder and the time they share.
 
     An error says which message is missing, or has source times that are not all the same.
@@ -187,6 +236,20 @@ def message_triples(spark: SparkSession, path: str) -> DataFrame:
     return x.select("folder", *(F.col(f"value_{n}").alias(n) for n in kinds), ts.alias("ts"), error.alias("error"))
 
 
+def grouped_triples(spark: SparkSession, groups: list[str], path: str, *columns: str) -> DataFrame:
+    """Columns of the ``message_triples`` of many groups of folders; a folder is in one group.
+
+    Spark's driver holds the list of all files that a table is read from, so no more than ``LISTED`` groups are read at a time and
+    their rows written to ``path``, a new scratch folder.
+    """
+    if len(groups) <= LISTED:
+        return message_triples(spark, groups).select(*columns)
+    for i in range(0, len(groups), LISTED):
+        found = message_triples(spark, groups[i : i + LISTED]).select(*columns)
+        found.write.mode("append").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 #: Columns that hold torque and position, by maker of the file (fixed values of the file formats).
 SIGNAL_COLUMNS = (("I Torque (A)", "Position (mm)"), ("unfiltered", "distance"), ("filtered", "distance"))
 
